@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from seqloom.llm import media
+from seqloom.llm import media, sentencepieces, tokencount
 
 QUERIES = {
     "op1_media_webp": media.op1_media_webp,
+    "op2_token_counts": tokencount.op2_token_counts,
+    "op10_sentencepiece": sentencepieces.op10_sentencepiece,
 }
 
 ORACLES: dict[str, str] = {}
