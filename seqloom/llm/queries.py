@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from seqloom.llm import media, sentencepieces, tokencount
+from seqloom.llm import decontaminate, media, sentencepieces, tokencount
 
 QUERIES = {
     "op1_media_webp": media.op1_media_webp,
     "op2_token_counts": tokencount.op2_token_counts,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_sentencepiece": sentencepieces.op10_sentencepiece,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_decontaminate": decontaminate.OP9_SQL,
+}
