@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from seqloom.llm import decontaminate, language, media, sentencepieces, tokencount
+from seqloom.llm import decontaminate, language, media, sentencepieces, tokencount, toxicity
 
 QUERIES = {
     "op1_media_webp": media.op1_media_webp,
     "op2_token_counts": tokencount.op2_token_counts,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_language": language.op8_language,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_sentencepiece": sentencepieces.op10_sentencepiece,
