@@ -9,7 +9,7 @@ each distinct word once; every word of every text counts.  Words longer than
 
 Training is plain numpy: backpropagation through time with Adam, on words of a
 bounded sample of labelled documents (``TRAIN_DOCS`` expected per language,
-``TRAIN_WORDS`` distinct words in all).
+``TRAIN_WORDS`` distinct words in all, ``LANGUAGES`` languages).
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ HIDDEN = 12
 WINDOW = 40
 TRAIN_DOCS = 500
 TRAIN_WORDS = 40_000
+LANGUAGES = 256  # learned at most, those with the most rows
 EPOCHS = 4
 STEPS = 600  # at least
 UNKNOWN = "und"
@@ -161,8 +162,11 @@ class BiGru:
 def training_words(docs: DataFrame, per_language: int = TRAIN_DOCS, most: int = TRAIN_WORDS) -> list[tuple[str, bytes, int]]:
     """Distinct words (language, word, count) of a sample of the labelled rows that aren't held out."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where("text is not null and lang is not null and (doc_id is null or crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2)")
-    sizes = own.groupBy("lang").agg(F.count("*").alias("n"))
-    sample = own.join(sizes, "lang").where(f"pmod(xxhash64(doc_id, 7), 1000000) * n < {per_language} * 1000000L").select("lang", "text")
+    sizes = own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    if not sizes:
+        return []
+    share = F.create_map(*[x for r in sizes for x in (F.lit(r.lang), F.lit(int(min(1.0, per_language / r.n) * 1_000_000)))])
+    sample = own.where(F.expr("pmod(xxhash64(doc_id, 7), 1000000)") < share[F.col("lang")]).select("lang", "text")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
