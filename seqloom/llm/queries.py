@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from seqloom.llm import decontaminate, language, media, neardup, sentencepieces, tokencount, toxicity
+from seqloom.llm import decontaminate, language, lm, media, neardup, sentencepieces, tokencount, toxicity
 
 QUERIES = {
     "op1_media_webp": media.op1_media_webp,
     "op2_token_counts": tokencount.op2_token_counts,
+    "op3_lm_scores": lm.op3_lm_scores,
     "op4_near_duplicates": neardup.op4_near_duplicates,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_language": language.op8_language,
