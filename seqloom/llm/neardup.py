@@ -9,8 +9,9 @@ same order: it follows edit similarity.
 Documents of one word sequence are one node, whatever their number.  Nodes that
 share a sketch meet in a bucket.  A bucket doesn't compare all pairs: each member
 is compared with the bucket's most central node (the one with most company over
-all its buckets, as the source of many copies has), and in further rounds the
-members of other classes with the next centres.  A pair is a link if a banded
+all its buckets, as the source of many copies has) and with a few neighbours in an
+order that differs from bucket to bucket; in a further round the members of other
+classes meet the next centre.  A pair is a link if a banded
 alignment of the two word sequences keeps at least ``SIMILARITY`` of their
 shingles: kept / (all of either), a shingle being kept if its five words are
 aligned in one run.  Classes are the connected components of links.
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqloom.llm.columns import blocks, fold_table, hash_words, mix, stored, texts, words
@@ -31,12 +33,15 @@ SHINGLE = 5
 SKETCHES = 12
 PICKED = 2
 SIMILARITY = 0.8
-LEAST_SHARED = 2  # sketches of a pair that is aligned; 0.01 % of pairs at the threshold have fewer
-ROUNDS = 3
+BINS = 64  # of the digest of k-mers by which pairs are sifted before alignment
+LEAST_ALIKE = 0.6  # of the bins: four standard deviations under the threshold
+ROUNDS = 2
+NEIGHBOURS = 3  # next members of a bucket, in an order of its own, that a member is compared with
+SALT = 1000  # members of a part of a bucket that is put in order
 BAND = 16
 CELLS = 8 << 20  # of an alignment batch
 TABLE = fold_table([*range(0x30, 0x3A), *range(65, 91), *range(97, 123), *range(128, 256)])
-SKETCHED = "rid long, doc_id long, digest binary, n_words int, sketch array<long>, words binary"
+SKETCHED = "rid long, doc_id long, digest binary, n_words int, sketch array<long>, bins binary, words binary"
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -110,8 +115,24 @@ def order_minhash(value: np.ndarray, first: np.ndarray, sketches: int = SKETCHES
     return out
 
 
+def binned(value: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """One byte of the least k-mer of each of BINS bins (documents, BINS), 0 for an empty bin."""
+    n = len(first) - 1
+    h = mix(value * np.uint64(0xA24BAED4963EE407))
+    of = np.repeat(np.arange(n), np.diff(first))
+    far = np.uint64(0xFFFFFFFFFFFFFFFF)
+    least = np.full(n * BINS, far)
+    np.minimum.at(least, of * BINS + (h >> np.uint64(58)).astype(np.int64), h & np.uint64((1 << 58) - 1))
+    return np.where(least == far, 0, 1 + mix(least) % np.uint64(255)).astype(np.uint8).reshape(n, BINS)
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated shares of common k-mers, from rows of bins."""
+    return ((a == b) & (a > 0)).sum(1) / np.maximum(((a > 0) | (b > 0)).sum(1), 1)
+
+
 def sketch_rows(docs: DataFrame) -> DataFrame:
-    """Digest, sketches and word sequence (32-bit hashes) of every row of (rid, doc_id, text)."""
+    """Digest, sketches, bins and word sequence (16-bit hashes) of every row of (rid, doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -120,15 +141,16 @@ def sketch_rows(docs: DataFrame) -> DataFrame:
             data, offsets = texts(b.column("text"))
             codes, dictionary, doc, _ = words(folded(data), offsets, TABLE)
             h = hash_words(dictionary)[codes] if len(codes) else np.zeros(0, np.uint64)
-            sketch = order_minhash(*shingles(h, doc))
+            kmers = shingles(h, doc)
+            sketch, bins = order_minhash(*kmers), [x.tobytes() for x in binned(*kmers)]
             raw, cut = h.tobytes(), (doc * 8).tolist()
             digests = [xxhash.xxh3_128_digest(raw[i:j]) for i, j in zip(cut[:-1], cut[1:])]
-            short, cut = h.astype(np.uint32).tobytes(), (doc * 4).tolist()
+            short, cut = h.astype(np.uint16).tobytes(), (doc * 2).tolist()
             blobs = [short[i:j] for i, j in zip(cut[:-1], cut[1:])]
             n = np.diff(doc)
             size = np.where(n > 0, SKETCHES, 0)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(sketch[n > 0].ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), pa.array(digests, pa.binary()), pa.array(n.astype(np.int32)), lists, pa.array(blobs, pa.binary())], ["rid", "doc_id", "digest", "n_words", "sketch", "words"])
+            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), pa.array(digests, pa.binary()), pa.array(n.astype(np.int32)), lists, pa.array(bins, pa.binary()), pa.array(blobs, pa.binary())], ["rid", "doc_id", "digest", "n_words", "sketch", "bins", "words"])
 
     return docs.mapInArrow(run, SKETCHED)
 
@@ -252,22 +274,30 @@ def _band(t: tuple) -> int:
     return t[7] + abs(len(t[1]) - len(t[2]))
 
 
+def sift(pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b, na, nb, ba, bb) those that may be links, as (a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in batches:
+            ba, bb = (np.frombuffer(b"".join(p.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("ba", "bb"))
+            na, nb = (np.maximum(p.column(c).to_numpy(zero_copy_only=False) - SHINGLE + 1, 1) for c in ("na", "nb"))
+            good = pa.array((alike(ba, bb) >= LEAST_ALIKE) & (np.minimum(na, nb) >= SIMILARITY * np.maximum(na, nb)))
+            a, b = (p.column(c).filter(good).to_numpy(zero_copy_only=False) for c in ("a", "b"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long").distinct()
+
+
 def verify(pairs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Of pairs (a, b, sa, sb, wa, wb) those that are links, as (a, b)."""
+    """Of pairs (a, b, wa, wb) those that are links, as (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 p = batch.slice(at, 512)
-                sa = np.array(p.column("sa").to_pylist(), np.int64).reshape(-1, SKETCHES)
-                sb = np.array(p.column("sb").to_pylist(), np.int64).reshape(-1, SKETCHES)
-                rows = np.flatnonzero((sa == sb).sum(1) >= LEAST_SHARED)
-                if not len(rows):
-                    continue
-                wa, wb = p.column("wa"), p.column("wb")
-                own = [(np.frombuffer(wa[i].as_py(), np.uint32), np.frombuffer(wb[i].as_py(), np.uint32)) for i in rows.tolist()]
-                good = pa.array(rows[similarities(own, least) >= least])
-                yield pa.RecordBatch.from_arrays([p.column("a").take(good), p.column("b").take(good)], ["a", "b"])
+                own = [tuple(np.frombuffer(x, np.uint16).astype(np.uint32) for x in w) for w in zip(p.column("wa").to_pylist(), p.column("wb").to_pylist())]
+                good = pa.array(similarities(own, least) >= least)
+                yield pa.RecordBatch.from_arrays([p.column("a").filter(good), p.column("b").filter(good)], ["a", "b"])
 
     return pairs.mapInArrow(run, "a long, b long")
 
@@ -276,55 +306,63 @@ def verify(pairs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """The least node of each linked node's component, as (node, label)."""
-    both = stored(links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a")).distinct(), "links")
+    """The least node of each linked node's component, as (node, label).
+
+    Each step takes the least label of a node's neighbours and then that label's own
+    label, so long chains shorten by half.
+    """
+    both = stored(links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a")), "links")
     labels = stored(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("label")), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("near"))
-        step = labels.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        # a label's own label is nearer still
-        jump = step.alias("s").join(labels.select(F.col("node").alias("via"), F.col("label").alias("further")), F.col("label") == F.col("via"), "left")
-        new = stored(jump.select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
+        near = both.join(labels.withColumnRenamed("node", "other"), "other").select("node", "label", F.lit(None).cast("long").alias("old"))
+        every = near.unionByName(labels.select("node", "label", F.col("label").alias("old")))
+        step = every.groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
+        further = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        new = stored(step.join(further, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
         labels = new.select("node", "label")
-        if not new.where("old <> label").limit(1).count():
+        if new.where("old <> label").isEmpty():
             return labels
 
 
-def links_of(sketched: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Verified links between nodes (a row id for each distinct word sequence)."""
-    own = sketched.join(nodes.select(F.col("node").alias("rid")), "rid", "left_semi")
-    held = stored(own.where("n_words > 0").select(F.col("rid").alias("node"), "n_words", "sketch", "words"), "nodes")
-    every = held.select("node", F.posexplode("sketch").alias("j", "value")).select("node", F.xxhash64("j", "value").alias("bucket"))
+def links_of(sketched: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Verified links between nodes (distinct word sequences), and their components."""
+    own = nodes.where("n_words > 0").select("node", "n_words", "sketch", "bins")
+    every = own.select("node", F.posexplode("sketch").alias("j", "value")).select("node", F.xxhash64("j", "value").alias("bucket"))
     shared = every.groupBy("bucket").agg(F.count("*").alias("company")).where("company > 1")
     members = every.join(shared, "bucket")
-    central = members.groupBy("node").agg(F.sum("company").alias("central"))
-    members = stored(members.select("bucket", "node").join(central, "node"), "members")
-    links, labels, done = None, None, None
+    central = members.groupBy("node").agg(F.sum("company").alias("central"), F.collect_list(F.struct("bucket", "company")).alias("buckets"))
+    members = stored(central.join(own.drop("sketch"), "node").select(F.inline("buckets"), "node", "central", "n_words", "bins"), "members")
+    none = sketched.sparkSession.createDataFrame([], "a long, b long")
+    links, labels, done = none, none.toDF("node", "label"), None
     for k in range(ROUNDS):
-        # centres: of each bucket, the most central member that is no centre yet and whose class has none
         pool = members
         if k:
+            # buckets' members of the classes that had no centre yet
             pool = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            tried = done.select("bucket", "centre").join(labels.withColumnRenamed("node", "centre"), "centre", "left").select("bucket", F.coalesce("label", "centre").alias("label")).distinct()
-            pool = pool.join(tried, ["bucket", "label"], "left_anti")
-        centres = pool.groupBy("bucket").agg(F.max(F.struct("central", F.col("node").alias("centre"))).alias("m")).select("bucket", "m.centre")
-        centres = stored(centres, "centres")
-        done = centres if done is None else done.unionByName(centres)
-        met = (members if k == 0 else pool).join(centres, "bucket").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        side = lambda x: held.select(F.col("node").alias(x), F.col("n_words").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("words").alias(f"w{x}"))
-        lengths = held.select("node", "n_words", "sketch")
-        near = met.join(lengths.toDF("a", "na", "sa"), "a").join(lengths.toDF("b", "nb", "sb"), "b")
-        shared_n = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        near = near.where((F.least("na", "nb") + 0.0 >= SIMILARITY * (F.greatest("na", "nb") - SHINGLE)) & (shared_n >= LEAST_SHARED)).select("a", "b", "sa", "sb")
-        whole = near.join(side("a").select("a", "wa"), "a").join(side("b").select("b", "wb"), "b")
-        found = stored(verify(whole), "verified")
-        if not found.limit(1).count():
+            tried = done.join(labels.withColumnRenamed("node", "centre"), "centre", "left").select("bucket", F.coalesce("label", "centre").alias("label"))
+            pool = pool.join(tried, ["bucket", "label"], "left_anti").drop("label")
+        best = F.max(F.struct("central", F.col("node").alias("centre"), F.col("n_words").alias("nc"), F.col("bins").alias("bc"))).alias("m")
+        centres = pool.groupBy("bucket").agg(best).select("bucket", "m.centre", "m.nc", "m.bc")
+        met = pool.join(centres, "bucket").where("node <> centre")
+        if not k:
+            # company without a centre: the next members, in parts of a bounded size
+            part = F.pmod(F.xxhash64("node", F.lit(k)), F.ceil(F.col("company") / SALT)).alias("part")
+            order = W.partitionBy("bucket", "part").orderBy(F.xxhash64("node", "bucket"), "node")
+            after = F.array(*[F.lead(F.struct(F.col("node").alias("centre"), F.col("n_words").alias("nc"), F.col("bins").alias("bc")), i).over(order) for i in range(1, NEIGHBOURS + 1)])
+            next_ones = pool.select("*", part).select("node", "n_words", "bins", after.alias("after")).select("node", "n_words", "bins", F.inline(F.filter("after", lambda x: x.isNotNull())))
+            met = met.select(*next_ones.columns).unionByName(next_ones)
+        found = stored(sift(met.selectExpr("node AS a", "centre AS b", "n_words AS na", "nc AS nb", "bins AS ba", "bc AS bb")), "candidates")
+        wanted = found.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
+        sequences = stored(sketched.select("rid", "words").join(wanted, "rid", "left_semi"), "sequences")
+        side = lambda x: sequences.toDF(x, f"w{x}")
+        found = stored(verify(found.join(side("a"), "a").join(side("b"), "b")), "verified")
+        if found.isEmpty():
             break
-        links = found if links is None else links.unionByName(found).distinct()
+        links = links.unionByName(found).distinct()
+        if k < ROUNDS - 1:
+            done = stored(centres.select("bucket", "centre"), "centres")
         labels = components(links)
-    if links is None:
-        links = sketched.sparkSession.createDataFrame([], "a long, b long")
-    return links
+    return links, labels
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
@@ -335,10 +373,12 @@ def near_classes(docs: DataFrame) -> DataFrame:
     (true for one row of each class: the first by doc_id, then rid).
     """
     sketched = stored(sketch_rows(docs.select("rid", F.col("doc_id").cast("long").alias("doc_id"), "text")), "sketched")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
-    nodes = stored(sketched.groupBy("digest").agg(F.min("rid").alias("node"), first.alias("first"), F.count("*").alias("n_copies")), "distinct")
-    links = links_of(sketched, nodes)
-    labels = components(links)
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
+    # what has one digest has one word sequence, so any row's sketch will do
+    any_row = [F.first(c).alias(c) for c in ("n_words", "sketch", "bins")]
+    nodes = stored(sketched.groupBy("digest").agg(F.min("rid").alias("node"), head.alias("first"), F.count("*").alias("n_copies"), *any_row), "distinct")
+    links, labels = links_of(sketched, nodes)
+    nodes = nodes.select("digest", "node", "first", "n_copies")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     labelled = nodes.join(labels, "node", "left").join(degree, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = labelled.groupBy("label").agg(F.min("first").alias("head"))
