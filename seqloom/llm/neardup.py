@@ -9,9 +9,9 @@ same order: it follows edit similarity.
 Documents of one word sequence are one node, whatever their number.  Nodes that
 share a sketch meet in a bucket.  A bucket doesn't compare all pairs: each member
 is compared with the bucket's most central node (the one with most company over
-all its buckets, as the source of many copies has) and with a few neighbours in an
-order that differs from bucket to bucket; in a further round the members of other
-classes meet the next centre.  A pair is a link if a banded
+all its buckets, as the source of many copies has).  In a second round members of
+other classes meet the next centre, and each member a few neighbours, in an order
+that differs from bucket to bucket, that aren't of its class yet.  A pair is a link if a banded
 alignment of the two word sequences keeps at least ``SIMILARITY`` of their
 shingles: kept / (all of either), a shingle being kept if its five words are
 aligned in one run.  Classes are the connected components of links.
@@ -35,7 +35,6 @@ PICKED = 2
 SIMILARITY = 0.8
 BINS = 64  # of the digest of k-mers by which pairs are sifted before alignment
 LEAST_ALIKE = 0.6  # of the bins: four standard deviations under the threshold
-ROUNDS = 2
 NEIGHBOURS = 3  # next members of a bucket, in an order of its own, that a member is compared with
 SALT = 1000  # members of a part of a bucket that is put in order
 BAND = 16
@@ -311,65 +310,71 @@ def components(links: DataFrame) -> DataFrame:
     Each step takes the least label of a node's neighbours and then that label's own
     label, so long chains shorten by half.
     """
-    both = stored(links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a")), "links")
-    labels = stored(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("label")), "labels")
+    both = stored(links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a")), "links", True)
+    labels = stored(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("label")), "labels", True)
     while True:
         near = both.join(labels.withColumnRenamed("node", "other"), "other").select("node", "label", F.lit(None).cast("long").alias("old"))
         every = near.unionByName(labels.select("node", "label", F.col("label").alias("old")))
         step = every.groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
         further = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = stored(step.join(further, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
+        new = stored(step.join(further, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels", True)
         labels = new.select("node", "label")
         if new.where("old <> label").isEmpty():
             return labels
 
 
+def _centres(pool: DataFrame) -> DataFrame:
+    """The most central member of each bucket of a pool."""
+    best = F.max(F.struct("central", F.col("node").alias("centre"), F.col("n_words").alias("nc"), F.col("bins").alias("bc"))).alias("m")
+    return pool.groupBy("bucket").agg(best).select("bucket", "m.centre", "m.nc", "m.bc")
+
+
+_PAIR = ("node AS a", "centre AS b", "n_words AS na", "nc AS nb", "bins AS ba", "bc AS bb")
+
+
 def links_of(sketched: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Verified links between nodes (distinct word sequences), and their components."""
+    """Verified links that join nodes (distinct word sequences) to classes, and the classes' labels."""
     own = nodes.where("n_words > 0").select("node", "n_words", "sketch", "bins")
     every = own.select("node", F.posexplode("sketch").alias("j", "value")).select("node", F.xxhash64("j", "value").alias("bucket"))
     shared = every.groupBy("bucket").agg(F.count("*").alias("company")).where("company > 1")
     members = every.join(shared, "bucket")
     central = members.groupBy("node").agg(F.sum("company").alias("central"), F.collect_list(F.struct("bucket", "company")).alias("buckets"))
-    members = stored(central.join(own.drop("sketch"), "node").select(F.inline("buckets"), "node", "central", "n_words", "bins"), "members")
-    none = sketched.sparkSession.createDataFrame([], "a long, b long")
-    links, labels, done = none, none.toDF("node", "label"), None
-    for k in range(ROUNDS):
-        pool = members
-        if k:
-            # buckets' members of the classes that had no centre yet
-            pool = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            tried = done.join(labels.withColumnRenamed("node", "centre"), "centre", "left").select("bucket", F.coalesce("label", "centre").alias("label"))
-            pool = pool.join(tried, ["bucket", "label"], "left_anti").drop("label")
-        best = F.max(F.struct("central", F.col("node").alias("centre"), F.col("n_words").alias("nc"), F.col("bins").alias("bc"))).alias("m")
-        centres = pool.groupBy("bucket").agg(best).select("bucket", "m.centre", "m.nc", "m.bc")
-        met = pool.join(centres, "bucket").where("node <> centre")
-        if not k:
-            # company without a centre: the next members, in parts of a bounded size
-            part = F.pmod(F.xxhash64("node", F.lit(k)), F.ceil(F.col("company") / SALT)).alias("part")
-            order = W.partitionBy("bucket", "part").orderBy(F.xxhash64("node", "bucket"), "node")
-            after = F.array(*[F.lead(F.struct(F.col("node").alias("centre"), F.col("n_words").alias("nc"), F.col("bins").alias("bc")), i).over(order) for i in range(1, NEIGHBOURS + 1)])
-            next_ones = pool.select("*", part).select("node", "n_words", "bins", after.alias("after")).select("node", "n_words", "bins", F.inline(F.filter("after", lambda x: x.isNotNull())))
-            met = met.select(*next_ones.columns).unionByName(next_ones)
-        found = stored(sift(met.selectExpr("node AS a", "centre AS b", "n_words AS na", "nc AS nb", "bins AS ba", "bc AS bb")), "candidates")
-        wanted = found.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-        sequences = stored(sketched.select("rid", "words").join(wanted, "rid", "left_semi"), "sequences")
-        side = lambda x: sequences.toDF(x, f"w{x}")
-        found = stored(verify(found.join(side("a"), "a").join(side("b"), "b")), "verified")
-        if found.isEmpty():
-            break
-        links = links.unionByName(found).distinct()
-        if k < ROUNDS - 1:
-            done = stored(centres.select("bucket", "centre"), "centres")
-        labels = components(links)
-    return links, labels
+    met = stored(central.join(own.drop("sketch"), "node").select("node", "central", "n_words", "bins", "buckets"), "met")
+    members = met.select(F.inline("buckets"), "node", "central", "n_words", "bins")
+    # the word sequences of nodes that have company, moved once
+    sequences = stored(sketched.select("rid", "words").join(met.select(F.col("node").alias("rid")), "rid", "left_semi"), "sequences")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        candidates = stored(sift(pairs), "candidates", True)
+        return stored(verify(candidates.join(sequences.toDF("a", "wa"), "a").join(sequences.toDF("b", "wb"), "b")), "verified", True)
+
+    first = stored(_centres(members), "centres")
+    links = checked(members.join(first, "bucket").where("node <> centre").selectExpr(*_PAIR))
+    labels = components(links)
+    # Round two: pairs of different classes only.  Members of classes without a centre meet the
+    # next centre, and every member the next ones in its part of a bucket, a bounded number.
+    known = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    tried = first.select(F.col("centre").alias("node"), "bucket").join(labels, "node", "left").select("bucket", F.coalesce("label", "node").alias("label"))
+    pool = known.join(tried, ["bucket", "label"], "left_anti")
+    again = pool.join(_centres(pool), "bucket").where("node <> centre").select("node", "n_words", "bins", "centre", "nc", "bc")
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("company") / SALT)).alias("part")
+    order = W.partitionBy("bucket", "part").orderBy(F.xxhash64("node", "bucket"), "node")
+    one = F.struct(F.col("node").alias("centre"), F.col("n_words").alias("nc"), F.col("bins").alias("bc"), F.col("label").alias("other"))
+    after = F.array(*[F.lead(one, i).over(order) for i in range(1, NEIGHBOURS + 1)])
+    beside = known.select("*", part).select("node", "n_words", "bins", "label", after.alias("after"))
+    beside = beside.select("node", "n_words", "bins", F.inline(F.filter("after", lambda x: x["other"] != F.col("label"))))
+    more = checked(again.unionByName(beside.drop("other")).selectExpr(*_PAIR))
+    if more.isEmpty():
+        return links, labels
+    links = links.unionByName(more)
+    return links, components(links)
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
     """The class of every row of ``docs`` (rid, doc_id, text), rid being unique.
 
-    Returns rid, doc_id, class_id (the least doc_id of the class), n_links (links of the
-    row's text to different texts), n_copies (rows of the same word sequence) and kept
+    Returns rid, doc_id, class_id (the least doc_id of the class), n_links (verified links
+    of the row's text to different texts; pairs of one class needn't all be looked at), n_copies (rows of the same word sequence) and kept
     (true for one row of each class: the first by doc_id, then rid).
     """
     sketched = stored(sketch_rows(docs.select("rid", F.col("doc_id").cast("long").alias("doc_id"), "text")), "sketched")
