@@ -9,6 +9,7 @@ bounds the memory of a Python worker whatever the partition holds.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 from collections.abc import Iterable, Iterator
@@ -55,6 +56,15 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers outlive their tasks, and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another libc
+        pass
+
+
 def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in blocks of at most ``limit`` bytes of ``column``, or one row."""
     for batch in batches:
@@ -67,6 +77,7 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             end = min(batch.num_rows, max(at + 1, end))
             yield batch.slice(at, end - at)
             at = end
+    give_back()
 
 
 def spans(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

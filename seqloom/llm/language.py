@@ -201,7 +201,7 @@ def train(docs: DataFrame) -> BiGru | None:
 class Labeller:
     """Documents' probabilities; the sums of earlier words are kept, up to ``most``."""
 
-    def __init__(self, model: BiGru, most: int = 400_000):
+    def __init__(self, model: BiGru, most: int = 150_000):
         self.model, self.most, self.cache = model, most, {}
 
     def block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:

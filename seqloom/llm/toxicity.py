@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from seqloom.llm.columns import blocks, cpus_one, fold_table, hash_words, mix, stored, texts, words
 from seqloom.llm.language import held_out
 
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 2500
 TRAIN_WINDOWS = 12_000
 LEXICON = 1000
 LEAST_CONTEXTS = 4
@@ -243,7 +243,11 @@ def lexicon_of(sample: DataFrame) -> list[tuple[bytes, float]]:
             left[doc[:-1][doc[:-1] < len(h)]] = 0
             right[doc[1:][doc[1:] > 0] - 1] = 0
             toxic = np.repeat(np.array(b.column("toxic").to_pylist(), np.int32), np.diff(doc))
-            yield pa.RecordBatch.from_arrays([dictionary.take(pa.array(codes)).cast(pa.binary()), pa.array(mix(left * np.uint64(3) + mix(right)).view(np.int64)), pa.array(toxic)], ["word", "context", "toxic"])
+            context = mix(left * np.uint64(3) + mix(right)).view(np.int64)
+            own = np.unique(np.rec.fromarrays([codes, context, toxic], names="code,context,toxic"))
+            for at in range(0, len(own), 100_000):
+                part = own[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([dictionary.take(pa.array(part.code)).cast(pa.binary()), pa.array(part.context), pa.array(part.toxic)], ["word", "context", "toxic"])
 
     each = sample.mapInArrow(contexts, "word binary, context long, toxic int").distinct()
     counts = each.groupBy("word").agg(F.sum("toxic").alias("c1"), F.sum(1 - F.col("toxic")).alias("c0"))
