@@ -56,7 +56,7 @@ def huffman_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     counts = {r.event_type: r.n for r in events.groupBy("event_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_type").limit(1000).collect()}
     total, codes, code, last = sum(counts.values()), {}, 0, 0
-    lengths = {s: max(1, -(-(total - 1) // n).bit_length()) for s, n in counts.items()}
+    lengths = {s: max(1, (-(-total // n) - 1).bit_length()) for s, n in counts.items()}
     for s in sorted(lengths, key=lambda s: (lengths[s], s)):
         code <<= lengths[s] - last
         codes[s], code, last = (code, lengths[s]), code + 1, lengths[s]
