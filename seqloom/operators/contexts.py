@@ -13,9 +13,9 @@ LAGS = "SELECT doc_id, pos, ch, lag(ch, 1) OVER w AS c1, lag(ch, 2) OVER w AS c2
 def preceding(docs: DataFrame, order: int) -> DataFrame:
     """(doc_id, pos, ch, ctx): each symbol and the ``order`` before it, taken from the text itself without a window."""
     symbols = docs.select("doc_id", F.filter(F.split("text", ""), lambda x: x != "").alias("s"))
-    at = F.transform("s", lambda x, i: F.struct(i.cast("bigint").alias("pos"), x.alias("ch"), i.alias("i")))
-    each = symbols.select("doc_id", "s", F.explode(at).alias("x"))
-    return each.where(f"x.i >= {order}").select("doc_id", "x.pos", "x.ch", F.array_join(F.slice("s", F.col("x.i") - order + 1, order), "").alias("ctx"))
+    # contexts are made inside the array, so that a row of a symbol doesn't carry its document
+    at = F.transform("s", lambda x, i: F.struct(i.cast("bigint").alias("pos"), x.alias("ch"), F.when(i >= order, F.array_join(F.slice(F.col("s"), i - order + 1, order), "")).alias("ctx")))
+    return symbols.select("doc_id", F.inline(at)).where("ctx is not null")
 
 
 @query("order2_counts", "X1 X7 X12 A15 L4", "SELECT c2 || c1 AS ctx, ch, count(*) AS n FROM (SELECT ch, lag(ch, 1) OVER w AS c1, lag(ch, 2) OVER w AS c2 FROM symbols WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) AS t WHERE c2 IS NOT NULL GROUP BY c2 || c1, ch")
