@@ -32,15 +32,44 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def stored(df, name: str, narrow: bool = False):
+def stored(df, name: str, narrow: bool = False, bucket: str | None = None):
     """Write ``df`` to a table in the shared folder and read it back: cuts lineage and
-    survives lost executors.  ``narrow`` rows go to four files a core at most."""
+    survives lost executors.
+
+    ``narrow`` rows go to four files a core at most.  With ``bucket`` the rows are dealt
+    by that column, so that joins on it don't move them again.
+    """
     import uuid
 
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    (df.coalesce(4 * spark.sparkContext.defaultParallelism) if narrow else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    own = f"{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{own}"
+    if bucket:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        table = own.replace("-", "_")
+        df.repartition(n, bucket).write.bucketBy(n, bucket).sortBy(bucket).option("path", path).saveAsTable(table)
+        out = spark.table(table)
+        out.schema  # resolved, so the name can go; the files stay
+        spark.sql(f"DROP TABLE {table}")
+    else:
+        (df.coalesce(4 * spark.sparkContext.defaultParallelism) if narrow else df).write.parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
+    SCRATCH.append(path)
+    return out
+
+
+#: folders that :func:`stored` has made and nobody has dropped
+SCRATCH: list[str] = []
+
+
+def drop_stored(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the folders made after the first ``since``, but for the last ``keep``: what read them has been written."""
+    gone = SCRATCH[since : len(SCRATCH) - keep]
+    conf = spark._jsc.hadoopConfiguration()
+    for path in gone:
+        own = spark._jvm.org.apache.hadoop.fs.Path(path)
+        own.getFileSystem(conf).delete(own, True)
+        SCRATCH.remove(path)
 
 
 def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqloom.llm.columns import blocks, fold_table, hash_words, mix, stored, texts, words
+from seqloom.llm.columns import SCRATCH, blocks, drop_stored, fold_table, hash_words, mix, stored, texts, words
 
 SHINGLE = 5
 SKETCHES = 12
@@ -341,8 +341,8 @@ def links_of(sketched: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFram
     central = members.groupBy("node").agg(F.sum("company").alias("central"), F.collect_list(F.struct("bucket", "company")).alias("buckets"))
     met = stored(central.join(own.drop("sketch"), "node").select("node", "central", "n_words", "bins", "buckets"), "met")
     members = met.select(F.inline("buckets"), "node", "central", "n_words", "bins")
-    # the word sequences of nodes that have company, moved once
-    sequences = stored(sketched.select("rid", "words").join(met.select(F.col("node").alias("rid")), "rid", "left_semi"), "sequences")
+    # word sequences move once, to where both rounds' pairs come
+    sequences = stored(sketched.select("rid", "words"), "sequences", bucket="rid")
 
     def checked(pairs: DataFrame) -> DataFrame:
         candidates = stored(sift(pairs), "candidates", True)
@@ -377,6 +377,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     of the row's text to different texts; pairs of one class needn't all be looked at), n_copies (rows of the same word sequence) and kept
     (true for one row of each class: the first by doc_id, then rid).
     """
+    since = len(SCRATCH)
     sketched = stored(sketch_rows(docs.select("rid", F.col("doc_id").cast("long").alias("doc_id"), "text")), "sketched")
     head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
     # what has one digest has one word sequence, so any row's sketch will do
@@ -389,7 +390,9 @@ def near_classes(docs: DataFrame) -> DataFrame:
     classes = labelled.groupBy("label").agg(F.min("first").alias("head"))
     known = labelled.join(classes, "label").select("digest", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies", "head")
     rows = sketched.select("rid", "doc_id", "digest").join(known, "digest")
-    return rows.select("rid", "doc_id", F.col("head.doc_id").alias("class_id"), "n_links", "n_copies", (F.col("rid") == F.col("head.rid")).alias("kept"))
+    found = stored(rows.select("rid", "doc_id", F.col("head.doc_id").alias("class_id"), "n_links", "n_copies", (F.col("rid") == F.col("head.rid")).alias("kept")), "classes")
+    drop_stored(docs.sparkSession, since, keep=1)
+    return found
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
