@@ -1,7 +1,8 @@
 """The corpus pipeline: language, toxicity, near duplicates, benchmark leaks, pieces.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
-Parquet and read again as the next one's docs.  All but the last return rows of
+Parquet and read again as the next one's docs; the next stage then deletes what the
+one before had put into the shared folder.  All but the last return rows of
 ``documents`` with all their columns.
 """
 
@@ -10,7 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from seqloom.llm import decontaminate, language, neardup, pieces, sentencepieces, toxicity
-from seqloom.llm.columns import stored
+from seqloom.llm.columns import SCRATCH, drop_stored, stored
+
+#: folders of the stage before, which its written result no longer needs
+_LEFT: list[str] = []
 
 LEAST_LANGUAGE = 0.35  # a document of several languages has less of each, and is kept
 
@@ -18,28 +22,43 @@ LEAST_LANGUAGE = 0.35  # a document of several languages has less of each, and i
 ORACLE_SQL = None
 
 
+def _begin(spark: SparkSession) -> None:
+    for path in [p for p in _LEFT if p in SCRATCH]:
+        at = SCRATCH.index(path)
+        drop_stored(spark, at, len(SCRATCH) - at - 1)
+    _LEFT.clear()
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; those without text or letters go, as do those of no language learned."""
+    _begin(spark)
     return language.keep_known(docs, language.train(docs), LEAST_LANGUAGE)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model doesn't reject; it learns from the labels of ``docs``."""
+    _begin(spark)
     return toxicity.keep_clean(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    return neardup.keep_one(docs)
+    _begin(spark)
+    since = len(SCRATCH)
+    kept = neardup.keep_one(docs)
+    _LEFT.extend(SCRATCH[since:])
+    return kept
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage (a window of eight words) of the benchmark."""
+    _begin(spark)
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, piece ids and whether they decode to the text."""
+    _begin(spark)
     return sentencepieces.encode_texts(docs, pieces.model_bytes())
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.columns import blocks, cpus_one, fold_table, hash_words, mix, stored, texts, words
+from seqloom.llm.columns import SCRATCH, blocks, cpus_one, drop_stored, fold_table, hash_words, mix, stored, texts, words
 from seqloom.llm.language import held_out
 
 TRAIN_ROWS = 2500
@@ -309,6 +309,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
 def train(docs: DataFrame, labels: DataFrame) -> Crf:
     """A field fitted on the sample; without labelled rows, one that scores 0."""
     cpus_one()
+    since = len(SCRATCH)
     sample = stored(training_rows(docs, labels), "toxic-sample")
     lexicon = lexicon_of(sample)
     crf = Crf([w for w, _ in lexicon])
@@ -325,6 +326,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Crf:
     if found:
         x, y, w = (np.array(c, float) for c in zip(*found))
         crf.curve, crf.fitted = fit_curve(np.clip(x, *ODDS), y, w), True
+    drop_stored(docs.sparkSession, since)
     return crf
 
 
