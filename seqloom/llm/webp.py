@@ -637,16 +637,17 @@ def encode_frames(samples: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     copy = inside & ((offset - 1) & 4095 == 0)
     at = np.flatnonzero(keep | copy)
     is_copy = copy[at]
-    symbol = samples[at].astype(np.int64)
-    extra_bits = np.zeros(len(at), np.int64)
-    extra = np.zeros(len(at), np.int64)
-    if is_copy.any():
+    symbol = samples[at].astype(np.int32)
+    copies = np.flatnonzero(is_copy)
+    if len(copies):
         rest = (np.repeat(run, run) - offset)[at[is_copy]]
-        code, extra_bits[is_copy], extra[is_copy] = prefix_of(np.minimum(rest, 4096))
-        symbol[is_copy] = 256 + code
-    frame = np.repeat(np.arange(nf), np.diff(np.searchsorted(at, bounds)))
-    counts = np.bincount(frame * GREEN + symbol, minlength=nf * GREEN).reshape(nf, GREEN)
-    has_copy = np.bincount(frame, weights=is_copy, minlength=nf) > 0
+        code, extra_bits, extra = prefix_of(np.minimum(rest, 4096))
+        symbol[copies] = 256 + code
+    begin = np.searchsorted(at, bounds)
+    frame = np.repeat(np.arange(nf, dtype=np.int32), np.diff(begin))
+    key = frame * np.int32(GREEN) + symbol
+    counts = np.bincount(key, minlength=nf * GREEN).reshape(nf, GREEN)
+    has_copy = counts[:, 256:].any(1)
     lengths = np.zeros((nf, GREEN), np.int64)
     codes = np.zeros((nf, GREEN), np.int64)
     starts = []
@@ -672,23 +673,27 @@ def encode_frames(samples: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     sorted_lengths = np.take_along_axis(lengths, ordered, 1)
     steps = np.where(sorted_lengths > 0, 1 << (15 - sorted_lengths), 0)
     np.put_along_axis(codes, ordered, _FLIP15[(np.cumsum(steps, 1) - steps) & 0x7FFF], 1)
-    key = frame * GREEN + symbol
-    size = lengths.ravel()[key]
-    value = codes.ravel()[key] | (extra << size)
-    size = size + extra_bits
-    begin = np.searchsorted(frame, np.arange(nf + 1))
-    total = np.zeros(nf, np.int64)
-    np.add.at(total, frame, size)
+    # length and code of a symbol in one look-up
+    both = (lengths | (codes << 8)).astype(np.int32).ravel()[key]
+    size = both & 255
+    value = (both >> 8).astype(np.uint64)
+    if len(copies):
+        value[copies] |= extra.astype(np.uint64) << size[copies].astype(np.uint64)
+        size[copies] += extra_bits.astype(np.int32)
+    done = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=done[1:])
+    total = np.diff(done[begin])
     head_bits = np.array([w.bits for w in starts], np.int64)
     words = (head_bits + total + 31) // 32 + 1
     first_word = np.concatenate([[0], np.cumsum(words)])
-    done = np.cumsum(size) - size
-    pos = done - np.repeat(done[begin[:-1]], np.diff(begin)) + (first_word[:-1] * 32 + head_bits)[frame]
-    shifted = value.astype(np.uint64) << (pos & 31).astype(np.uint64)
+    pos = done[:-1] + np.repeat(first_word[:-1] * 32 + head_bits - done[begin[:-1]], np.diff(begin))
+    shifted = value << (pos & 31).astype(np.uint64)
     low = (shifted & np.uint64(0xFFFFFFFF)).astype(np.float64)
     high = (shifted >> np.uint64(32)).astype(np.float64)
     m = int(first_word[-1]) + 1
-    packed = np.bincount(pos >> 5, weights=low, minlength=m) + np.bincount((pos >> 5) + 1, weights=high, minlength=m)
+    word = pos >> 5
+    packed = np.bincount(word, weights=low, minlength=m)
+    packed[1:] += np.bincount(word, weights=high, minlength=m)[:-1]
     packed = packed.astype(np.uint64).astype("<u4")
     out = []
     for f in range(nf):
@@ -743,21 +748,25 @@ def decode_frames(streams: list[bytes]) -> list[np.ndarray]:
         begin[k] = at * 8 + r.at
         parts.append(streams[i])
         at += len(streams[i])
-    joined = np.frombuffer(b"".join(parts) + bytes(16), np.uint8)
+    tables = tables.astype(np.int16) if int(tables.max()) < 1 << 15 else tables
+    # a damaged stream reads on past its end, two bytes a sample at most, before it's found
+    joined = np.frombuffer(b"".join(parts) + bytes(16 + 2 * int(sizes.max())), np.uint8)
     windows = np.lib.stride_tricks.as_strided(joined.view(np.uint8)[:8].view("<u8"), (len(joined) - 8,), (1,))
     end = 8 * np.cumsum([len(p) for p in parts])
     live = np.arange(nf)
     pos, base, left = begin, live * (1 << bits), sizes.copy()
     mask = np.uint64((1 << bits) - 1)
     frames, symbols, counts = [], [], []
+    names = live.astype(np.uint16) if nf < 65536 else live
+    until = int(left.min())
     while len(live):
         window = windows[pos >> 3] >> (pos & 7).astype(np.uint64)
         entry = tables[base + (window & mask).astype(np.int64)]
         size = entry & 15
-        symbol = entry >> 4
         pos = pos + size
         count = None
-        copies = symbol >= 256
+        symbol = entry >> 4
+        copies = entry >= 4096
         if copies.any():
             count = np.ones(len(live), np.int32)
             which = np.flatnonzero(copies)
@@ -767,21 +776,24 @@ def decode_frames(streams: list[bytes]) -> list[np.ndarray]:
             count[which] = np.where(code < 4, code + 1, ((2 + (code & 1)) << more) + rest + 1)
             pos[which] += more
             left = left - count
+            until = int(left.min())
         else:
             left = left - 1
-        frames.append(live.astype(np.uint16) if nf < 65536 else live)
-        symbols.append(symbol.astype(np.uint16))
-        counts.append(np.ones(len(live), np.int32) if count is None else count)
-        if (left <= 0).any() or (pos > end[live]).any():
-            if (left < 0).any() or (pos > end[live]).any():
-                raise Damaged("a stream that ends early or runs over")
+            until -= 1
+        frames.append(names)
+        symbols.append(symbol)
+        counts.append(count)
+        if until <= 0:
             on = left > 0
-            live, pos, base, left = live[on], pos[on], base[on], left[on]
+            if until < 0 or (pos > end[live]).any():
+                raise Damaged("a stream that ends early or runs over")
+            live, pos, base, left, names = live[on], pos[on], base[on], left[on], names[on]
+            until = int(left.min()) if len(left) else 0
     frame = np.concatenate(frames)
     order = np.argsort(frame, kind="stable")
     frame = frame[order].astype(np.int64)
     symbol = np.concatenate(symbols)[order]
-    count = np.concatenate(counts)[order].astype(np.int64)
+    count = np.concatenate([np.ones(len(s), np.int32) if c is None else c for s, c in zip(symbols, counts)])[order].astype(np.int64)
     start = np.concatenate([[0], np.cumsum(sizes)])
     place = np.cumsum(count) - count  # strips are whole, so tokens follow each other
     pixels = np.zeros(int(start[-1]), np.uint8)
