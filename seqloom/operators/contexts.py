@@ -18,7 +18,7 @@ def preceding(docs: DataFrame, order: int) -> DataFrame:
     return symbols.select("doc_id", F.inline(at)).where("ctx is not null")
 
 
-@query("order2_counts", "X1 X7 X12 A15 L4", "SELECT c2 || c1 AS ctx, ch, count(*) AS n FROM (SELECT ch, lag(ch, 1) OVER w AS c1, lag(ch, 2) OVER w AS c2 FROM symbols WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) AS t WHERE c2 IS NOT NULL GROUP BY c2 || c1, ch")
+@query("order2_counts", "X1 X7 X9 X12 X25 A15 L4 U3", "SELECT c2 || c1 AS ctx, ch, count(*) AS n FROM (SELECT ch, lag(ch, 1) OVER w AS c1, lag(ch, 2) OVER w AS c2 FROM symbols WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) AS t WHERE c2 IS NOT NULL GROUP BY c2 || c1, ch")
 def order2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preceding(table(spark, sf_dir, "documents"), 2).groupBy("ctx", "ch").agg(F.count("*").alias("n"))
 
@@ -51,7 +51,7 @@ sql(
 )
 sql(
     "previous_words",
-    "X11 M9 J2 L2",
+    "X11 X19 M9 J2 L2",
     "SELECT w2, w1, lw, count(*) AS n FROM (SELECT lw, lag(lw, 1) OVER w AS w1, lag(lw, 2) OVER w AS w2 FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) AS t WHERE w2 IS NOT NULL GROUP BY w2, w1, lw HAVING count(*) > 1",
 )
 sql(
