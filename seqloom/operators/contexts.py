@@ -13,9 +13,12 @@ LAGS = "SELECT doc_id, pos, ch, lag(ch, 1) OVER w AS c1, lag(ch, 2) OVER w AS c2
 def preceding(docs: DataFrame, order: int) -> DataFrame:
     """(doc_id, pos, ch, ctx): each symbol and the ``order`` before it, taken from the text itself without a window."""
     symbols = docs.select("doc_id", F.filter(F.split("text", ""), lambda x: x != "").alias("s"))
-    # contexts are made inside the array, so that a row of a symbol doesn't carry its document
-    at = F.transform("s", lambda x, i: F.struct(i.cast("bigint").alias("pos"), x.alias("ch"), F.when(i >= order, F.array_join(F.slice(F.col("s"), i - order + 1, order), "")).alias("ctx")))
-    return symbols.select("doc_id", F.inline(at)).where("ctx is not null")
+    # the array beside itself, moved by one to ``order`` places: no lambda, and no row that carries its document
+    moved = [F.concat(F.array_repeat(F.lit(None).cast("string"), k), "s").alias(f"c{k}") for k in range(order, 0, -1)]
+    beside = symbols.select("doc_id", "s", *moved)
+    each = beside.select("doc_id", F.posexplode(F.arrays_zip("s", *[f"c{k}" for k in range(order, 0, -1)])).alias("pos", "x"))
+    own = each.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.col("x.s").alias("ch"), F.concat(*[F.col(f"x.c{k}") for k in range(order, 0, -1)]).alias("ctx"))
+    return own.where("ctx is not null and ch is not null")
 
 
 @query("order2_counts", "X1 X7 X9 X12 X25 A15 L4 U3", "SELECT c2 || c1 AS ctx, ch, count(*) AS n FROM (SELECT ch, lag(ch, 1) OVER w AS c1, lag(ch, 2) OVER w AS c2 FROM symbols WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) AS t WHERE c2 IS NOT NULL GROUP BY c2 || c1, ch")
