@@ -34,7 +34,7 @@ from seqloom.llm.eliasfano import BACKOFF, SEEN, TrieLevel, mapped
 from seqloom.llm.language import held_out
 
 ORDER = 2
-PRIOR = 20.0  # m
+PRIOR = 50.0  # m; held-out text of the small tables is likeliest between 10 and 50
 BLOCK = 8 << 20
 SHARD_WORDS = 2_000_000  # words or pairs that a shard gets, about
 END, START = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127)

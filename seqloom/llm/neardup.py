@@ -409,7 +409,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without those whose class keeps another, with their columns."""
     columns = docs.columns
     held = stored(docs.select(F.monotonically_increasing_id().alias("__rid"), *columns), "numbered")
-    losers = near_classes(held.withColumnRenamed("__rid", "rid").select("rid", "doc_id", "text")).where("not kept").select(F.col("rid").alias("__rid"))
+    losers = near_classes(held.select(F.col("__rid").alias("rid"), "doc_id", "text")).where("not kept").select(F.col("rid").alias("__rid"))
     return held.join(losers, "__rid", "left_anti").select(*columns)
 
 
