@@ -9,8 +9,10 @@ bounds the memory of a Python worker whatever the partition holds.
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import os
+import shutil
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -28,7 +30,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if found:
         return found
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="seqloom-"))
+        own = tempfile.mkdtemp(prefix="seqloom-")
+        atexit.register(shutil.rmtree, own, True)
+        spark.sparkContext.setCheckpointDir(own)
     return spark.sparkContext.getCheckpointDir()
 
 
