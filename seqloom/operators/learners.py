@@ -43,7 +43,7 @@ ESTIMATE = f"WITH t AS ({PRIOR}), e AS (SELECT user_id, pos, bit, ctx, coalesce(
 sql("calibration_bins", "L13 L15 L16", ESTIMATE + " SELECT cast(floor((greatest(-8.0e0, least(7.99e0, x1)) + 8) * 24 / 16) AS bigint) AS bin, count(*) AS n, round(avg(bit), 6) AS seen, round(avg(p1), 6) AS said FROM l GROUP BY 1")
 sql("logit_average", "L7 L14 F8", ESTIMATE + " SELECT user_id, round(avg(1 / (1 + exp(-(x1 + x0) / 2))), 6) AS mean_p, cast(floor(avg(1 / (1 + exp(-(x1 + x0) / 2))) * 15) AS bigint) AS gate, round(avg(-log2(CASE WHEN bit > 0 THEN 1 / (1 + exp(-(x1 + x0) / 2)) ELSE 1 - 1 / (1 + exp(-(x1 + x0) / 2)) END)), 6) AS cost FROM l GROUP BY user_id")
 sql("type_routed_average", "L14 L25", ESTIMATE + " SELECT user_id, round(avg(CASE WHEN pos % 2 = 0 THEN (3 * p1 + p0) / 4 ELSE (p1 + p0) / 2 END), 6) AS p, count(*) AS n FROM l GROUP BY user_id")
-sql("crossentropy_by_source", "L18 L17 A1", "WITH t AS (SELECT doc_id, ch, count(*) AS n FROM symbols GROUP BY doc_id, ch), g AS (SELECT ch, sum(n) AS n FROM t GROUP BY ch), a AS (SELECT sum(n) AS total FROM g) SELECT source, cast(sum(t.n) AS bigint) AS symbols, round(sum(t.n * log2(total / (g.n * 1.0e0))) / sum(t.n), 6) AS bits FROM t JOIN g ON t.ch = g.ch JOIN documents ON t.doc_id = documents.doc_id CROSS JOIN a GROUP BY source")
+sql("crossentropy_by_source", "L18 L17 A1", "WITH t AS (SELECT doc_id, ch, count(*) AS n FROM symbols GROUP BY doc_id, ch), g AS (SELECT ch, sum(n) AS n, sum(sum(n)) OVER () AS total FROM t GROUP BY ch) SELECT source, cast(sum(t.n) AS bigint) AS symbols, round(sum(t.n * log2(total / (g.n * 1.0e0))) / sum(t.n), 6) AS bits FROM t JOIN g ON t.ch = g.ch JOIN documents ON t.doc_id = documents.doc_id GROUP BY source")
 sql("linear_extrapolation_error", "L23", "SELECT doc_id, round(avg(abs(b - b1) * 1.0e0), 6) AS last_value, round(avg(abs(b - (2 * b1 - b2)) * 1.0e0), 6) AS line, round(avg(abs(b - (3 * b1 - 3 * b2 + b3)) * 1.0e0), 6) AS parabola FROM (SELECT doc_id, b, lag(b, 1) OVER w AS b1, lag(b, 2) OVER w AS b2, lag(b, 3) OVER w AS b3 FROM bytes WINDOW w AS (PARTITION BY doc_id ORDER BY pos, k)) AS t WHERE b3 IS NOT NULL GROUP BY doc_id")
 
 

@@ -27,7 +27,7 @@ sql("residual_energy", "G6b", f"WITH r AS (SELECT user_id, pos, value - (2 * a -
 sql(
     "canonical_huffman",
     "G9a",
-    """WITH c AS (SELECT event_type, count(*) AS n FROM events GROUP BY event_type), t AS (SELECT sum(n) AS total FROM c), l AS (SELECT event_type, n, cast(ceil(-log2(n / (total * 1.0e0)) - 1e-9) AS bigint) AS len FROM c, t),
+    """WITH c AS (SELECT event_type, count(*) AS n, sum(count(*)) OVER () AS total FROM events GROUP BY event_type), l AS (SELECT event_type, n, cast(ceil(-log2(n / (total * 1.0e0)) - 1e-9) AS bigint) AS len FROM c),
     k AS (SELECT event_type, n, len, sum(power(2.0e0, -len)) OVER (ORDER BY len, event_type ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM l) SELECT event_type, n, len, cast(coalesce(before, 0) * power(2.0e0, len) AS bigint) AS code FROM k""",
 )
 sql("instruction_window", "G10a", "WITH v AS (SELECT user_id, pos, CASE WHEN event_type IN ('click', 'view') THEN 1 ELSE 0 END AS ok FROM series) SELECT user_id, pos, min(ok) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) = 1 AND pos > 16 AS valid FROM v")
