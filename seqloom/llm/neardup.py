@@ -7,14 +7,16 @@ keeps them in text order, so a sketch agrees for texts that share k-mers in the
 same order: it follows edit similarity.
 
 Documents of one word sequence are one node, whatever their number.  Nodes that
-share a sketch meet in a bucket.  A bucket doesn't compare all pairs: each member
-is compared with the bucket's most central node (the one with most company over
-all its buckets, as the source of many copies has).  In a second round members of
-other classes meet the next centre, and each member a few neighbours, in an order
-that differs from bucket to bucket, that aren't of its class yet.  A pair is a link if a banded
-alignment of the two word sequences keeps at least ``SIMILARITY`` of their
-shingles: kept / (all of either), a shingle being kept if its five words are
-aligned in one run.  Classes are the connected components of links.
+share a sketch meet in a bucket.  First each member is compared with the bucket's
+most central node (the one with most company over all its buckets, as the source of
+many copies has), which joins most copies to classes.  Then every pair of members
+that are of different classes still is looked at, in cells of bounded size: a
+crowded bucket is dealt to parts, and each two parts are a cell.  Of the pairs that
+two classes have, the most alike are verified first, and the others only if the
+classes are still apart, so no pair that could join two classes goes untried.  A
+pair is a link if a banded alignment of the two word sequences keeps at least
+``SIMILARITY`` of their shingles: kept / (all of either), a shingle being kept if its
+five words are aligned in one run.  Classes are the connected components of links.
 """
 
 from __future__ import annotations
@@ -35,8 +37,9 @@ PICKED = 2
 SIMILARITY = 0.8
 BINS = 64  # of the digest of k-mers by which pairs are sifted before alignment
 LEAST_ALIKE = 0.6  # of the bins: four standard deviations under the threshold
-NEIGHBOURS = 3  # next members of a bucket, in an order of its own, that a member is compared with
-SALT = 1000  # members of a part of a bucket that is put in order
+PART = 4096  # members of a part of a bucket, expected; two parts are a cell
+ROWS = 256  # of a cell that are held against all its other rows at once
+FIRST = 8  # pairs of two classes that are verified before the rest
 BAND = 16
 CELLS = 8 << 20  # of an alignment batch
 TABLE = fold_table([*range(0x30, 0x3A), *range(65, 91), *range(97, 123), *range(128, 256)])
@@ -287,6 +290,87 @@ def sift(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long").distinct()
 
 
+def crossed(bins: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of a cell that are of different classes and may be links, and how alike they are.
+
+    Rows of two sides are held against the other side's; rows of one side against each
+    other.
+    """
+    low = np.flatnonzero(side == side.min())
+    high = np.flatnonzero(side != side.min())
+    one = not len(high)
+    if one:
+        high = low
+    turned = np.ascontiguousarray(bins[high].T)
+    none = (turned == 0).astype(np.float32)
+    some_empty = none.any()
+    found = []
+    for at in range(0, len(low), ROWS):
+        i = low[at : at + ROWS]
+        begin = at if one else 0  # pairs before are those of earlier rows
+        own, j = bins[i], high[begin:]
+        same = np.zeros((len(i), len(j)), np.uint8)
+        for k in range(BINS):
+            same += own[:, k : k + 1] == turned[k, begin:]
+        empty = ((own == 0).astype(np.float32) @ none[:, begin:]).astype(np.int16) if some_empty else np.int16(0)
+        share = (same - empty) / np.maximum(BINS - empty, 1)
+        good = (share >= LEAST_ALIKE) & (label[i][:, None] != label[j])
+        if one:
+            good &= i[:, None] < j
+        x, y = np.nonzero(good)
+        fits = np.minimum(n[i[x]], n[j[y]]) >= SIMILARITY * np.maximum(n[i[x]], n[j[y]])
+        found.append((i[x[fits]], j[y[fits]], share[x[fits], y[fits]]))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def crossings(known: DataFrame) -> DataFrame:
+    """Pairs of a bucket's members (bucket, node, company, n_words, bins, label) of different classes that may be links, as (a, b, alike)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(cells: pa.Table) -> Iterator[pa.RecordBatch]:
+            keys = np.stack([cells.column(c).to_numpy() for c in ("bucket", "low", "high")])
+            cut = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+            node, n, label, side = (cells.column(c).to_numpy() for c in ("node", "n_words", "label", "side"))
+            bins = np.frombuffer(b"".join(cells.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
+            n = np.maximum(n - SHINGLE + 1, 1)
+            out = []
+            for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(node)]):
+                if side[i] == side[j - 1] and keys[1, i] != keys[2, i] or label[i:j].min() == label[i:j].max():
+                    continue
+                x, y, share = crossed(bins[i:j], n[i:j], label[i:j], side[i:j])
+                out.append((node[i:j][x], node[i:j][y], share))
+            if out:
+                a, b, share = (np.concatenate(c) for c in zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64()), pa.array(share, pa.float64())], ["a", "b", "alike"])
+
+        held: list[pa.RecordBatch] = []  # rows from the last cell's first on
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in ("bucket", "low", "high")])
+            begins = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+            if last is not None and (keys[:, 0] != last).any():
+                begins = np.concatenate([[0], begins])
+            if len(begins):
+                cut = int(begins[-1])
+                ready = [*held, batch.slice(0, cut)] if cut else held
+                if ready:
+                    yield from pairs(pa.Table.from_batches(ready))
+                held = []
+                batch = batch.slice(cut)
+            held.append(batch)
+            last = keys[:, -1]
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
+
+    parts = F.ceil(F.col("company") / PART)
+    dealt = known.withColumn("side", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))))
+    cells = dealt.select("bucket", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "node", "n_words", "bins", "label")
+    placed = cells.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "side")
+    return placed.mapInArrow(run, "a long, b long, alike double").distinct()
+
+
 def verify(pairs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Of pairs (a, b, wa, wb) those that are links, as (a, b)."""
 
@@ -323,6 +407,19 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs whose nodes are of different classes, with these as la and lb."""
+    named = pairs.join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left")
+    return named.withColumn("la", F.coalesce("la", "a")).withColumn("lb", F.coalesce("lb", "b")).where("la <> lb")
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels of linked nodes once further links are there."""
+    roots = components(_across(links, labels).selectExpr("la AS a", "lb AS b"))
+    old = labels.join(roots.toDF("label", "root"), "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+    return stored(old.unionByName(roots.join(labels, "node", "left_anti")), "labels", True)
+
+
 def _centres(pool: DataFrame) -> DataFrame:
     """The most central member of each bucket of a pool."""
     best = F.max(F.struct("central", F.col("node").alias("centre"), F.col("n_words").alias("nc"), F.col("bins").alias("bc"))).alias("m")
@@ -341,33 +438,31 @@ def links_of(sketched: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFram
     central = members.groupBy("node").agg(F.sum("company").alias("central"), F.collect_list(F.struct("bucket", "company")).alias("buckets"))
     met = stored(central.join(own.drop("sketch"), "node").select("node", "central", "n_words", "bins", "buckets"), "met")
     members = met.select(F.inline("buckets"), "node", "central", "n_words", "bins")
-    # word sequences move once, to where both rounds' pairs come
+    # word sequences move once, to where all rounds' pairs come
     sequences = stored(sketched.select("rid", "words"), "sequences", bucket="rid")
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        candidates = stored(sift(pairs), "candidates", True)
+    def checked(candidates: DataFrame) -> DataFrame:
         return stored(verify(candidates.join(sequences.toDF("a", "wa"), "a").join(sequences.toDF("b", "wb"), "b")), "verified", True)
 
-    first = stored(_centres(members), "centres")
-    links = checked(members.join(first, "bucket").where("node <> centre").selectExpr(*_PAIR))
+    first = _centres(members)
+    tried = stored(sift(members.join(first, "bucket").where("node <> centre").selectExpr(*_PAIR)), "candidates", True)
+    links = checked(tried)
     labels = components(links)
-    # Round two: pairs of different classes only.  Members of classes without a centre meet the
-    # next centre, and every member the next ones in its part of a bucket, a bounded number.
-    known = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    tried = first.select(F.col("centre").alias("node"), "bucket").join(labels, "node", "left").select("bucket", F.coalesce("label", "node").alias("label"))
-    pool = known.join(tried, ["bucket", "label"], "left_anti")
-    again = pool.join(_centres(pool), "bucket").where("node <> centre").select("node", "n_words", "bins", "centre", "nc", "bc")
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("company") / SALT)).alias("part")
-    order = W.partitionBy("bucket", "part").orderBy(F.xxhash64("node", "bucket"), "node")
-    one = F.struct(F.col("node").alias("centre"), F.col("n_words").alias("nc"), F.col("bins").alias("bc"), F.col("label").alias("other"))
-    after = F.array(*[F.lead(one, i).over(order) for i in range(1, NEIGHBOURS + 1)])
-    beside = known.select("*", part).select("node", "n_words", "bins", "label", after.alias("after"))
-    beside = beside.select("node", "n_words", "bins", F.inline(F.filter("after", lambda x: x["other"] != F.col("label"))))
-    more = checked(again.unionByName(beside.drop("other")).selectExpr(*_PAIR))
-    if more.isEmpty():
-        return links, labels
-    links = links.unionByName(more)
-    return links, components(links)
+    # All pairs of different classes that a bucket still has.
+    named = met.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = named.select(F.inline("buckets"), "label").groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("bucket")
+    known = named.select(F.inline("buckets"), "node", "n_words", "bins", "label").join(mixed, "bucket")
+    todo = stored(crossings(known).join(tried, ["a", "b"], "left_anti"), "crossings", True)
+    rank = F.row_number().over(W.partitionBy(F.least("la", "lb"), F.greatest("la", "lb")).orderBy(F.desc("alike"), "a", "b"))
+    chosen = stored(_across(todo, labels).withColumn("rank", rank).where(f"rank <= {FIRST}").select("a", "b"), "chosen", True)
+    for further in (False, True):
+        if further:  # what the best pairs of two classes have not joined
+            chosen = stored(_across(todo.join(chosen, ["a", "b"], "left_anti"), labels).select("a", "b"), "chosen", True)
+        if chosen.isEmpty():
+            break
+        more = checked(chosen)
+        links, labels = links.unionByName(more), merged(labels, more)
+    return links, labels
 
 
 def near_classes(docs: DataFrame) -> DataFrame:

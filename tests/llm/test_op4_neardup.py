@@ -118,3 +118,53 @@ def test_edges(spark):
     assert N.keep_one(docs).count() == 6
     none = spark.createDataFrame([], "doc_id long, text string")
     assert N.near_duplicates(none).count() == 0 and N.keep_one(none).count() == 0
+
+
+def crowd(seed=3):
+    """Documents put together from a few shared passages, so that every bucket is crowded, each with a copy; and drifting copies."""
+    r = random.Random(seed)
+    passages = [[f"p{k}w{x}" for x in range(25)] for k in range(12)]
+    made = {}
+    while len(made) < 120:
+        made.setdefault(tuple(sorted(r.sample(range(12), 6))))
+    own = []
+    for some in made:
+        ws = [w for k in some for w in passages[k]]
+        own.append(ws)
+        own.append([*ws[:70], f"changed{len(own)}", *ws[71:]])
+    ws = [f"d{x}" for x in range(200)]
+    for k in range(40):
+        ws = [*ws[: k * 5], f"drift{k}", *ws[k * 5 + 1 :]]
+        own.append(ws)
+    r.shuffle(own)
+    return own
+
+
+def test_crowded_buckets_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(N, "PART", 16)  # parts and cells of a bucket too
+    own = crowd()
+    number = {w: k for k, w in enumerate(sorted({w for ws in own for w in ws}))}
+    coded = [np.array([number[w] for w in ws], np.uint32) for ws in own]
+    pairs = [(i, j) for j in range(len(own)) for i in range(j)]
+    label = list(range(len(own)))
+    for (i, j), s in zip(pairs, N.similarities([(coded[i], coded[j]) for i, j in pairs])):
+        if s >= N.SIMILARITY and label[i] != label[j]:
+            low, high = sorted((label[i], label[j]))
+            label = [low if x == high else x for x in label]
+    assert len(set(label)) == 121
+    docs = spark.createDataFrame([(i, " ".join(ws)) for i, ws in enumerate(own)], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in N.near_duplicates(docs).collect()} == dict(enumerate(label))
+
+
+def test_cells_hold_every_pair_of_classes():
+    r = np.random.default_rng(4)
+    bins = r.integers(0, 3, (700, N.BINS)).astype(np.uint8) * (r.random((700, 1)) < 0.9).astype(np.uint8)
+    bins[350:] = np.where(r.random((350, N.BINS)) < 0.8, bins[:350], bins[350:])
+    n, label = r.integers(50, 80, 700), r.integers(0, 300, 700)
+    for side in (np.zeros(700, int), np.arange(700) % 2):
+        x, y, share = N.crossed(bins, n, label, side)
+        i, j = (v.ravel() for v in np.meshgrid(range(700), range(700), indexing="ij"))
+        on = (label[i] != label[j]) & (np.minimum(n[i], n[j]) >= N.SIMILARITY * np.maximum(n[i], n[j])) & (N.alike(bins[i], bins[j]) >= N.LEAST_ALIKE)
+        on &= (i < j) if not side.any() else (side[i] < side[j])
+        assert sorted(zip(x.tolist(), y.tolist())) == sorted(zip(i[on].tolist(), j[on].tolist()))
+        assert np.allclose(share, N.alike(bins[x], bins[y]))
