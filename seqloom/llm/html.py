@@ -7,17 +7,19 @@ recurs on ``LEAST_PAGES`` pages and ``LEAST_SHARE`` of the host's pages is templ
 A host then has at most (subtrees a page) / ``LEAST_SHARE`` template hashes, so
 they go to its pages as one short list.
 
-Prose of an ``article`` or ``main`` element (headings, paragraphs, lists, quotes and
-what they hold) is never taken for template: copies of an article on one host stay
-whole.  Elsewhere, and for boxes inside an article, recurring subtrees go, as do
-elements that say themselves what they are (``DROPPED`` tags, ``MARKS`` in class, id
-or role).
+Blocks of prose in an ``article`` or ``main`` element (headings, paragraphs, lists,
+quotes, tables) are counted per distinct article instead of per page, so copies of an
+article on one host stay whole; what stands inside a block stays or goes with it.
+The whole page is read: outside an article as inside, subtrees go that recur, as do
+elements that say themselves what they are (``DROPPED`` tags, ``MARKS`` in class, id or
+role).
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,6 +40,8 @@ BLOCK = frozenset(
 CELL = frozenset(["td", "th"])
 DROPPED = frozenset("nav footer aside form script style noscript template iframe svg math button select option input textarea object embed canvas audio video menu dialog head title link meta map".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption b i em strong a span code sub sup small q cite abbr mark u s br hr figcaption article main header".split())
+#: prose that stands for itself, and so may be template on its own
+OWN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table".split())
 # Words in class, id or role that mark what isn't the article.
 MARKS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|alert|newsletter|subscri\w*|side-?bar|widget|menu|nav\w*|breadcrumbs?|footer|masthead|site-?header|page-?header|comments?|commentlist|replies|disqus|shar(?:e|ing)|social|related|recommend\w*|popup|modal|overlay|complementary|contentinfo|search|login|signup|skip-link)(?:$|[\s_-])",
@@ -173,20 +177,25 @@ def hash_subtrees(root: Node) -> list[Node]:
     return nodes
 
 
-def template_hashes(source: str | None) -> list[int]:
-    """The distinct hashes of a page's subtrees that hold text or structure and may be template."""
+def template_hashes(source: str | None) -> list[tuple[int, int]]:
+    """The distinct hashes of a page's subtrees that hold text or structure and may be template.
+
+    Each with the hash of the article that it's prose of, or 0.
+    """
     if not source:
         return []
     root = parse(source)
     hash_subtrees(root)
-    out, todo = set(), [(root, False)]
+    out, todo = set(), [(root, 0)]
     while todo:
-        node, prose = todo.pop()
-        prose = prose or node.tag in ("article", "main")
-        if node.tag not in ("#root", "html", "head", "body") and node.tag not in DROPPED and not (prose and node.tag in PROSE) and node.children:
-            out.add(node.hash)
+        node, article = todo.pop()
+        if node.tag in ("article", "main"):
+            article = article or node.hash
+        prose = article and node.tag in PROSE
+        if node.tag not in ("#root", "html", "head", "body") and node.tag not in DROPPED and not (prose and node.tag not in OWN) and node.children:
+            out.add((node.hash, article if prose else 0))
         if node.tag not in DROPPED:
-            todo += [(c, prose) for c in node.children if isinstance(c, Node)]
+            todo += [(c, article) for c in node.children if isinstance(c, Node)]
     return sorted(out)
 
 
@@ -195,7 +204,7 @@ def _gone(node: Node, prose: bool, template: set[int]) -> bool:
         return True
     if node.marks and node.tag not in ("html", "body", "article", "main") and (node.marks == "hidden" or MARKS.search(node.marks)):
         return True
-    return node.hash in template and node.tag not in ("html", "body") and not (prose and node.tag in PROSE)
+    return node.hash in template and node.tag not in ("html", "body") and not (prose and node.tag in PROSE - OWN)
 
 
 def extract(source: str | None, template: set[int] | frozenset = frozenset()) -> str:
@@ -205,16 +214,6 @@ def extract(source: str | None, template: set[int] | frozenset = frozenset()) ->
     root = parse(source)
     if template:
         hash_subtrees(root)
-    # the outermost article or main elements that stay, or else the whole page
-    tops, todo = [], [root]
-    while todo:
-        node = todo.pop()
-        if node.tag in ("article", "main"):
-            tops.append(node)
-            continue
-        if node is not root and _gone(node, False, template):
-            continue
-        todo += [c for c in reversed(node.children) if isinstance(c, Node)]
     lines: list[str] = []
     parts: list[str] = []
 
@@ -224,26 +223,25 @@ def extract(source: str | None, template: set[int] | frozenset = frozenset()) ->
             lines.append(line)
         parts.clear()
 
-    for top in tops or [root]:
-        todo = [(top, bool(tops))]
-        while todo:
-            item, prose = todo.pop()
-            if isinstance(item, str):
-                parts.append(item)
-                continue
-            if item is None:
-                end()
-                continue
-            if item is not top and _gone(item, prose, template):
-                continue
-            if item.tag in BLOCK:
-                end()
-                todo.append((None, prose))
-            elif item.tag == "br" or item.tag in CELL:
-                parts.append(" ")
-            inside = prose or item.tag in ("article", "main")
-            todo += [(c, inside) for c in reversed(item.children)]
-        end()
+    todo = [(root, False)]
+    while todo:
+        item, prose = todo.pop()
+        if isinstance(item, str):
+            parts.append(item)
+            continue
+        if item is None:
+            end()
+            continue
+        inside = prose or item.tag in ("article", "main")
+        if item is not root and _gone(item, inside, template):
+            continue
+        if item.tag in BLOCK:
+            end()
+            todo.append((None, prose))
+        elif item.tag == "br" or item.tag in CELL:
+            parts.append(" ")
+        todo += [(c, inside) for c in reversed(item.children)]
+    end()
     return "\n".join(lines)
 
 
@@ -255,13 +253,15 @@ def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "html"):
-            own = [template_hashes(x) for x in b.column("html").to_pylist()]
-            hosts = b.column("host").to_pylist()
-            # -1 counts the page itself
-            rows = [(h, x) for h, hs in zip(hosts, own) for x in (-1, *hs)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["host", "subtree"])
-
-    counts = pages.mapInArrow(run, "host string, subtree long").groupBy("host", "subtree").agg(F.count("*").alias("n"))
+            rows: Counter = Counter()
+            for host, source in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
+                rows.update((host, *x) for x in [(-1, 0), *template_hashes(source)])  # -1 counts the page itself
+            hosts, subtrees, articles = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(subtrees, pa.int64()), pa.array(articles, pa.int64()), pa.array(list(rows.values()), pa.int64())], ["host", "subtree", "article", "n"])
+
+    # dealt once for both steps; a distinct article counts once, whatever the pages that have it
+    each = pages.mapInArrow(run, "host string, subtree long, article long, n long").repartition("host", "subtree").groupBy("host", "subtree", "article").agg(F.sum("n").alias("n"))
+    counts = each.groupBy("host", "subtree").agg(F.sum(F.when(F.col("article") == 0, F.col("n")).otherwise(1)).alias("n"))
     common = counts.where(f"n >= {least_pages}")  # a host of fewer pages has no template
     size = F.max(F.when(F.col("subtree") == -1, F.col("n")))
     # hashes of one host meet in one row only once they are few: counted first, then those of the share

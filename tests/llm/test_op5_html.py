@@ -41,3 +41,17 @@ def test_templates_by_host(spark):
     assert by[300][2:] == ("", 0) and by[None][2:] == ("z", 1)
     assert all(len(r[2]) == r[3] for r in found) and sum(r[0] == 5 for r in found) == 2
     assert H.extract_pages(df.where("false")).count() == 0
+
+
+def test_counts_decide_in_and_outside_articles(spark):
+    advert = "<ul><li>Buy now</li><li>Pay later</li></ul><p>Sign <b>here</b></p>"
+    rows = [(i, f"http://a.com/{i}", f"<article><h1>Title {i}</h1><p>Own <b>text</b> {i}</p>{advert}</article><div>On every page</div>") for i in range(8)]
+    teaser = "<article><p>Teaser {0}</p></article><div><p>The main text {0}</p></div><div>On every page</div>"
+    rows += [(100 + i, f"http://b.com/{i}", teaser.format(i)) for i in range(8)]
+    rows += [(200 + i, f"http://c.com/{i}", "<article><h1>Copy</h1><p>All of it</p></article>") for i in range(8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    by = {r.page_id: r.text for r in H.extract_pages(df).collect()}
+    for i in range(8):
+        assert by[i] == f"Title {i}\nOwn text {i}"
+        assert by[100 + i] == f"Teaser {i}\nThe main text {i}"
+        assert by[200 + i] == "Copy\nAll of it"
