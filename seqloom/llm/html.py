@@ -1,16 +1,25 @@
 """HTML extraction: site templates go by subtree hashes counted per host.
 
 A page is parsed into a tree (unclosed and badly nested markup as browsers read
-it, in the main).  Every element's subtree has a hash of its tag, its text and its
-children's hashes.  Spark counts, per host, the pages that have each hash; one that
-recurs on ``LEAST_PAGES`` pages and ``LEAST_SHARE`` of the host's pages is template.
-A host then has at most (subtrees a page) / ``LEAST_SHARE`` template hashes, so
-they go to its pages as one short list.
+it, in the main).  Every element's subtree has two hashes:
+
+* ``hash``, of its tag, its text and its children's hashes: the same boilerplate;
+* ``shape``, of containers outside ``article`` and ``main``, of the tags, classes, ids
+  and roles down from the body, and of the children's shapes, a run of equal ones
+  counting once: the same slot of a template, whatever text a page has in it.
+
+Spark counts, per host, the pages that have each.  What recurs on ``LEAST_PAGES`` pages
+and ``LEAST_SHARE`` of the host's pages is template; a shape that on average holds
+``MAIN_SHARE`` of its pages' text or more is where the host's articles stand, and stays
+(on pages without an ``article`` or ``main`` a third of that is enough).
 
 Blocks of prose in an ``article`` or ``main`` element (headings, paragraphs, lists,
 quotes, tables) are counted per distinct article instead of per page, so copies of an
-article on one host stay whole; what stands inside a block stays or goes with it.
-The whole page is read: outside an article as inside, subtrees go that recur, as do
+article on one host stay whole, and blocks that the articles of other hosts have more
+often (``LEAST_OWN``) stay too: they are quoted text, not one site's template.  What
+stands inside a block stays or goes with it.
+
+The counts are asked first.  What they can't know, as on hosts of a few pages, goes by
 elements that say themselves what they are (``DROPPED`` tags, ``MARKS`` in class, id or
 role).
 """
@@ -27,10 +36,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.columns import blocks
+from seqloom.llm.columns import blocks, stored
 
 LEAST_PAGES = 4
 LEAST_SHARE = 0.1
+MAIN_SHARE = 0.3
+LEAST_OWN = 0.5  # of the distinct articles with a block of prose are the host's, if it's template there
+BROADCAST_BYTES = 16 << 20  # of templates; beyond, pages and templates are joined by host and salt
 # Element names by how HTML treats them.
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,6 +54,11 @@ DROPPED = frozenset("nav footer aside form script style noscript template iframe
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption b i em strong a span code sub sup small q cite abbr mark u s br hr figcaption article main header".split())
 #: prose that stands for itself, and so may be template on its own
 OWN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table".split())
+#: elements that hold a page's article, and those that hold every page
+MAIN = frozenset(["article", "main"])
+_FRAME = frozenset(["#root", "html", "head", "body"])
+_DIGITS = re.compile(r"\d+")
+UNSURE = 1 / 3  # of the share of text that keeps a shape, where no element says which is the article
 # Words in class, id or role that mark what isn't the article.
 MARKS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|alert|newsletter|subscri\w*|side-?bar|widget|menu|nav\w*|breadcrumbs?|footer|masthead|site-?header|page-?header|comments?|commentlist|replies|disqus|shar(?:e|ing)|social|related|recommend\w*|popup|modal|overlay|complementary|contentinfo|search|login|signup|skip-link)(?:$|[\s_-])",
@@ -56,10 +73,12 @@ _STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 
 
 class Node:
-    __slots__ = ("tag", "marks", "children", "parent", "hash")
+    __slots__ = ("tag", "marks", "children", "parent", "hash", "chars", "main", "shape")
 
     def __init__(self, tag: str, marks: str, parent: Node | None):
-        self.tag, self.marks, self.parent, self.children, self.hash = tag, marks, parent, [], 0
+        self.tag, self.marks, self.parent, self.children = tag, marks, parent, []
+        #: subtree's hash, length of its text, whether it has an article, shape (0 for none)
+        self.hash, self.chars, self.main, self.shape = 0, 0, False, 0
 
 
 def _tag_end(source: str, at: int) -> int:
@@ -163,54 +182,93 @@ def walk(root: Node) -> list[Node]:
     return out
 
 
+def _xx(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+
+
 def hash_subtrees(root: Node) -> list[Node]:
-    """Give every element its subtree's hash; all elements, each before what it holds."""
+    """Give every element its subtree's hash, and containers outside articles their shape; all elements, each before what it holds."""
     nodes = walk(root)
     for node in reversed(nodes):
-        parts = [node.tag, "\x01"]
+        parts, chars, main = [node.tag, "\x01"], 0, node.tag in MAIN
         for c in node.children:
             if isinstance(c, Node):
                 parts.append(f"\x02{c.hash:x}")
+                chars += c.chars
+                main = main or c.main
             elif text := " ".join(c.split()):
                 parts.append(text)
-        node.hash = xxhash.xxh64_intdigest("".join(parts).encode("utf-8", "surrogatepass")) >> 1
+                chars += len(text)
+        node.hash, node.chars, node.main = _xx("".join(parts)), 0 if node.tag in RAW else chars, main
+    # slots: the way from the body to each container, then what each holds
+    slots, todo = [], [(root, "")]
+    while todo:
+        node, path = todo.pop()
+        if node.tag in MAIN or node.tag in RAW:
+            continue
+        own = path if node.tag in _FRAME else f"{path}/{node.tag}.{_DIGITS.sub('0', node.marks)}"
+        slots.append((node, own))
+        todo += [(c, own) for c in node.children if isinstance(c, Node)]
+    for node, path in reversed(slots):
+        inner, last = [path], 0
+        for c in node.children:
+            if isinstance(c, Node) and c.shape != last:
+                last = c.shape
+                inner.append(f"{last:x}")
+        node.shape = _xx("\x03".join(inner))
     return nodes
 
 
-def template_hashes(source: str | None) -> list[tuple[int, int]]:
+def _slot(node: Node) -> bool:
+    """Whether an element may be template by its shape alone."""
+    return bool(node.shape) and not node.main and node.tag not in PROSE - {"header"} and node.tag not in _FRAME
+
+
+def template_hashes(source: str | None) -> list[tuple[int, int, int]]:
     """The distinct hashes of a page's subtrees that hold text or structure and may be template.
 
-    Each with the hash of the article that it's prose of, or 0.
+    Each with the hash of the article that it's prose of, or 0; and for a shape with the
+    thousandths of the page's text that it holds, or 0.
     """
     if not source:
         return []
     root = parse(source)
     hash_subtrees(root)
-    out, todo = set(), [(root, 0)]
+    whole = max(1, int(root.chars * (1 if root.main else UNSURE)))
+    out, shapes, todo = set(), Counter(), [(root, 0)]
     while todo:
         node, article = todo.pop()
-        if node.tag in ("article", "main"):
+        if node.tag in MAIN:
             article = article or node.hash
         prose = article and node.tag in PROSE
-        if node.tag not in ("#root", "html", "head", "body") and node.tag not in DROPPED and not (prose and node.tag not in OWN) and node.children:
-            out.add((node.hash, article if prose else 0))
+        if node.tag not in _FRAME and node.tag not in RAW and not (prose and node.tag not in OWN) and node.children:
+            out.add((node.hash, article if prose else 0, 0))
+            if _slot(node):
+                shapes[node.shape] += node.chars
         if node.tag not in DROPPED:
             todo += [(c, article) for c in node.children if isinstance(c, Node)]
-    return sorted(out)
+    return sorted(out) + [(k, 0, 1000 * n // whole) for k, n in sorted(shapes.items())]
+
+
+def _templated(node: Node, prose: bool, template: set[int] | frozenset) -> bool:
+    if node.tag in _FRAME:
+        return False
+    return node.hash in template and not (prose and node.tag in PROSE - OWN) or node.shape in template and _slot(node)
 
 
-def _gone(node: Node, prose: bool, template: set[int]) -> bool:
+def _telling(node: Node, prose: bool) -> bool:
     if node.tag in DROPPED or (node.tag == "header" and not prose):
         return True
-    if node.marks and node.tag not in ("html", "body", "article", "main") and (node.marks == "hidden" or MARKS.search(node.marks)):
-        return True
-    return node.hash in template and node.tag not in ("html", "body") and not (prose and node.tag in PROSE - OWN)
+    return bool(node.marks) and node.tag not in ("html", "body", "article", "main") and (node.marks == "hidden" or bool(MARKS.search(node.marks)))
+
 
+def extracted(source: str | None, template: set[int] | frozenset = frozenset(), lists: bool = True) -> tuple[str, int]:
+    """The main text of a page, blocks in page order, one a line; and the subtrees that the counts removed.
 
-def extract(source: str | None, template: set[int] | frozenset = frozenset()) -> str:
-    """The main text of a page: blocks in page order, one a line."""
+    Without ``lists`` only the counts decide, beside what no browser shows.
+    """
     if not source:
-        return ""
+        return "", 0
     root = parse(source)
     if template:
         hash_subtrees(root)
@@ -223,7 +281,7 @@ def extract(source: str | None, template: set[int] | frozenset = frozenset()) ->
             lines.append(line)
         parts.clear()
 
-    todo = [(root, False)]
+    todo, gone = [(root, False)], 0
     while todo:
         item, prose = todo.pop()
         if isinstance(item, str):
@@ -232,8 +290,11 @@ def extract(source: str | None, template: set[int] | frozenset = frozenset()) ->
         if item is None:
             end()
             continue
-        inside = prose or item.tag in ("article", "main")
-        if item is not root and _gone(item, inside, template):
+        inside = prose or item.tag in MAIN
+        if template and item is not root and _templated(item, inside, template):
+            gone += 1
+            continue
+        if item is not root and (_telling(item, inside) if lists else item.tag in RAW or item.tag == "head"):
             continue
         if item.tag in BLOCK:
             end()
@@ -242,36 +303,69 @@ def extract(source: str | None, template: set[int] | frozenset = frozenset()) ->
             parts.append(" ")
         todo += [(c, inside) for c in reversed(item.children)]
     end()
-    return "\n".join(lines)
+    return "\n".join(lines), gone
+
+
+def extract(source: str | None, template: set[int] | frozenset = frozenset(), lists: bool = True) -> str:
+    return extracted(source, template, lists)[0]
 
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
 
 
 def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """The template hashes of every host of (host, html) that has any, as a list."""
+    """Page count and template hashes of every host of (host, html) that has ``least_pages`` pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "html"):
-            rows: Counter = Counter()
+            rows: dict[tuple, list[int]] = {}
             for host, source in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
-                rows.update((host, *x) for x in [(-1, 0), *template_hashes(source)])  # -1 counts the page itself
+                for subtree, article, share in [(-1, 0, 0), *template_hashes(source)]:  # -1 counts the page itself
+                    own = rows.setdefault((host, subtree, article), [0, 0])
+                    own[0] += 1
+                    own[1] += share
             hosts, subtrees, articles = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(subtrees, pa.int64()), pa.array(articles, pa.int64()), pa.array(list(rows.values()), pa.int64())], ["host", "subtree", "article", "n"])
-
-    # dealt once for both steps; a distinct article counts once, whatever the pages that have it
-    each = pages.mapInArrow(run, "host string, subtree long, article long, n long").repartition("host", "subtree").groupBy("host", "subtree", "article").agg(F.sum("n").alias("n"))
-    counts = each.groupBy("host", "subtree").agg(F.sum(F.when(F.col("article") == 0, F.col("n")).otherwise(1)).alias("n"))
-    common = counts.where(f"n >= {least_pages}")  # a host of fewer pages has no template
-    size = F.max(F.when(F.col("subtree") == -1, F.col("n")))
-    # hashes of one host meet in one row only once they are few: counted first, then those of the share
-    hosts = common.groupBy("host").agg(size.alias("pages"))
-    kept = common.where("subtree <> -1").join(hosts, "host").where(f"n >= {least_share} * pages")
-    return kept.groupBy("host").agg(F.collect_list("subtree").alias("template"))
-
-
-def extract_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of every row of ``pages`` (page_id, url, html).
+            n, shares = zip(*rows.values())
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(x, pa.int64()) for x in (subtrees, articles, n, shares))], ["host", "subtree", "article", "n", "share"])
+
+    # pages are parsed once; a distinct article counts once, whatever the pages that have it
+    dealt = pages.mapInArrow(run, "host string, subtree long, article long, n long, share long")
+    each = stored(dealt.groupBy("host", "subtree", "article").agg(F.sum("n").alias("n"), F.sum("share").alias("share")), "subtrees", True)
+    outside = F.col("article") == 0
+    counts = each.groupBy("host", "subtree").agg(F.sum(F.when(outside, F.col("n")).otherwise(1)).alias("n"), F.sum("share").alias("share"), F.count(F.when(~outside, 1)).alias("prose"))
+    # a host of fewer pages has no template
+    common = stored(counts.where(f"n >= {least_pages} and share < {1000 * MAIN_SHARE} * n"), "common", True)
+    hosts = common.where("subtree = -1").select("host", F.col("n").alias("pages"))
+    often = common.where("subtree <> -1").join(hosts, "host").where(f"n >= {least_share} * pages")
+    # prose that articles of many hosts share is nobody's template
+    every = each.where("article <> 0").groupBy("subtree").agg(F.count("*").alias("all"))
+    kept = often.join(every, "subtree", "left").where(f"prose = 0 or prose >= {LEAST_OWN} * all")
+    # hashes of one host meet in one row only once they are few
+    return hosts.join(kept.groupBy("host").agg(F.collect_list("subtree").alias("template")), "host", "left")
+
+
+def with_templates(pages: DataFrame, known: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Every row of ``pages`` with its host's ``template``.
+
+    Templates of up to ``broadcast_bytes`` in all go to where the pages are.  Beyond, both
+    meet by host; a host with more pages than a part of the work should have (there can
+    only be a bounded number of those) is dealt to as many parts as that needs.
+    """
+    known = stored(known, "templates", True)
+    size, rows = known.agg(F.sum(F.octet_length("host") + 8 * F.greatest(F.size("template"), F.lit(0)) + 32), F.sum("pages")).first()
+    if (size or 0) <= broadcast_bytes:
+        return pages.join(F.broadcast(known.where("template is not null").select("host", "template")), "host", "left")
+    parts = 4 * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    much = max(1, int(rows) // parts)
+    salted = known.withColumn("salts", F.ceil(F.col("pages") / much).cast("int"))
+    hot = F.broadcast(salted.where("salts > 1").select("host", "salts"))  # under ``parts`` + 1 rows
+    dealt = pages.join(hot, "host", "left").withColumn("salt", F.expr("cast(pmod(monotonically_increasing_id(), coalesce(salts, 1)) as int)")).drop("salts")
+    every = salted.select("host", "template", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return dealt.join(every, ["host", "salt"], "left").drop("salt")
+
+
+def extract_pages(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """page_id, url, text, n_chars and n_template (subtrees that the counts removed) of every row of ``pages`` (page_id, url, html).
 
     A null or empty html gives an empty text.  Rows without a url count as one host;
     repeated rows stay, and count as pages of their host; other columns are ignored.
@@ -280,11 +374,12 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "html"):
-            found = [extract(x, frozenset(t or ())) for x, t in zip(b.column("html").to_pylist(), b.column("template").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], ["page_id", "url", "text", "n_chars"])
+            found = [extracted(x, frozenset(t or ())) for x, t in zip(b.column("html").to_pylist(), b.column("template").to_pylist())]
+            found, gone = zip(*found)
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64()), pa.array(gone, pa.int64())], ["page_id", "url", "text", "n_chars", "n_template"])
 
-    known = own.join(templates(own.select("host", "html")), "host", "left")
-    return known.select("page_id", "url", "html", "template").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    known = with_templates(own, templates(own.select("host", "html")), broadcast_bytes)
+    return known.select("page_id", "url", "html", "template").mapInArrow(run, "page_id long, url string, text string, n_chars long, n_template long")
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ def test_templates_by_host(spark):
     assert by[3][2] == "text 3\nunique 3"
     assert by[101][2] == "Welcome to our site\ntext 1\nAll rights reserved\nunique 1"
     assert by[204][2] == "Same\nSame article"
-    assert by[300][2:] == ("", 0) and by[None][2:] == ("z", 1)
+    assert by[300][2:4] == ("", 0) and by[None][2:4] == ("z", 1)
     assert all(len(r[2]) == r[3] for r in found) and sum(r[0] == 5 for r in found) == 2
     assert H.extract_pages(df.where("false")).count() == 0
 
@@ -55,3 +55,75 @@ def test_counts_decide_in_and_outside_articles(spark):
         assert by[i] == f"Title {i}\nOwn text {i}"
         assert by[100 + i] == f"Teaser {i}\nThe main text {i}"
         assert by[200 + i] == "Copy\nAll of it"
+
+
+def brute(rows):
+    """The text of (page_id, url, html) rows with the templates counted in plain Python, and how many subtrees went."""
+    import re
+    from collections import defaultdict
+
+    host = lambda u: m[1].lower() if (m := re.match(H.HOST, u or "")) else ""
+    pages, where, shares, everywhere = defaultdict(int), defaultdict(list), defaultdict(int), defaultdict(set)
+    for _, u, source in rows:
+        pages[host(u)] += 1
+        for subtree, article, share in H.template_hashes(source):
+            where[host(u), subtree].append(article)
+            shares[host(u), subtree] += share
+            if article:
+                everywhere[subtree].add((host(u), article))
+    known = defaultdict(set)
+    for (h, subtree), articles in where.items():
+        n = articles.count(0) + len({a for a in articles if a})
+        own = len({a for a in articles if a})
+        if n >= H.LEAST_PAGES and n >= H.LEAST_SHARE * pages[h] and shares[h, subtree] < 1000 * H.MAIN_SHARE * n and own >= H.LEAST_OWN * len(everywhere[subtree]) * (own > 0):
+            known[h].add(subtree)
+    return sorted((i, u, *H.extracted(source, known[host(u)])) for i, u, source in rows)
+
+
+def varied(seed=0, n=240):
+    import random
+
+    r = random.Random(seed)
+    text = lambda k: " ".join(r.choice(["lorem", "ipsum", "dolor", "sit", "amet", "elit"]) + str(r.randrange(999)) for _ in range(k))
+    rows = []
+    for i in range(n):
+        host = r.choice(["a.com", "a.com", "a.com", "b.com", "c.com", f"h{i}.com"])
+        slot = f"<div class='x{len(host)}'><span>{text(4)}</span><span>{text(2)}</span></div>" * r.randint(1, 2)
+        shared = "<p>Quoted everywhere</p>" if r.random() < 0.4 else ""
+        own = f"<p>Subscribe to {host}</p>" if r.random() < 0.5 else ""
+        main = r.choice(["article", "main", "div"])
+        body = f"{slot}<{main}><h1>{text(3)}</h1><p>{text(40)}</p>{shared}{own}</{main}><section>{text(3)}</section>"
+        rows.append((i, r.choice([f"http://{host}/{i}", f"https://{host.upper()}/{i}?q"]) if i % 20 else None, body if i % 33 else r.choice([None, ""])))
+    return rows
+
+
+def test_against_brute_force(spark):
+    rows = varied()
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    expected = [(i, u or "", t, len(t), g) for i, u, t, g in brute([(i, u or "", h) for i, u, h in rows])]
+    for limit in (H.BROADCAST_BYTES, 0):  # templates sent to the pages, or joined by host and salt
+        found = sorted((r.page_id, r.url or "", r.text, r.n_chars, r.n_template) for r in H.extract_pages(df, limit).collect())
+        assert found == expected
+    assert sum(g > 0 for *_, g in expected) > 100
+    by = {r[0]: r[2] for r in expected}
+    assert any("Quoted everywhere" in t for t in by.values())
+
+
+def test_no_telling_names(spark):
+    """Counts alone tell slots from articles: no tag or class here says what it is, and no text but the last recurs."""
+    rows = []
+    for i in range(30):
+        words = " ".join(f"word{i}x{k}" for k in range(60))
+        rows.append((i, f"http://s.com/{i}", f"<body><div class='q1'><span>offer {i}</span></div><div class='q2'><h1>title {i}</h1><p>{words}</p></div><div class='q3'>printed {i} times</div><div>same</div></body>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in H.extract_pages(df).collect():
+        words = " ".join(f"word{r.page_id}x{k}" for k in range(60))
+        assert (r.text, r.n_template) == (f"title {r.page_id}\n{words}", 3)
+
+
+def test_hot_host_and_clashing_names(spark):
+    """A third of all rows on one host, most without salt; columns named as the operator's own are ignored."""
+    rows = [(i, "http://hot.com/" if i % 3 else f"http://h{i % 7}.com/", f"<div>all</div><p>own {i}</p>", "t", "h", 1) for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, template string, host string, salt int")
+    found = H.extract_pages(df, 0).collect()
+    assert sorted((r.page_id, r.text) for r in found) == [(i, f"own {i}") for i in range(300)]
