@@ -135,7 +135,12 @@ sql(
 )
 
 
-@query("seeded_uniform", "F26")
+def uniform(key: str, seed: int) -> Column:
+    """A number in [0, 1) that depends on a key column and a seed alone, wherever the row is read."""
+    return F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), 1, 13), 16, 10).cast("double") / 2.0**52
+
+
+@query("seeded_uniform", "F26", "SELECT count(*) AS n, round(avg(u), 6) AS mean, min(u) AS least, max(u) AS most FROM (SELECT cast(cast('0x' || substr(md5(cast(o_orderkey AS VARCHAR) || ':42'), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u FROM orders) AS t")
 def seeded_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A seeded generator's mean and range over the orders; the numbers are Spark's own."""
-    return table(spark, sf_dir, "orders").withColumn("u", F.rand(42)).agg(F.count("*").alias("n"), F.avg("u").alias("mean"), F.min("u").alias("least"), F.max("u").alias("most"))
+    """A seeded generator's mean and range over the orders."""
+    return table(spark, sf_dir, "orders").select(uniform("o_orderkey", 42).alias("u")).agg(F.count("*").alias("n"), F.round(F.avg("u"), 6).alias("mean"), F.min("u").alias("least"), F.max("u").alias("most"))

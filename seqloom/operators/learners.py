@@ -83,11 +83,17 @@ class ContextMean(Model):
 
 
 class Mixer(Model):
-    """Weights chosen by a gate, a dot product of logits, a gradient step on the error."""
+    """Weights chosen by a gate, a dot product of logits, an AdaGrad step on the error.
 
-    def __init__(self, models: list[Model], gates: int = 1, rate: float = 0.02, decay: float = 1e-4):
-        self.models, self.rate, self.decay, self.steps = models, rate, decay, 0
-        self.weights = np.full((gates, len(models)), 1.0 / max(1, len(models)))
+    Each weight's step shrinks with the root of its own squared gradients so far, and every
+    step pulls the gate's weights a little towards an equal mix.
+    """
+
+    def __init__(self, models: list[Model], gates: int = 1, rate: float = 0.05, pull: float = 1e-5):
+        self.models, self.rate, self.pull = models, rate, pull
+        self.even = 1.0 / max(1, len(models))
+        self.weights = np.full((gates, len(models)), self.even)
+        self.squares = np.ones((gates, len(models)))
         self.gate, self.inputs, self.p = 0, np.zeros(len(models)), 0.5
 
     def predict(self) -> float:
@@ -97,11 +103,10 @@ class Mixer(Model):
         return self.p
 
     def update(self, bit: int) -> None:
-        self.steps += 1
-        rate = self.rate * max(0.1, 0.9 / (1e-3 * self.steps + 0.8) ** 0.8)
-        self.weights[self.gate] += rate * (bit - self.p) * self.inputs
-        if self.steps % 1024 == 0:
-            self.weights *= 1 - self.decay
+        own = self.weights[self.gate]
+        gradient = (self.p - bit) * self.inputs + self.pull * (own - self.even)
+        self.squares[self.gate] += gradient**2
+        own -= self.rate * gradient / np.sqrt(self.squares[self.gate])
         for m in self.models:
             m.update(bit)
         self.gate = bit % len(self.weights)

@@ -33,33 +33,56 @@ sql(
 sql("instruction_window", "G10a", "WITH v AS (SELECT user_id, pos, CASE WHEN event_type IN ('click', 'view') THEN 1 ELSE 0 END AS ok FROM series) SELECT user_id, pos, min(ok) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) = 1 AND pos > 16 AS valid FROM v")
 
 
-def huffman_bits(symbols: list[str], codes: dict[str, tuple[int, int]]) -> str:
-    """The bits of symbols under codes of (value, length)."""
-    return "".join(f"{codes[s][0]:0{codes[s][1]}b}" for s in symbols)
+CODED = 1000  # symbols with a code of their own; the others are escaped and said in full
 
 
-def huffman_decode(bits: str, codes: dict[str, tuple[int, int]]) -> list[str]:
+def huffman_codes(counts: dict[str | None, int]) -> dict[str | None, tuple[int, int]]:
+    """Canonical prefix codes (value, length) of symbol counts; None is the escape, which any table has."""
+    counts = {None: 1} | {s: n for s, n in counts.items() if n > 0}
+    total, codes, code, last = sum(counts.values()), {}, 0, 0
+    lengths = {s: max(1, (-(-total // n) - 1).bit_length()) for s, n in counts.items()}
+    for s in sorted(lengths, key=lambda s: (lengths[s], s is not None, s or "")):
+        code <<= lengths[s] - last
+        codes[s], code, last = (code, lengths[s]), code + 1, lengths[s]
+    return codes
+
+
+def huffman_bits(symbols: list[str], codes: dict[str | None, tuple[int, int]]) -> str:
+    """The bits of symbols; one without a code follows the escape as its length (32 bits) and bytes."""
+    names = {s: f"{c:0{n}b}" for s, (c, n) in codes.items()}
+
+    def full(s: str) -> str:
+        raw = s.encode()
+        return names[None] + f"{len(raw):032b}" + "".join(f"{x:08b}" for x in raw)
+
+    return "".join(names[s] if s in names and s is not None else full(s) for s in symbols)
+
+
+def huffman_decode(bits: str, codes: dict[str | None, tuple[int, int]]) -> list[str]:
     """Symbols of a bit string, one bit at a time."""
     names = {(f"{c:0{n}b}"): s for s, (c, n) in codes.items()}
-    out, own = [], ""
-    for b in bits:
-        own += b
+    out, own, at = [], "", 0
+    while at < len(bits):
+        own += bits[at]
+        at += 1
         if own in names:
-            out.append(names[own])
-            own = ""
+            symbol, own = names[own], ""
+            if symbol is None:
+                size = int(bits[at : at + 32], 2)
+                raw = bits[at + 32 : at + 32 + 8 * size]
+                symbol, at = int(raw or "0", 2).to_bytes(size, "big").decode(), at + 32 + 8 * size
+            out.append(symbol)
     return out
 
 
 @query("huffman_roundtrip", "G9b G9")
 def huffman_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event types of each user coded and decoded with a canonical prefix code of their counts."""
-    events = table(spark, sf_dir, "events")
-    counts = {r.event_type: r.n for r in events.groupBy("event_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_type").limit(1000).collect()}
-    total, codes, code, last = sum(counts.values()), {}, 0, 0
-    lengths = {s: max(1, (-(-total // n) - 1).bit_length()) for s, n in counts.items()}
-    for s in sorted(lengths, key=lambda s: (lengths[s], s)):
-        code <<= lengths[s] - last
-        codes[s], code, last = (code, lengths[s]), code + 1, lengths[s]
+    """Event types of each user coded and decoded with a canonical prefix code of their counts; a null one reads as empty."""
+    events = table(spark, sf_dir, "events").withColumn("event_type", F.coalesce("event_type", F.lit("")))
+    counts = events.groupBy("event_type").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    most = {r.event_type: r.n for r in counts.orderBy(F.desc("n"), "event_type").limit(CODED).collect()}
+    codes = huffman_codes(most | {None: max(1, total - sum(most.values()))})
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         own = rows.sort_values(["ts", "event_id"])["event_type"].tolist()

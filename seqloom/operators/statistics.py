@@ -152,4 +152,4 @@ def online_ols_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value").groupBy("user_id").applyInPandas(run, "user_id long, n long, ols_error double, last_error double")
 
 
-sql("context_table_size", "J10 ST5", "SELECT event_type AS ctx, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY event_type ORDER BY n DESC, ctx LIMIT 10000")
+sql("context_table_size", "J10 ST5", "SELECT event_type AS ctx, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")

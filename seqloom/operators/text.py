@@ -26,8 +26,8 @@ sql("hyphenation_join", "T12", "SELECT doc_id, cast(length(text) - length(replac
 sql(
     "word_shape_counts",
     "T18 F13",
-    "SELECT regexp_replace(regexp_replace(lw, '[aeiouy]', 'V', 'g'), '[b-df-hj-np-tv-xz]', 'C', 'g') AS shape, count(*) AS n FROM words WHERE length(lw) <= 12 GROUP BY 1",
-    spark_text="SELECT regexp_replace(regexp_replace(lw, '[aeiouy]', 'V'), '[b-df-hj-np-tv-xz]', 'C') AS shape, count(*) AS n FROM words WHERE length(lw) <= 12 GROUP BY 1",
+    "SELECT regexp_replace(regexp_replace(lw, '[aeiouy]', 'V', 'g'), '[b-df-hj-np-tv-xz]', 'C', 'g') AS shape, count(*) AS n FROM words GROUP BY 1",
+    spark_text="SELECT regexp_replace(regexp_replace(lw, '[aeiouy]', 'V'), '[b-df-hj-np-tv-xz]', 'C') AS shape, count(*) AS n FROM words GROUP BY 1",
 )
 TYPES = "CASE WHEN lw IN ('the', 'a', 'an', 'le', 'la', 'les', 'un', 'une', 'der', 'die', 'das', 'el', 'los', 'las') THEN 'article' WHEN lw IN ('and', 'or', 'but', 'et', 'ou', 'und', 'oder', 'y', 'o') THEN 'conjunction' WHEN lw IN ('of', 'in', 'on', 'to', 'by', 'from', 'with', 'for', 'at', 'de', 'du', 'pour', 'par', 'von', 'mit', 'zu', 'para') THEN 'adposition' WHEN lw IN ('is', 'are', 'was', 'be', 'est', 'sont', 'ist', 'sind', 'es') THEN 'verb' ELSE 'other' END"
 sql(
@@ -76,7 +76,19 @@ SUFFIXES = "(VALUES ('ational', 'ate', 2), ('tional', 'tion', 2), ('ization', 'i
 _LOOKUP = f"""WITH w AS (SELECT DISTINCT lw AS word FROM words WHERE {{m}}(lw, '^[a-z]+$')), h AS (SELECT word, suffix, put, step, row_number() OVER (PARTITION BY word ORDER BY step, length(suffix) DESC) AS r FROM w JOIN {SUFFIXES} ON substr(word, greatest(1, length(word) - length(suffix) + 1)) = suffix AND length(word) > length(suffix) + 2)
 SELECT word, suffix, cast(step AS bigint) AS step, substr(word, 1, length(word) - length(suffix)) || put AS stem FROM h WHERE r = 1"""
 sql("suffix_lookup", "T5j T5k T5l T5m T6c T7b", _LOOKUP.replace("{m}", "regexp_matches"), spark_text=_LOOKUP.replace("{m}", "regexp_like"))
-sql("word_exceptions", "T5n T5d", "SELECT lw AS word, count(*) AS n, CASE WHEN lw LIKE 'irr%' AND length(lw) > 5 THEN 'ir' WHEN lw LIKE 'over%' AND length(lw) > 6 THEN 'over' WHEN lw LIKE 'under%' AND length(lw) > 7 THEN 'under' WHEN lw LIKE 'unn%' AND length(lw) > 5 THEN 'un' WHEN lw LIKE 'non%' AND length(lw) > 5 THEN 'non' ELSE '' END AS prefix, lw IN ('news', 'atlas', 'bias', 'sky', 'only', 'early') AS whole FROM words GROUP BY lw")
+# The exceptional forms of the published English Snowball stemmer (and below, the beginnings whose first region it sets).
+EXCEPTIONS = "(VALUES ('skis', 'ski'), ('skies', 'sky'), ('idly', 'idl'), ('gently', 'gentl'), ('ugly', 'ugli'), ('early', 'earli'), ('only', 'onli'), ('singly', 'singl'), ('sky', 'sky'), ('news', 'news'), ('howe', 'howe'), ('atlas', 'atlas'), ('cosmos', 'cosmos'), ('bias', 'bias'), ('andes', 'andes')) AS e(form, stem)"
+# A prefix is learned: two to five letters that a word of at least four letters goes on with, which stands alone too.
+_CUTS = " UNION ALL ".join(f"SELECT word, {n} AS len FROM w WHERE length(word) >= {n + 4}" for n in range(2, 6))
+sql(
+    "word_exceptions",
+    "T5n T5d",
+    f"""WITH w AS (SELECT lw AS word, count(*) AS n FROM words GROUP BY lw), k AS ({_CUTS}),
+    p AS (SELECT k.word, substr(k.word, 1, cast(max(len) AS int)) AS prefix FROM k JOIN w AS rest ON rest.word = substr(k.word, len + 1) GROUP BY k.word),
+    c AS (SELECT prefix, count(*) AS carried FROM p GROUP BY prefix)
+    SELECT w.word, n, p.prefix, coalesce(carried, 0) AS carried, stem, CASE WHEN substr(w.word, 1, 5) IN ('gener', 'arsen') THEN 5 WHEN substr(w.word, 1, 6) = 'commun' THEN 6 END AS r1
+    FROM w LEFT JOIN p ON w.word = p.word LEFT JOIN c ON p.prefix = c.prefix LEFT JOIN {EXCEPTIONS} ON w.word = form""",
+)
 sql("umlaut_fold", "T7a T7c T6a", "SELECT lw AS word, translate(replace(lw, 'ß', 'ss'), 'äöüàâéèêëîïôûù', 'aouaaeeeeiiouu') AS folded, count(*) AS n FROM words GROUP BY lw")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,25 +26,27 @@ sql(
 )
 
 
+_CALL = re.compile(rb"[\xe8\xe9]|\x0f[\x80-\x8f]")
+
+
 def absolute_calls(data: bytes, undo: bool = False) -> bytes:
-    """Relative CALL and JMP operands as absolute ones, or back.
+    """Relative CALL, JMP and Jcc operands as absolute ones, or back; any bytes come back.
 
-    In blocks of 64 KiB; an operand counts if its high byte is 00 or FF and its four
-    bytes lie in the block.  Going forwards the block is read from its end, so that
-    operands don't overlap ones already changed; going back it is read from its start.
+    The four bytes after an operation are its operand and are never read as operations, so
+    both ways meet the same places.  Displacements that lead into the data, [-at, size - at),
+    become addresses [0, size); those that displaces, [size - at, size), take the room left
+    below 0; all others stay.  That is one to one, so undoing it needs no marks.
     """
-    out = bytearray(data)
-    for base in range(0, len(data), 65536):
-        end = min(len(data), base + 65536)
-        places = range(base, end - 4)
-        for i in places if undo else reversed(places):
-            if out[i] in (0xE8, 0xE9) or (out[i] & 0xF0 == 0x80 and i > base and out[i - 1] == 0x0F):
-                high = out[i + 4] ^ (176 if undo else 0)
-                if high in (0, 255):
-                    operand = int.from_bytes(out[i + 1 : i + 4], "little")
-                    operand = (operand - (i + 5) if undo else operand + i + 5) & 0xFFFFFF
-                    out[i + 1 : i + 4] = operand.to_bytes(3, "little")
-                    out[i + 4] = high if undo else high ^ 176
+    out, size, at = bytearray(data), len(data), 0
+    while (m := _CALL.search(out, at)) and m.end() + 4 <= size:
+        here, at = m.end(), m.end() + 4  # displacements count from the next operation
+        value = int.from_bytes(out[here:at], "little", signed=True)
+        if -at <= value < size:
+            if undo:
+                value = value - at if value >= 0 else value + size
+            else:
+                value = value + at if value < size - at else value - size
+            out[here:at] = value.to_bytes(4, "little", signed=True)
     return bytes(out)
 
 

@@ -25,7 +25,7 @@ def test_stems():
 @settings(max_examples=300, deadline=None)
 def test_stemmers_take_anything(word):
     for stem in stemming.STEMMERS.values():
-        assert len(stem(word)) <= len(word) + 2
+        assert len(stem(word)) <= len(word.replace('ß', 'ss')) + 2  # ß is written ss
 
 
 @given(st.binary(max_size=400))
@@ -33,6 +33,8 @@ def test_stemmers_take_anything(word):
 def test_addresses_come_back(data):
     data = data.replace(b"\x01", b"\xe8").replace(b"\x02", b"\x00").replace(b"\x03", b"\xff")
     assert len(transforms.absolute_calls(data)) == len(data)
+    assert transforms.absolute_calls(transforms.absolute_calls(data), True) == data
+    assert transforms.absolute_calls(transforms.absolute_calls(data, True)) == data
 
 
 def test_addresses_of_calls():
@@ -95,6 +97,11 @@ def test_prefix_codes():
     codes = {"a": (0, 1), "b": (2, 2), "c": (3, 2)}
     own = list("abcabacca")
     assert media.huffman_decode(media.huffman_bits(own, codes), codes) == own
+    made = media.huffman_codes({"a": 50, "b": 3, "": 1})
+    rare = ["a", "unseen", "b", "", "été", "a"]
+    assert media.huffman_decode(media.huffman_bits(rare, made), made) == rare
+    bits = sorted(f"{c:0{n}b}" for c, n in made.values())
+    assert not any(b.startswith(a) for a, b in zip(bits, bits[1:]))
     assert [m for _, m in media.jpeg_markers(bytes.fromhex(media._JPEG))] == [0xD8, 0xE0, 0xDB, 0xC0, 0xC4, 0xDA]
     assert media.instructions(b"\xe8\0\0\0\0\x90\x66\x01\xc0") == [(0, 0xE8, False), (5, 0x90, False), (6, 0x01, True)]
 
