@@ -5,16 +5,17 @@ segment (a block of documents), in which the positions of each term follow each
 other in order of term and position.  :func:`search_windows` looks phrases up in
 every segment: it takes the postings of a phrase's rarest term, moves them by the
 term's offset, and intersects them with those of the other terms, the rarer
-first.  :meth:`Segment.near` returns proximity matches in the same way.
+first.  :func:`search_near` finds terms that stand near each other in the same way.
 
-The test side is the benchmark's windows.  It is read in blocks of a bounded size
-(``ITEM_BYTES``); a larger benchmark takes several passes over the index.
+The test side is the benchmark's windows, a table of term hashes that Spark makes.
+It is searched in blocks of a bounded number of windows (``BLOCK_WINDOWS``), one at a
+time, so the driver and the tasks hold one block whatever the benchmark's size; a
+benchmark of several blocks takes as many passes over the index.  Each pass writes the
+runs of words that it hits, and the passes' runs are put together per document.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,16 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.columns import blocks, fold_table, hash_words, stored, texts, words
+from seqloom.llm.columns import SCRATCH, blocks, drop_stored, fold_table, hash_words, stored, texts, words
 
 WINDOW = 8
 CONTAMINATED = 2  # items
-ITEM_BYTES = 16 << 20
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+BLOCK_WINDOWS = 100_000
 TABLE = fold_table([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
-LOWER = {c: c + 32 for c in range(65, 91)}
-INDEX_SCHEMA = "doc_ids array<long>, n_words binary, terms binary, first binary, positions binary"
-RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+INDEX_SCHEMA = "segment long, doc_ids array<long>, n_words binary, terms binary, first binary, positions binary"
 GAP = 1  # positions between documents, so that no phrase runs from one to the next
 
 
@@ -155,29 +153,56 @@ class Segment:
         return np.searchsorted(self.doc_at, positions, "right") - 1
 
 
+def window_table(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The windows (item, terms) of a benchmark (item_id, text), terms as hashes; a null id reads as empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches):
+            codes, dictionary, doc, _ = words(*texts(b.column("text")), TABLE)
+            hashes = hash_words(dictionary).view(np.int64)[codes] if len(codes) else np.zeros(0, np.int64)
+            for item, i, j in zip(b.column("item").to_pylist(), doc[:-1].tolist(), doc[1:].tolist()):
+                if i < j:
+                    rows = np.lib.stride_tricks.sliding_window_view(hashes[i:j], min(window, j - i))
+                    for at in range(0, len(rows), 10_000):
+                        part = rows[at : at + 10_000]
+                        offsets = pa.array(np.arange(len(part) + 1, dtype=np.int32) * part.shape[1])
+                        yield pa.RecordBatch.from_arrays([pa.array([item] * len(part), pa.string()), pa.ListArray.from_arrays(offsets, pa.array(part.ravel()))], ["item", "terms"])
+
+    own = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
+    return own.mapInArrow(run, "item string, terms array<long>").distinct()
+
+
+def window_blocks(table: DataFrame, most: int = BLOCK_WINDOWS) -> Iterator[Windows]:
+    """A stored table of windows in blocks of about ``most``, one held at a time; an empty one gives one empty block.
+
+    Blocks are dealt by window and item, so a window of very many items is in many of them.
+    """
+    k = max(1, -(-table.count() // most))
+    for i in range(k):
+        own = table if k == 1 else table.where(F.expr(f"pmod(xxhash64(item, terms), {k}) = {i}"))
+        rows = own.toArrow()
+        yield Windows(list(zip(rows.column("item").to_pylist(), rows.column("terms").to_pylist())))
+
+
 class Windows:
-    """The windows of a block of benchmark items."""
-
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
-        import xxhash
-
-        seen: dict[tuple[str, ...], set[str]] = {}
-        for item, text in items:
-            own = WORD.findall((text or "").translate(LOWER))
-            if own:
-                for k in range(max(1, len(own) - window + 1)):
-                    seen.setdefault(tuple(own[k : k + window]), set()).add(item)
-        vocabulary = sorted({w for ws in seen for w in ws})
-        number = {w: i for i, w in enumerate(vocabulary)}
-        self.hashes = np.array([xxhash.xxh64_intdigest(w.encode()) for w in vocabulary], np.uint64)
+    """A block of windows (item, hashes of its terms)."""
+
+    def __init__(self, rows: list[tuple[str, list[int]]]):
+        owners: dict[tuple[int, ...], set[str]] = {}
+        for item, terms in rows:
+            owners.setdefault(tuple(terms), set()).add(item)
+        vocabulary = sorted({t for terms in owners for t in terms})
+        number = {t: i for i, t in enumerate(vocabulary)}
+        self.hashes = np.array(vocabulary, np.int64).view(np.uint64)
         self.groups = []  # windows of one length, and their items
-        for n in sorted({len(ws) for ws in seen}):
-            own = [ws for ws in seen if len(ws) == n]
-            self.groups.append((n, np.array([[number[w] for w in ws] for ws in own], np.int64), [sorted(seen[ws]) for ws in own]))
+        for n in sorted({len(terms) for terms in owners}):
+            own = [terms for terms in owners if len(terms) == n]
+            self.groups.append((n, np.array([[number[t] for t in terms] for terms in own], np.int64), [sorted(owners[terms]) for terms in own]))
 
     def search(self, segment: Segment) -> tuple[np.ndarray, dict[int, set[str]]]:
         """Which positions of a segment are hit, and the items found in each document."""
-        hit = np.zeros(segment.span + WINDOW + 1, np.int32)
+        longest = max((n for n, *_ in self.groups), default=0)
+        hit = np.zeros(segment.span + longest + 1, np.int32)
         items: dict[int, set[str]] = {}
         here = segment.lookup(self.hashes)
         for n, rows, owners in self.groups:
@@ -189,100 +214,131 @@ class Windows:
         return np.cumsum(hit)[: segment.span] > 0, items
 
 
-def digest(items: set[str] | list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
-
-
-def item_blocks(benchmark: DataFrame, limit: int = ITEM_BYTES) -> Iterator[list[tuple[str, str | None]]]:
-    """The items (item_id, text) in blocks of about ``limit`` bytes; a null id reads as empty."""
-    total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    k = -(-int(total) // limit) or 1
-    for i in range(k):
-        own = benchmark if k == 1 else benchmark.where(F.expr(f"pmod(xxhash64(item_id, text), {k}) = {i}"))
-        yield [(r[0] or "", r[1]) for r in own.select(F.col("item_id").cast("string"), "text").collect()]
-
-
 def build_index(docs: DataFrame) -> DataFrame:
-    """One row of postings per segment of ``docs`` (doc_id, text), every token of every row."""
+    """One row of postings per segment of ``docs`` (doc_id, text), every token of every row.
+
+    ``segment`` is unique: the running id of its first row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
             row = Segment.build(*texts(b.column("text"))).row()
-            columns = {"doc_ids": [b.column("doc_id").to_pylist()]} | {k: [v] for k, v in row.items()}
-            yield pa.RecordBatch.from_pydict(columns, pa.schema([("doc_ids", pa.list_(pa.int64()))] + [(k, pa.binary()) for k in row]))
+            columns = {"segment": [b.column("segment")[0].as_py()], "doc_ids": [b.column("doc_id").to_pylist()]} | {k: [v] for k, v in row.items()}
+            yield pa.RecordBatch.from_pydict(columns, pa.schema([("segment", pa.int64()), ("doc_ids", pa.list_(pa.int64()))] + [(k, pa.binary()) for k in row]))
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, INDEX_SCHEMA)
+    return docs.select(F.monotonically_increasing_id().alias("segment"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, INDEX_SCHEMA)
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, Segment]]:
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, Segment]]:
     for b in batches:
         for i in range(b.num_rows):
             row = {k: b.column(k)[i].as_py() for k in b.schema.names}
-            yield row.pop("doc_ids"), Segment.of_row(row)
-
-
-def search_windows(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, item_bytes: int = ITEM_BYTES) -> DataFrame:
-    """Every indexed document with the words and items found in it."""
-    passes = [Windows(items, window) for items in item_blocks(benchmark, item_bytes)]
-    if len(passes) == 1:
-        own = passes[0]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for ids, s in _segments(batches):
-                hit, items = own.search(s)
-                before = np.concatenate([[0], np.cumsum(hit)])
-                # a document's words, without the gap after them
-                counts = before[s.doc_at[1:] - GAP] - before[s.doc_at[:-1]]
-                sets = [items.get(d, ()) for d in range(len(ids))]
-                yield pa.RecordBatch.from_pydict(
-                    {"doc_id": ids, "n_words": s.n_words.astype(np.int64), "n_hit": counts.astype(np.int64), "n_items": [len(x) for x in sets], "items_sha256": [digest(x) for x in sets], "contaminated": [len(x) >= CONTAMINATED for x in sets]},
-                    pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())]),
-                )
-
-        return index.mapInArrow(run, RESULT)
-
-    # Several blocks of items: each pass gives its hits, which are put together per document.
-    def each(own: Windows):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            schema = pa.schema([("segment", pa.binary()), ("doc", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("words", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
-            for ids, s in _segments(batches):
-                hit, items = own.search(s)
-                key = hashlib.sha256(s.positions.tobytes() + repr(ids).encode() + s.terms.tobytes()).digest()
-                rows = {"segment": [key] * len(ids), "doc": list(range(len(ids))), "doc_id": ids, "n_words": s.n_words.astype(np.int64)}
-                rows["words"] = [np.flatnonzero(hit[a : b - GAP]).tolist() for a, b in zip(s.doc_at[:-1].tolist(), s.doc_at[1:].tolist())]
-                rows["items"] = [sorted(items.get(d, ())) for d in range(len(ids))]
-                yield pa.RecordBatch.from_pydict(rows, schema)
-
-        return run
-
-    found = [index.mapInArrow(each(own), "segment binary, doc int, doc_id long, n_words long, words array<int>, items array<string>") for own in passes]
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
-    once = every.groupBy("segment", "doc", "doc_id", "n_words").agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return once.select(
-        "doc_id", "n_words", F.size("words").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("items") >= CONTAMINATED).alias("contaminated")
+            yield row.pop("segment"), row.pop("doc_ids"), Segment.of_row(row)
+
+
+def _hits(index: DataFrame, own: Windows) -> DataFrame:
+    """The documents (segment, doc) in which windows occur: the runs of words inside them, and the items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+        schema = pa.schema([("segment", pa.int64()), ("doc", pa.int32()), ("runs", pairs), ("items", pa.list_(pa.string()))])
+        for name, _, s in _segments(batches):
+            hit, items = own.search(s)
+            found = sorted(items)
+            runs = []
+            for d in found:
+                edge = np.flatnonzero(np.diff(np.concatenate([[False], hit[s.doc_at[d] : s.doc_at[d + 1] - GAP], [False]]).astype(np.int8)))
+                runs.append([{"begin": i, "end": j} for i, j in edge.reshape(-1, 2).tolist()])
+            if found:
+                yield pa.RecordBatch.from_pydict({"segment": [name] * len(found), "doc": found, "runs": runs, "items": [sorted(items[d]) for d in found]}, schema)
+
+    return index.mapInArrow(run, "segment long, doc int, runs array<struct<begin:long,end:long>>, items array<string>")
+
+
+#: words in the union of runs: sorted by begin, each adds what lies past the ends so far
+_UNION = "aggregate(array_sort(flatten(collect_list(runs))), named_struct('n', 0L, 'at', 0L), (s, r) -> named_struct('n', s.n + greatest(0L, r.end - greatest(r.begin, s.at)), 'at', greatest(s.at, r.end)), s -> s.n)"
+
+
+def search_windows(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """Every document of a stored index with the words and items found in it; the searches run at once.
+
+    One row for each row indexed, whatever the number of passes.
+    """
+    since = len(SCRATCH)
+    table = stored(window_table(benchmark, window), "windows", True)
+    passes = [stored(_hits(index, own), "hits", True) for own in window_blocks(table, block_windows)]
+    found = passes[0]
+    for more in passes[1:]:
+        found = found.unionByName(more)
+    once = found.groupBy("segment", "doc").agg(F.expr(_UNION).alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    hits = stored(once.select("segment", "doc", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")), "found", True)
+    drop_stored(index.sparkSession, since, keep=1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                n = np.frombuffer(b.column("n_words")[i].as_py(), "<i4").astype(np.int64)
+                yield pa.RecordBatch.from_pydict({"segment": [b.column("segment")[i].as_py()] * len(n), "doc": np.arange(len(n), dtype=np.int32), "doc_id": b.column("doc_ids")[i].as_py(), "n_words": n}, pa.schema([("segment", pa.int64()), ("doc", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64())]))
+
+    rows = index.select("segment", "doc_ids", "n_words").mapInArrow(count, "segment long, doc int, doc_id long, n_words long")
+    n_items = F.coalesce("n_items", F.lit(0).cast("long"))
+    return rows.join(hits, ["segment", "doc"], "left").select(
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), n_items.alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (n_items >= CONTAMINATED).alias("contaminated")
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def search_near(index: DataFrame, queries: DataFrame, slop: int, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """Proximity matches of ``queries`` (item_id, text) in an index: item, segment, doc, doc_id and position.
+
+    A position is where the rarest of a query's words stands in the document, with every
+    other one at most ``slop`` words away, in any order.  A query without words matches nothing.
+    """
+    table = stored(window_table(queries, 1 << 30), "queries", True)
+    found = None
+    for own in window_blocks(table, block_windows):
+
+        def run(batches: Iterator[pa.RecordBatch], own: Windows = own) -> Iterator[pa.RecordBatch]:
+            for name, ids, s in _segments(batches):
+                here = s.lookup(own.hashes)
+                rows = []
+                for _, terms, owners in own.groups:
+                    for row, items in zip(here[terms], owners):
+                        at = s.near(row, slop)
+                        for p, d in zip(at.tolist(), s.docs_of(at).tolist()):
+                            rows += [(item, name, d, ids[d], p - int(s.doc_at[d])) for item in items]
+                for at in range(0, len(rows), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 10_000]), (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["item", "segment", "doc", "doc_id", "position"])
+
+        each = stored(index.mapInArrow(run, "item string, segment long, doc int, doc_id long, position long"), "near")
+        found = each if found is None else found.unionByName(each)
+    return found
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """For every row of ``docs`` (doc_id, text): words, words inside a benchmark window, items found.
 
-    The index is written to the shared folder and searched there.  A null or empty
+    The index is written to the shared folder, searched there and dropped.  A null or empty
     text has no words.  Repeated rows are rows of their own; repeated item ids
     count once; an empty benchmark finds nothing; other columns are ignored.
     """
-    return search_windows(stored(build_index(docs), "postings"), benchmark)
+    since = len(SCRATCH)
+    index = stored(build_index(docs), "postings")
+    found = stored(search_windows(index, benchmark, block_windows=block_windows), "matches")
+    drop_stored(docs.sparkSession, since, keep=1)
+    return found
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """The rows of ``docs`` in which no benchmark window occurs, with their columns.
 
-    Each block is indexed and searched where it is read; nothing is shuffled.
+    Each block of documents is indexed and searched where it is read; nothing is shuffled.
+    What a block of windows leaves is written before the next one is looked for.
     """
-    found = docs
-    for items in item_blocks(benchmark):
-        own = Windows(items)
+    since = len(SCRATCH)
+    found, last = None, None
+    for own in window_blocks(stored(window_table(benchmark), "windows", True), block_windows):
+        if found is not None:
+            last = stored(found, "clean")
 
         def run(batches: Iterator[pa.RecordBatch], own: Windows = own) -> Iterator[pa.RecordBatch]:
             for b in blocks(batches):
@@ -290,7 +346,8 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 if len(dirty) < b.num_rows:
                     yield b.filter(pa.array([d not in dirty for d in range(b.num_rows)]))
 
-        found = found.mapInArrow(run, docs.schema)
+        found = (docs if last is None else last).mapInArrow(run, docs.schema)
+    drop_stored(docs.sparkSession, since, keep=0 if last is None else 1)
     return found
 
 
