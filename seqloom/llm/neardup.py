@@ -9,12 +9,18 @@ same order: it follows edit similarity.
 Documents of one word sequence are one node, whatever their number.  Nodes that
 share a sketch meet in a bucket.  First each member is compared with the bucket's
 most central node (the one with most company over all its buckets, as the source of
-many copies has), which joins most copies to classes.  Then every pair of members
-that are of different classes still is looked at, in cells of bounded size: a
-crowded bucket is dealt to parts, and each two parts are a cell.  Of the pairs that
-two classes have, the most alike are verified first, and the others only if the
-classes are still apart, so no pair that could join two classes goes untried.  A
-pair is a link if a banded alignment of the two word sequences keeps at least
+many copies has), which joins most copies to classes.  Then rounds follow over the
+buckets that still have several classes.  In a round every member names its most alike
+partners of other classes that it hasn't been compared with (of two classes the smaller
+one's members do), the pairs are verified, and classes with a link become one.  A
+bucket is done once nobody in it has anyone left to name, so no pair that could join
+two classes goes untried, while a round makes a few pairs a member, not all pairs.  How
+alike two nodes are is first read from a short digest of their k-mers and, in the
+buckets that go on, from a longer one; who can't reach the threshold, by ``MARGIN``
+standard deviations of that estimate, isn't named.  Crowded buckets are dealt to parts,
+and each two parts meet in a cell of bounded size.
+
+A pair is a link if a banded alignment of the two word sequences keeps at least
 ``SIMILARITY`` of their shingles: kept / (all of either), a shingle being kept if its
 five words are aligned in one run.  Classes are the connected components of links.
 """
@@ -26,7 +32,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqloom.llm.columns import SCRATCH, blocks, drop_stored, fold_table, hash_words, mix, stored, texts, words
@@ -36,10 +41,11 @@ SKETCHES = 12
 PICKED = 2
 SIMILARITY = 0.8
 BINS = 64  # of the digest of k-mers by which pairs are sifted before alignment
-LEAST_ALIKE = 0.6  # of the bins: four standard deviations under the threshold
+FINE = 512  # of the digest in buckets that go on
+MARGIN = 4.0  # standard deviations under the threshold: 3 in 100,000 links could be missed in one bucket
 PART = 4096  # members of a part of a bucket, expected; two parts are a cell
 ROWS = 256  # of a cell that are held against all its other rows at once
-FIRST = 8  # pairs of two classes that are verified before the rest
+NAMED = 2  # partners that a member names in the first round; twice as many in each further one
 BAND = 16
 CELLS = 8 << 20  # of an alignment batch
 TABLE = fold_table([*range(0x30, 0x3A), *range(65, 91), *range(97, 123), *range(128, 256)])
@@ -117,20 +123,27 @@ def order_minhash(value: np.ndarray, first: np.ndarray, sketches: int = SKETCHES
     return out
 
 
-def binned(value: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """One byte of the least k-mer of each of BINS bins (documents, BINS), 0 for an empty bin."""
+def binned(value: np.ndarray, first: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """One byte of the least k-mer of each of ``bins`` bins (documents, bins), 0 for an empty bin."""
     n = len(first) - 1
     h = mix(value * np.uint64(0xA24BAED4963EE407))
     of = np.repeat(np.arange(n), np.diff(first))
     far = np.uint64(0xFFFFFFFFFFFFFFFF)
-    least = np.full(n * BINS, far)
-    np.minimum.at(least, of * BINS + (h >> np.uint64(58)).astype(np.int64), h & np.uint64((1 << 58) - 1))
-    return np.where(least == far, 0, 1 + mix(least) % np.uint64(255)).astype(np.uint8).reshape(n, BINS)
+    bits = np.uint64(bins.bit_length() - 1)
+    least = np.full(n * bins, far)
+    np.minimum.at(least, of * bins + (h >> (np.uint64(64) - bits)).astype(np.int64), h & ((np.uint64(1) << (np.uint64(64) - bits)) - np.uint64(1)))
+    return np.where(least == far, 0, 1 + mix(least) % np.uint64(255)).astype(np.uint8).reshape(n, bins)
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated shares of common k-mers, from rows of bins."""
-    return ((a == b) & (a > 0)).sum(1) / np.maximum(((a > 0) | (b > 0)).sum(1), 1)
+def floor_of(used: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """The least share of common bins, of ``used``, at which texts of na and nb shingles may be a link.
+
+    The bins are a sample of the shingles of either, so the estimate's variance shrinks as
+    they hold more of them.
+    """
+    every = np.maximum((na + nb) / (1 + SIMILARITY), 1.0)
+    left = np.clip(1 - used / every, 0.25, 1.0)
+    return SIMILARITY - MARGIN * np.sqrt(SIMILARITY * (1 - SIMILARITY) * left / np.maximum(used, 1))
 
 
 def sketch_rows(docs: DataFrame) -> DataFrame:
@@ -283,65 +296,84 @@ def sift(pairs: DataFrame) -> DataFrame:
         for p in batches:
             ba, bb = (np.frombuffer(b"".join(p.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("ba", "bb"))
             na, nb = (np.maximum(p.column(c).to_numpy(zero_copy_only=False) - SHINGLE + 1, 1) for c in ("na", "nb"))
-            good = pa.array((alike(ba, bb) >= LEAST_ALIKE) & (np.minimum(na, nb) >= SIMILARITY * np.maximum(na, nb)))
-            a, b = (p.column(c).filter(good).to_numpy(zero_copy_only=False) for c in ("a", "b"))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+            used = ((ba > 0) | (bb > 0)).sum(1)
+            share = ((ba == bb) & (ba > 0)).sum(1) / np.maximum(used, 1)
+            good = pa.array((share >= floor_of(used, na, nb)) & (np.minimum(na, nb) >= SIMILARITY * np.maximum(na, nb)))
+            yield pa.RecordBatch.from_arrays([p.column("a").filter(good), p.column("b").filter(good)], ["a", "b"])
 
     return pairs.mapInArrow(run, "a long, b long").distinct()
 
 
-def crossed(bins: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of rows of a cell that are of different classes and may be links, and how alike they are.
+def named_in(node: np.ndarray, n: np.ndarray, bins: np.ndarray, label: np.ndarray, side: np.ndarray, tried: list[list[int]], top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``top`` partners that each row of a cell names: rows, partners and how alike they are.
 
-    Rows of two sides are held against the other side's; rows of one side against each
-    other.
+    Rows of two sides name rows of the other side, rows of one side any.  Of two rows of
+    different classes, that of the class with fewer rows here names the other; ``tried`` has
+    nodes that a row has been compared with, and both sides mind it.
     """
-    low = np.flatnonzero(side == side.min())
-    high = np.flatnonzero(side != side.min())
-    one = not len(high)
-    if one:
-        high = low
-    turned = np.ascontiguousarray(bins[high].T)
+    names, of = np.unique(label, return_inverse=True)
+    size = np.bincount(of)
+    rank = np.lexsort((names, size)).argsort()[of]  # of a row's class
+    order = np.argsort(node)
+    row = np.repeat(np.arange(len(node)), [len(t) for t in tried])
+    other = np.array([x for t in tried for x in t], np.int64)
+    at = np.minimum(np.searchsorted(node[order], other), len(node) - 1)
+    known = node[order][at] == other
+    row, other = row[known], order[at[known]]
+    row, other = np.concatenate([row, other]), np.concatenate([other, row])
+    by = np.argsort(row, kind="stable")
+    row, other = row[by], other[by]
+    turned = np.ascontiguousarray(bins.T)
     none = (turned == 0).astype(np.float32)
     some_empty = none.any()
-    found = []
-    for at in range(0, len(low), ROWS):
-        i = low[at : at + ROWS]
-        begin = at if one else 0  # pairs before are those of earlier rows
-        own, j = bins[i], high[begin:]
-        same = np.zeros((len(i), len(j)), np.uint8)
-        for k in range(BINS):
-            same += own[:, k : k + 1] == turned[k, begin:]
-        empty = ((own == 0).astype(np.float32) @ none[:, begin:]).astype(np.int16) if some_empty else np.int16(0)
-        share = (same - empty) / np.maximum(BINS - empty, 1)
-        good = (share >= LEAST_ALIKE) & (label[i][:, None] != label[j])
-        if one:
-            good &= i[:, None] < j
-        x, y = np.nonzero(good)
-        fits = np.minimum(n[i[x]], n[j[y]]) >= SIMILARITY * np.maximum(n[i[x]], n[j[y]])
-        found.append((i[x[fits]], j[y[fits]], share[x[fits], y[fits]]))
+    two = side.min() != side.max()
+    width, found = bins.shape[1], []
+    todo = np.flatnonzero(rank < rank.max())  # nobody is left for the largest class to name
+    for begin in range(0, len(todo), ROWS):
+        i = todo[begin : begin + ROWS]
+        same = np.zeros((len(i), len(node)), np.uint16)
+        for k in range(width):
+            same += bins[i, k : k + 1] == turned[k]
+        empty = ((bins[i] == 0).astype(np.float32) @ none).astype(np.int16) if some_empty else np.int16(0)
+        used = np.maximum(width - empty, 1)
+        share = (same - empty) / used
+        good = (rank[i][:, None] < rank) & (share >= floor_of(used, n[i][:, None], n))
+        good &= np.minimum(n[i][:, None], n) >= SIMILARITY * np.maximum(n[i][:, None], n)
+        if two:
+            good &= side[i][:, None] != side
+        a, b = np.searchsorted(row, i), np.searchsorted(row, i, "right")
+        x = np.repeat(np.arange(len(i)), b - a)
+        good[x, other[np.repeat(a - np.concatenate([[0], np.cumsum(b - a)[:-1]]), b - a) + np.arange(len(x))]] = False
+        share = np.where(good, share, -1.0)
+        if top < len(node):
+            best = np.argpartition(-share, top - 1, axis=1)[:, :top]
+        else:
+            best = np.broadcast_to(np.arange(len(node)), share.shape)
+        x, y = np.nonzero(np.take_along_axis(share, best, 1) >= 0)
+        y = best[x, y]
+        found.append((i[x], y, share[x, y]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
-def crossings(known: DataFrame) -> DataFrame:
-    """Pairs of a bucket's members (bucket, node, company, n_words, bins, label) of different classes that may be links, as (a, b, alike)."""
+def name_partners(members: DataFrame, top: int) -> DataFrame:
+    """What the members (bucket, company, node, n_words, bins, label, tried) of buckets name, as (bucket, a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(cells: pa.Table) -> Iterator[pa.RecordBatch]:
             keys = np.stack([cells.column(c).to_numpy() for c in ("bucket", "low", "high")])
             cut = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
             node, n, label, side = (cells.column(c).to_numpy() for c in ("node", "n_words", "label", "side"))
-            bins = np.frombuffer(b"".join(cells.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
+            raw, tried = cells.column("bins").to_pylist(), cells.column("tried").to_pylist()
             n = np.maximum(n - SHINGLE + 1, 1)
-            out = []
             for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(node)]):
-                if side[i] == side[j - 1] and keys[1, i] != keys[2, i] or label[i:j].min() == label[i:j].max():
+                if side[i:j].min() == side[i:j].max() and keys[1, i] != keys[2, i] or label[i:j].min() == label[i:j].max():
                     continue
-                x, y, share = crossed(bins[i:j], n[i:j], label[i:j], side[i:j])
-                out.append((node[i:j][x], node[i:j][y], share))
-            if out:
-                a, b, share = (np.concatenate(c) for c in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64()), pa.array(share, pa.float64())], ["a", "b", "alike"])
+                bins = np.frombuffer(b"".join(raw[i:j]), np.uint8).reshape(j - i, -1)
+                x, y, _ = named_in(node[i:j], n[i:j], bins, label[i:j], side[i:j], [t or [] for t in tried[i:j]], top)
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), keys[0, i])), pa.array(node[i:j][x]), pa.array(node[i:j][y])], ["bucket", "a", "b"])
 
         held: list[pa.RecordBatch] = []  # rows from the last cell's first on
         last = None
@@ -365,10 +397,25 @@ def crossings(known: DataFrame) -> DataFrame:
             yield from pairs(pa.Table.from_batches(held))
 
     parts = F.ceil(F.col("company") / PART)
-    dealt = known.withColumn("side", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))))
-    cells = dealt.select("bucket", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "node", "n_words", "bins", "label")
-    placed = cells.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "side")
-    return placed.mapInArrow(run, "a long, b long, alike double").distinct()
+    dealt = members.withColumn("side", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))))
+    cells = dealt.select("bucket", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "node", "n_words", "bins", "label", "tried")
+    placed = cells.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "node")
+    return placed.mapInArrow(run, "bucket long, a long, b long")
+
+
+def fine_digests(sequences: DataFrame) -> DataFrame:
+    """(node, bins) of word sequences (node, words): the longer digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                b = batch.slice(at, 512)
+                raw = b.column("words").to_pylist()
+                h = mix(np.frombuffer(b"".join(raw), np.uint16).astype(np.uint64) + np.uint64(1))
+                doc = np.concatenate([[0], np.cumsum([len(x) // 2 for x in raw])])
+                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([x.tobytes() for x in binned(*shingles(h, doc), FINE)], pa.binary())], ["node", "bins"])
+
+    return sequences.mapInArrow(run, "node long, bins binary")
 
 
 def verify(pairs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -407,15 +454,11 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose nodes are of different classes, with these as la and lb."""
-    named = pairs.join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left")
-    return named.withColumn("la", F.coalesce("la", "a")).withColumn("lb", F.coalesce("lb", "b")).where("la <> lb")
-
-
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """The labels of linked nodes once further links are there."""
-    roots = components(_across(links, labels).selectExpr("la AS a", "lb AS b"))
+    named = links.join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left")
+    across = named.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b").distinct()
+    roots = components(across)
     old = labels.join(roots.toDF("label", "root"), "label", "left").select("node", F.coalesce("root", "label").alias("label"))
     return stored(old.unionByName(roots.join(labels, "node", "left_anti")), "labels", True)
 
@@ -446,23 +489,31 @@ def links_of(sketched: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFram
 
     first = _centres(members)
     tried = stored(sift(members.join(first, "bucket").where("node <> centre").selectExpr(*_PAIR)), "candidates", True)
-    links = checked(tried)
+    links = checked(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = components(links)
-    # All pairs of different classes that a bucket still has.
-    named = met.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = named.select(F.inline("buckets"), "label").groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("bucket")
-    known = named.select(F.inline("buckets"), "node", "n_words", "bins", "label").join(mixed, "bucket")
-    todo = stored(crossings(known).join(tried, ["a", "b"], "left_anti"), "crossings", True)
-    rank = F.row_number().over(W.partitionBy(F.least("la", "lb"), F.greatest("la", "lb")).orderBy(F.desc("alike"), "a", "b"))
-    chosen = stored(_across(todo, labels).withColumn("rank", rank).where(f"rank <= {FIRST}").select("a", "b"), "chosen", True)
-    for further in (False, True):
-        if further:  # what the best pairs of two classes have not joined
-            chosen = stored(_across(todo.join(chosen, ["a", "b"], "left_anti"), labels).select("a", "b"), "chosen", True)
-        if chosen.isEmpty():
-            break
-        more = checked(chosen)
-        links, labels = links.unionByName(more), merged(labels, more)
-    return links, labels
+    top, active, own = NAMED, None, met
+    while True:
+        # the members of buckets that go on and have several classes
+        named = own.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        placed = named.select(F.inline("buckets"), "label")
+        if active is not None:
+            placed = placed.join(active, "bucket", "left_semi")
+        mixed = placed.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("bucket")
+        known = named.join(tried.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("tried")), "node", "left")
+        members = known.select(F.inline("buckets"), "node", "n_words", "bins", "label", "tried").join(mixed, "bucket")
+        found = stored(name_partners(members, top), "named", True)
+        if found.isEmpty():
+            return links, labels
+        pairs = stored(found.select("a", "b").distinct(), "chosen", True)
+        more = checked(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        if not more.isEmpty():
+            links, labels = links.unionByName(more), merged(labels, more)
+        tried, active = tried.unionByName(pairs), found.select("bucket").distinct()
+        if top == NAMED:  # who goes on gets the longer digest
+            on = met.select("node", F.inline("buckets")).join(active, "bucket", "left_semi").select("node").distinct()
+            fine = stored(fine_digests(sequences.select(F.col("rid").alias("node"), "words").join(on, "node", "left_semi")), "fine", True)
+            own = met.drop("bins").join(fine, "node")
+        top *= 2
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
