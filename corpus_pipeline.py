@@ -16,7 +16,7 @@ from seqloom.llm.columns import SCRATCH, drop_stored, stored
 #: folders of the stage before, which its written result no longer needs
 _LEFT: list[str] = []
 
-LEAST_LANGUAGE = 0.2  # a short document, or one of several languages, has little of each and is kept
+LEAST_LANGUAGE = 0.15  # of the letters are in a language learned, not noise; lists, codes and shouting in a language have more
 
 #: SQL can't express the trained stages; tests hold each against a brute-force version.
 ORACLE_SQL = None
