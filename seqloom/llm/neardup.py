@@ -14,7 +14,8 @@ buckets that still have several classes.  In a round every member names its most
 partners of other classes that it hasn't been compared with (of two classes the smaller
 one's members do), the pairs are verified, and classes with a link become one.  A
 bucket is done once nobody in it has anyone left to name, so no pair that could join
-two classes goes untried, while a round makes a few pairs a member, not all pairs.  How
+two classes goes untried, while a round makes a few pairs a member, not all pairs.  Two
+nodes that share several sketches meet in the bucket of the first one only.  How
 alike two nodes are is first read from a short digest of their k-mers and, in the
 buckets that go on, from a longer one; who can't reach the threshold, by ``MARGIN``
 standard deviations of that estimate, isn't named.  Crowded buckets are dealt to parts,
@@ -45,7 +46,7 @@ FINE = 512  # of the digest in buckets that go on
 MARGIN = 4.0  # standard deviations under the threshold: 3 in 100,000 links could be missed in one bucket
 PART = 4096  # members of a part of a bucket, expected; two parts are a cell
 ROWS = 256  # of a cell that are held against all its other rows at once
-NAMED = 2  # partners that a member names in the first round; twice as many in each further one
+NAMED = 2  # partners that a member names in the first round; four times as many in each further one
 BAND = 16
 CELLS = 8 << 20  # of an alignment batch
 TABLE = fold_table([*range(0x30, 0x3A), *range(65, 91), *range(97, 123), *range(128, 256)])
@@ -304,12 +305,13 @@ def sift(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long").distinct()
 
 
-def named_in(node: np.ndarray, n: np.ndarray, bins: np.ndarray, label: np.ndarray, side: np.ndarray, tried: list[list[int]], top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def named_in(node: np.ndarray, n: np.ndarray, bins: np.ndarray, label: np.ndarray, side: np.ndarray, tried: list[list[int]], earlier: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ``top`` partners that each row of a cell names: rows, partners and how alike they are.
 
     Rows of two sides name rows of the other side, rows of one side any.  Of two rows of
     different classes, that of the class with fewer rows here names the other; ``tried`` has
-    nodes that a row has been compared with, and both sides mind it.
+    nodes that a row has been compared with, and both sides mind it.  ``earlier`` are the
+    sketches (rows, sketches) before the bucket's: rows that share one meet there, not here.
     """
     names, of = np.unique(label, return_inverse=True)
     size = np.bincount(of)
@@ -341,6 +343,8 @@ def named_in(node: np.ndarray, n: np.ndarray, bins: np.ndarray, label: np.ndarra
         good &= np.minimum(n[i][:, None], n) >= SIMILARITY * np.maximum(n[i][:, None], n)
         if two:
             good &= side[i][:, None] != side
+        for own in earlier.T:
+            good &= own[i][:, None] != own
         a, b = np.searchsorted(row, i), np.searchsorted(row, i, "right")
         x = np.repeat(np.arange(len(i)), b - a)
         good[x, other[np.repeat(a - np.concatenate([[0], np.cumsum(b - a)[:-1]]), b - a) + np.arange(len(x))]] = False
@@ -358,20 +362,20 @@ def named_in(node: np.ndarray, n: np.ndarray, bins: np.ndarray, label: np.ndarra
 
 
 def name_partners(members: DataFrame, top: int) -> DataFrame:
-    """What the members (bucket, company, node, n_words, bins, label, tried) of buckets name, as (bucket, a, b)."""
+    """What the members (bucket, company, node, n_words, bins, label, tried, earlier) of buckets name, as (bucket, a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(cells: pa.Table) -> Iterator[pa.RecordBatch]:
             keys = np.stack([cells.column(c).to_numpy() for c in ("bucket", "low", "high")])
             cut = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
             node, n, label, side = (cells.column(c).to_numpy() for c in ("node", "n_words", "label", "side"))
-            raw, tried = cells.column("bins").to_pylist(), cells.column("tried").to_pylist()
+            raw, tried, earlier = (cells.column(c).to_pylist() for c in ("bins", "tried", "earlier"))
             n = np.maximum(n - SHINGLE + 1, 1)
             for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(node)]):
                 if side[i:j].min() == side[i:j].max() and keys[1, i] != keys[2, i] or label[i:j].min() == label[i:j].max():
                     continue
                 bins = np.frombuffer(b"".join(raw[i:j]), np.uint8).reshape(j - i, -1)
-                x, y, _ = named_in(node[i:j], n[i:j], bins, label[i:j], side[i:j], [t or [] for t in tried[i:j]], top)
+                x, y, _ = named_in(node[i:j], n[i:j], bins, label[i:j], side[i:j], [t or [] for t in tried[i:j]], np.array(earlier[i:j], np.int64).reshape(j - i, -1), top)
                 if len(x):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), keys[0, i])), pa.array(node[i:j][x]), pa.array(node[i:j][y])], ["bucket", "a", "b"])
 
@@ -398,7 +402,7 @@ def name_partners(members: DataFrame, top: int) -> DataFrame:
 
     parts = F.ceil(F.col("company") / PART)
     dealt = members.withColumn("side", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))))
-    cells = dealt.select("bucket", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "node", "n_words", "bins", "label", "tried")
+    cells = dealt.select("bucket", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "node", "n_words", "bins", "label", "tried", "earlier")
     placed = cells.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "node")
     return placed.mapInArrow(run, "bucket long, a long, b long")
 
@@ -475,11 +479,11 @@ _PAIR = ("node AS a", "centre AS b", "n_words AS na", "nc AS nb", "bins AS ba",
 def links_of(sketched: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Verified links that join nodes (distinct word sequences) to classes, and the classes' labels."""
     own = nodes.where("n_words > 0").select("node", "n_words", "sketch", "bins")
-    every = own.select("node", F.posexplode("sketch").alias("j", "value")).select("node", F.xxhash64("j", "value").alias("bucket"))
+    every = own.select("node", F.posexplode("sketch").alias("j", "value")).select("node", "j", F.xxhash64("j", "value").alias("bucket"))
     shared = every.groupBy("bucket").agg(F.count("*").alias("company")).where("company > 1")
     members = every.join(shared, "bucket")
-    central = members.groupBy("node").agg(F.sum("company").alias("central"), F.collect_list(F.struct("bucket", "company")).alias("buckets"))
-    met = stored(central.join(own.drop("sketch"), "node").select("node", "central", "n_words", "bins", "buckets"), "met")
+    central = members.groupBy("node").agg(F.sum("company").alias("central"), F.collect_list(F.struct("bucket", "company", "j")).alias("buckets"))
+    met = stored(central.join(own, "node").select("node", "central", "n_words", "bins", "sketch", "buckets"), "met")
     members = met.select(F.inline("buckets"), "node", "central", "n_words", "bins")
     # word sequences move once, to where all rounds' pairs come
     sequences = stored(sketched.select("rid", "words"), "sequences", bucket="rid")
@@ -500,7 +504,7 @@ def links_of(sketched: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFram
             placed = placed.join(active, "bucket", "left_semi")
         mixed = placed.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("bucket")
         known = named.join(tried.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("tried")), "node", "left")
-        members = known.select(F.inline("buckets"), "node", "n_words", "bins", "label", "tried").join(mixed, "bucket")
+        members = known.select(F.inline("buckets"), "node", "n_words", "bins", "label", "tried", "sketch").withColumn("earlier", F.slice("sketch", F.lit(1), F.col("j"))).drop("sketch").join(mixed, "bucket")
         found = stored(name_partners(members, top), "named", True)
         if found.isEmpty():
             return links, labels
@@ -513,7 +517,7 @@ def links_of(sketched: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFram
             on = met.select("node", F.inline("buckets")).join(active, "bucket", "left_semi").select("node").distinct()
             fine = stored(fine_digests(sequences.select(F.col("rid").alias("node"), "words").join(on, "node", "left_semi")), "fine", True)
             own = met.drop("bins").join(fine, "node")
-        top *= 2
+        top *= 4
 
 
 def near_classes(docs: DataFrame) -> DataFrame:

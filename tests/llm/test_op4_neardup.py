@@ -163,20 +163,22 @@ def test_cells_name_every_pair_of_classes():
     n, label = r.integers(50, 80, 500), r.integers(0, 200, 500)
     node = r.permutation(5000)[:500]
     none = [[] for _ in node]
+    earlier = r.integers(0, 3, (500, 2))
     for side in (np.zeros(500, int), np.arange(500) % 2):
-        x, y, share = N.named_in(node, n, bins, label, side, none, 500)
+        x, y, share = N.named_in(node, n, bins, label, side, none, earlier, 500)
         used = ((bins[:, None] > 0) | (bins > 0)).sum(2)
         alike = ((bins[:, None] == bins) & (bins > 0)).sum(2) / np.maximum(used, 1)
         on = (label[:, None] != label) & (np.minimum(n[:, None], n) >= N.SIMILARITY * np.maximum(n[:, None], n)) & (alike >= N.floor_of(np.maximum(used, 1), n[:, None], n))
         if side.any():
             on &= side[:, None] != side
+        on &= (earlier[:, None] != earlier).all(2)
         both = {(min(a, b), max(a, b)) for a, b in zip(x.tolist(), y.tolist())}
         assert len(both) == len(x) and both == {(a, b) for a, b in zip(*(v.tolist() for v in np.nonzero(on))) if a < b}
         assert np.allclose(share, alike[x, y])
         # the same pairs come if each row names two at a time, until nobody is left
         tried, met = [[] for _ in node], set()
         for _ in range(200):
-            x, y, _ = N.named_in(node, n, bins, label, side, tried, 2)
+            x, y, _ = N.named_in(node, n, bins, label, side, tried, earlier, 2)
             if not len(x):
                 break
             assert np.bincount(x).max() <= 2
@@ -190,8 +192,8 @@ def test_rows_grow_with_the_members(spark):
     """A round makes a few pairs a member, however large a group of near copies is."""
     r = np.random.default_rng(5)
     base = r.integers(1, 200, N.BINS)
-    rows = [(7, 400, k, 100, np.where(r.random(N.BINS) < 0.1, 201, base).astype(np.uint8).tobytes(), k, None) for k in range(400)]
-    df = spark.createDataFrame(rows, "bucket long, company long, node long, n_words int, bins binary, label long, tried array<long>")
+    rows = [(7, 400, k, 100, np.where(r.random(N.BINS) < 0.1, 201, base).astype(np.uint8).tobytes(), k, None, []) for k in range(400)]
+    df = spark.createDataFrame(rows, "bucket long, company long, node long, n_words int, bins binary, label long, tried array<long>, earlier array<long>")
     assert 0 < N.name_partners(df, 2).count() <= 800
 
 
