@@ -1,9 +1,11 @@
-"""Elias-Fano sequences and an n-gram trie level in one memory-mapped file."""
+"""Elias-Fano sequences and an n-gram trie level in one memory mapping."""
 
 from __future__ import annotations
 
+import io
 import json
-import os
+import mmap
+from typing import BinaryIO
 
 import numpy as np
 
@@ -163,8 +165,8 @@ class TrieLevel:
         own = {"contexts": EliasFano.build(context[heads]), "pointers": EliasFano.build(pointers), "successors": EliasFano.build(rising)}
         return cls(own, SEEN.of(seen), BACKOFF.of(backoff))
 
-    def save(self, path: str) -> None:
-        """One file: a line of JSON, then the arrays on 8-byte borders."""
+    def save(self, out: BinaryIO) -> None:
+        """One file: its head's size, a line of JSON, then the arrays on 8-byte borders."""
         arrays, about, at = [], {"n": {}, "width": {}, "at": {}}, 0
         for f in self.FIELDS:
             s = getattr(self, f)
@@ -176,18 +178,15 @@ class TrieLevel:
             at += -(-a.nbytes // 8) * 8
         head = json.dumps(about).encode()
         head += b" " * (-(len(head) + 9) % 8) + b"\n"
-        with open(path, "wb") as f:
-            f.write(len(head).to_bytes(8, "little") + head)
-            for _, a in arrays:
-                f.write(a.tobytes() + bytes(-a.nbytes % 8))
+        out.write(len(head).to_bytes(8, "little") + head)
+        for _, a in arrays:
+            out.write(a.tobytes() + bytes(-a.nbytes % 8))
 
     @classmethod
-    def open(cls, path: str) -> TrieLevel:
-        """The level, memory-mapped: only the pages that lookups touch are read."""
-        with open(path, "rb") as f:
-            size = int.from_bytes(f.read(8), "little")
-            about = json.loads(f.read(size))
-        raw = np.memmap(path, np.uint8, "r")
+    def open(cls, raw: np.ndarray) -> TrieLevel:
+        """The level of a mapped file's bytes: only the pages that lookups touch are read."""
+        size = int.from_bytes(raw[:8].tobytes(), "little")
+        about = json.loads(raw[8 : 8 + size].tobytes())
         get = {}
         for name, (at, kind, n) in about["at"].items():
             start = 8 + size + at
@@ -228,14 +227,11 @@ class TrieLevel:
         return sum(a.nbytes for f in self.FIELDS for a in getattr(self, f).arrays().values()) + self.seen.nbytes + self.backoff.nbytes
 
 
-def mapped(level: TrieLevel, folder: str) -> TrieLevel:
-    """The level written to ``folder`` and mapped from there; the file goes when the mapping does."""
-    import tempfile
-
-    handle, path = tempfile.mkstemp(suffix=".trie", dir=folder)
-    os.close(handle)
-    try:
-        level.save(path)
-        return TrieLevel.open(path)
-    finally:
-        os.unlink(path)
+def mapped(level: TrieLevel) -> TrieLevel:
+    """The level in a mapping of its own, outside any disk: it goes when the mapping does."""
+    held = io.BytesIO()
+    level.save(held)
+    size = held.tell()
+    own = mmap.mmap(-1, max(1, size))
+    own[:size] = held.getbuffer()
+    return TrieLevel.open(np.frombuffer(own, np.uint8, size))

@@ -7,8 +7,8 @@ entry for each distinct n-gram of a block, not one for each token:
 2. Words go to shards by range of hash; a shard sums the training counts and
    answers every block with the counts of its words.
 3. For each order from 2 on, pairs (context, word) go to shards by context.  A shard
-   sums them, builds an Elias-Fano trie level with quantised probabilities, maps it
-   from a file, and answers every block's pairs from it.  The few contexts with more
+   sums them, builds an Elias-Fano trie level with quantised probabilities in a memory
+   mapping, and answers every block's pairs from it.  The few contexts with more
    than a set share of all tokens are dealt to all shards by word; their totals, of
    which there can only be a bounded number, go along.
 4. Blocks put the answers together.
@@ -19,7 +19,6 @@ down to (c(w) + 0.1) / (N + 0.1 (V + 1)).  Words are told apart by 64-bit hashes
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.columns import blocks, hash_words, mix, stored, texts, words
+from seqloom.llm.columns import SCRATCH, blocks, drop_stored, hash_words, mix, stored, texts, words
 from seqloom.llm.eliasfano import BACKOFF, SEEN, TrieLevel, mapped
 from seqloom.llm.language import held_out
 
@@ -91,10 +90,15 @@ def block_rows(docs: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- words
 
 
-def _cuts(hashes: np.ndarray, shards: int) -> np.ndarray:
-    """Where each shard's range of sorted hashes begins."""
-    borders = np.array([(s << 64) // shards for s in range(shards)], np.uint64)
-    return np.append(np.searchsorted(hashes, borders), len(hashes))
+def _shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
+    """The shard, in even ranges, of each hash."""
+    return ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+def _runs(sorted_shards: np.ndarray) -> list[tuple[int, int, int]]:
+    """(shard, begin, end) of the shards that occur."""
+    begin = np.flatnonzero(np.concatenate([[True], sorted_shards[1:] != sorted_shards[:-1]])) if len(sorted_shards) else np.zeros(0, np.int64)
+    return list(zip(sorted_shards[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(sorted_shards)]))
 
 
 def word_counts(held: DataFrame, shards: int, hot: int) -> DataFrame:
@@ -105,9 +109,8 @@ def word_counts(held: DataFrame, shards: int, hot: int) -> DataFrame:
         for b in batches:
             for i in range(b.num_rows):
                 hashes, counts = np.frombuffer(b.column("hashes")[i].as_py(), np.uint64), expand(b.column("counts")[i].as_py(), np.uint32)
-                cut = _cuts(hashes, shards)
-                own = [s for s in range(shards) if cut[s] < cut[s + 1]]
-                yield pa.RecordBatch.from_pydict({"shard": own, "block": [b.column("block")[i].as_py()] * len(own), "keys": [hashes[cut[s] : cut[s + 1]].tobytes() for s in own], "counts": [squeeze(counts[cut[s] : cut[s + 1]]) for s in own]}, pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]))
+                own = _runs(_shard_of(hashes, shards))
+                yield pa.RecordBatch.from_pydict({"shard": [s for s, *_ in own], "block": [b.column("block")[i].as_py()] * len(own), "keys": [hashes[j:k].tobytes() for _, j, k in own], "counts": [squeeze(counts[j:k]) for _, j, k in own]}, pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]))
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
         keys = [np.frombuffer(k, np.uint64) for k in rows["keys"]]
@@ -125,6 +128,16 @@ def word_counts(held: DataFrame, shards: int, hot: int) -> DataFrame:
 # ---------------------------------------------------------------- longer n-grams
 
 
+def start_of(order: int) -> np.uint64:
+    """The context of a text's first word at an order."""
+    return START if order == 2 else mix(np.array([START ^ np.uint64(order)]))[0]
+
+
+def longer(context: np.ndarray, successor: np.ndarray) -> np.ndarray:
+    """The context that a context and its successor make for the next order."""
+    return mix(context * np.uint64(3) + mix(successor))
+
+
 class Pairs:
     """The distinct (context, word) pairs of a block, by order."""
 
@@ -142,7 +155,7 @@ class Pairs:
                 context = np.empty(len(tokens), np.int64)
                 context[1:] = self.inverse[:-1]
                 context[first] = len(self.context)
-                contexts = np.append(mix(contexts[self.context] * np.uint64(3) + mix(hashes[self.word])), mix(START + np.uint64(k)))
+                contexts = np.append(longer(contexts[self.context], hashes[self.word] >> np.uint64(64 - SUCCESSOR_BITS)), start_of(k))
             key = context * np.int64(vocabulary) + tokens
             pairs, self.inverse = np.unique(key, return_inverse=True)
             self.context, self.word = pairs // vocabulary, pairs % vocabulary
@@ -154,7 +167,7 @@ class Pairs:
         if len(hot):
             much = np.isin(self.context_hash, hot)
             spread = np.where(much, mix(spread + (self.successor >> np.uint64(SUCCESSOR_BITS - 16))), spread)
-        return ((spread >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+        return _shard_of(spread, shards)
 
 
 def _five(x: np.ndarray) -> bytes:
@@ -168,9 +181,10 @@ def _of_five(raw: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
-def pair_codes(held: DataFrame, order: int, shards: int, hot: list[tuple[int, int]], prior: float) -> DataFrame:
-    """For each block and shard the codes of its pairs and of their contexts."""
-    known = {int(np.int64(h).view(np.uint64)): c for h, c in hot} if order == 2 else {}
+def pair_codes(held: DataFrame, order: int, shards: int, hot: list[tuple[int, int]], prior: float, much: int) -> DataFrame:
+    """For each block and shard the codes of its pairs and of their contexts; rows of block -1
+    have a shard's pairs of more than ``much``, as contexts of the next order with their totals."""
+    known = {int(np.int64(h).view(np.uint64)): c for h, c in hot}
     hot_hashes = np.array(sorted(known), np.uint64)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,14 +197,12 @@ def pair_codes(held: DataFrame, order: int, shards: int, hot: list[tuple[int, in
                 counts = np.bincount(p.inverse[train], minlength=len(p.word))
                 shard = p.shards(shards, hot_hashes)
                 by = np.argsort(shard.astype(np.uint16) if shards < 65536 else shard, kind="stable")
-                cut = np.searchsorted(shard[by], np.arange(shards + 1))
                 rows = []
-                for s in range(shards):
-                    own = by[cut[s] : cut[s + 1]]
-                    if len(own):
-                        context = p.context_hash[own]
-                        heads = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-                        rows.append((s, context[heads].tobytes(), squeeze(np.diff(np.append(heads, len(own))).astype(np.uint32)), _five(p.successor[own]), squeeze(counts[own].astype(np.uint32))))
+                for s, j, k in _runs(shard[by]):  # only the shards that occur
+                    own = by[j:k]
+                    context = p.context_hash[own]
+                    heads = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+                    rows.append((s, context[heads].tobytes(), squeeze(np.diff(np.append(heads, len(own))).astype(np.uint32)), _five(p.successor[own]), squeeze(counts[own].astype(np.uint32))))
                 names = ("shard", "contexts", "runs", "successors", "counts")
                 yield pa.RecordBatch.from_pydict({"block": [b.column("block")[i].as_py()] * len(rows)} | {k: [r[j] for r in rows] for j, k in enumerate(names)}, pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("contexts", pa.binary()), ("runs", pa.binary()), ("successors", pa.binary()), ("counts", pa.binary())]))
 
@@ -213,9 +225,17 @@ def pair_codes(held: DataFrame, order: int, shards: int, hot: list[tuple[int, in
             totals[i] = known[int(context[starts[i]])]
         each = np.repeat(totals, np.diff(np.append(starts, len(context))))
         level = TrieLevel.build(context, successor, counts / (each + prior), prior / (totals + prior))
-        level = mapped(level, tempfile.gettempdir())
+        level = mapped(level)
         found = [level.find(*a) for a in asked]
-        return pd.DataFrame({"block": rows["block"].to_numpy(), "shard": rows["shard"].to_numpy(), "answer": [squeeze(np.concatenate(f)) for f in found], "distinct": 0, "hot": [[] for _ in found]})
+        if len(hot_hashes):  # a shard needn't have any pair of a hot context that it's asked for
+            backs = BACKOFF.of(prior / (np.array([known[int(h)] for h in hot_hashes], float) + prior))
+            for (contexts, _), (_, back) in zip(asked, found):
+                at = np.minimum(np.searchsorted(hot_hashes, contexts), len(hot_hashes) - 1)
+                on = hot_hashes[at] == contexts
+                back[on] = backs[at[on]]
+        often = np.flatnonzero(counts > much)
+        next_hot = [int(x) for x in np.stack([longer(context[often], successor[often]).view(np.int64), counts[often]], 1).ravel()]
+        return pd.DataFrame({"block": [*rows["block"], -1], "shard": rows["shard"].iloc[0], "answer": [*(squeeze(np.concatenate(f)) for f in found), b""], "distinct": 0, "hot": [*([[]] * len(found)), next_hot]})
 
     dealt = held.select("block", "n", "tokens", "hashes", "held").mapInArrow(deal, "block long, shard int, contexts binary, runs binary, successors binary, counts binary")
     return dealt.groupBy("shard").applyInPandas(answer, "block long, shard int, answer binary, distinct long, hot array<long>")
@@ -231,20 +251,32 @@ def score_documents(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, s
     Repeated rows are learned from and scored each; other columns are ignored; an empty
     table gives an empty table.
     """
+    since = len(SCRATCH)
     held = stored(block_rows(docs.select(F.monotonically_increasing_id().alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "text")), "blocks")
     size = held.agg(F.sum("n_tokens"), F.sum("n_train"), F.sum("n_distinct")).first()
     tokens, train, distinct = (int(x or 0) for x in size)
     word_shards, pair_shards = max(1, -(-distinct // shard_words)), max(1, -(-tokens // shard_words))
-    counted = stored(word_counts(held, word_shards, max(1, train // (4 * pair_shards))), "counts")
-    # at most 4 * pair_shards words are that frequent
-    about = counted.where("block = -1").agg(F.sum("distinct").alias("v"), F.flatten(F.collect_list("hot")).alias("hot")).first()
-    vocabulary, hot = int(about.v or 0), list(zip(about.hot[::2], about.hot[1::2])) if about.hot else []
+    much = max(1, train // (4 * pair_shards))  # at most 4 * pair_shards contexts of an order are that frequent
+    counted = stored(word_counts(held, word_shards, much), "counts")
+
+    def hot_of(found: DataFrame) -> list[tuple[int, int]]:
+        flat = found.where("block = -1").agg(F.flatten(F.collect_list("hot"))).first()[0] or []
+        return list(zip(flat[::2], flat[1::2]))
+
+    vocabulary = int(counted.where("block = -1").agg(F.sum("distinct")).first()[0] or 0)
+    hot = hot_of(counted)
     end, start = (int(h.astype(np.int64)) for h in (END, START))
     hot += [(start, c) for h, c in hot if h == end]  # there are as many starts as ends
     answers = counted.where("block >= 0").select("block", F.lit(1).alias("level"), "shard", "answer")
+    every_hot: dict[int, np.ndarray] = {}
     for k in range(2, order + 1):
-        answers = answers.unionByName(pair_codes(held, k, pair_shards, hot, prior).select("block", F.lit(k).alias("level"), "shard", "answer"))
-    hot_hashes = np.array(sorted(int(np.int64(h).view(np.uint64)) for h, _ in hot), np.uint64)
+        every_hot[k] = np.array(sorted(int(np.int64(h).view(np.uint64)) for h, _ in hot), np.uint64)
+        found = pair_codes(held, k, pair_shards, hot, prior, much)
+        if k < order:  # the next order has to know this one's frequent pairs
+            found = stored(found, "codes")
+            starts = sum(c for h, c in hot if h == int(start_of(k).astype(np.int64)))
+            hot = hot_of(found) + ([(int(start_of(k + 1).astype(np.int64)), starts)] if starts else [])
+        answers = answers.unionByName(found.where("block >= 0").select("block", F.lit(k).alias("level"), "shard", "answer"))
 
     def put_together(block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         if not len(block):
@@ -253,14 +285,14 @@ def score_documents(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, s
         n, own = expand(row["n"], np.uint32).astype(np.int64), expand(row["tokens"], np.uint32).astype(np.int64)
         hashes = np.frombuffer(row["hashes"], np.uint64)
         by = {(level, s): a for level, s, a in zip(found["level"], found["shard"], found["answer"])}
-        count = np.concatenate([expand(by[1, s], np.uint64) for s in range(word_shards) if (1, s) in by]).astype(np.int64)
+        count = np.concatenate([expand(by[k], np.uint64) for k in sorted(by) if k[0] == 1]).astype(np.int64)
         base = (count + 0.1) / (train + 0.1 * (vocabulary + 1))
         p = base[own]
         for k in range(2, order + 1):
             pairs = Pairs(own, n, hashes, k)
-            shard = pairs.shards(pair_shards, hot_hashes if k == 2 else hot_hashes[:0])
+            shard = pairs.shards(pair_shards, every_hot[k])
             order_of = np.argsort(shard, kind="stable")
-            codes = np.concatenate([expand(by[k, s], np.uint8).reshape(2, -1) for s in range(pair_shards) if (k, s) in by], axis=1)
+            codes = np.concatenate([expand(by[own], np.uint8).reshape(2, -1) for own in sorted(by) if own[0] == k], axis=1)
             seen, back = np.empty(len(shard)), np.empty(len(shard))
             seen[order_of] = SEEN.value(codes[0])
             back[order_of] = np.where(codes[1] > 0, BACKOFF.value(codes[1]), 1.0)
@@ -269,7 +301,9 @@ def score_documents(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, s
         total = lambda x: np.add.reduceat(x, at)  # noqa: E731  every document has its end, so no run is empty
         return pd.DataFrame({"doc_id": pd.array(row["doc_ids"], "Int64"), "held_out": row["held"], "n_tokens": n, "n_known": total((count[own] > 0).astype(np.int64)), "train_tokens": train, "base_score": total(np.log10(base[own])), "score": total(np.log10(p))})
 
-    return held.select("block", "doc_ids", "held", "n", "tokens", "hashes").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(put_together, RESULT)
+    scored = stored(held.select("block", "doc_ids", "held", "n", "tokens", "hashes").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(put_together, RESULT), "scores")
+    drop_stored(docs.sparkSession, since, keep=1)
+    return scored
 
 
 def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

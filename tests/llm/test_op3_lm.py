@@ -23,7 +23,7 @@ def test_elias_fano(n, top):
     assert (e.successor(q) == np.searchsorted(v, q)).all()
 
 
-def test_trie_from_a_file(tmp_path):
+def test_trie_in_a_mapping():
     r = np.random.default_rng(1)
     n = 20000
     c = np.sort(r.integers(0, 1 << 64, 3000, dtype=np.uint64))[np.sort(r.integers(0, 3000, n))]
@@ -31,13 +31,13 @@ def test_trie_from_a_file(tmp_path):
     by = np.lexsort((s, c))
     c, s = c[by], s[by]
     p, b = r.random(n), r.random(len(np.unique(c)))
-    level = E.mapped(E.TrieLevel.build(c, s, p, b), str(tmp_path))
+    level = E.mapped(E.TrieLevel.build(c, s, p, b))
     seen, back = level.find(c, s)
     assert np.abs(np.log10(E.SEEN.value(seen)) - np.log10(p)).max() < 0.02 and (back > 0).all()
     seen, back = level.find(c, s + np.uint64(1))
     assert not seen.any() and back.all()
     assert not level.find(c + np.uint64(1), s)[1].any()
-    assert not list(tmp_path.iterdir()) and level.nbytes() < 12 * n
+    assert level.nbytes() < 12 * n
 
 
 def brute(docs, order, prior):
@@ -82,7 +82,7 @@ def case():
     return docs + [(200, None), (201, ""), (202, " \n"), (None, "the river"), (203, "w" * 3000), (5, "again the river"), (204, "the of " * 3000)]
 
 
-@pytest.mark.parametrize("order,shard", [(2, 2_000_000), (2, 40), (3, 100)])
+@pytest.mark.parametrize("order,shard", [(2, 2_000_000), (2, 40), (3, 100), (4, 60)])
 def test_against_brute_force(spark, order, shard):
     docs = case()
     df = spark.createDataFrame([(i, t, 1.0) for i, t in docs], "doc_id long, text string, score double")
@@ -92,10 +92,17 @@ def test_against_brute_force(spark, order, shard):
     assert [f[:5] for f in found] == [e[:5] for e in expected]
     for f, e in zip(found, expected):
         assert math.isclose(f[5], e[5], rel_tol=1e-9)
-        assert abs(f[6] - e[6]) < 0.02 * f[2] and f[6] <= 0  # half a step of the codes a token
+        assert abs(f[6] - e[6]) < 0.018 * (order - 1) * f[2] and f[6] <= 0  # half a step of the codes a token and level
     repeated = [f for f in found if f[0] and 100 <= f[0] < 120]
     assert all(f[6] > f[5] for f in repeated)
 
 
+def test_shards_do_not_matter(spark):
+    """Hot contexts, which all shards hold a part of, score as they would in one shard."""
+    df = spark.createDataFrame(case(), "doc_id long, text string")
+    one = sorted(map(str, lm.score_documents(df, 3).collect()))
+    assert sorted(map(str, lm.score_documents(df, 3, shard_words=50).collect())) == one
+
+
 def test_empty(spark):
     assert lm.score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
