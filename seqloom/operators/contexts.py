@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.operators import arrays
 from seqloom.plans.registry import query, sql, table, views
 
 LAGS = "SELECT doc_id, pos, ch, lag(ch, 1) OVER w AS c1, lag(ch, 2) OVER w AS c2, lag(ch, 3) OVER w AS c3 FROM symbols WINDOW w AS (PARTITION BY doc_id ORDER BY pos)"
@@ -23,7 +26,16 @@ def preceding(docs: DataFrame, order: int) -> DataFrame:
 
 @query("order2_counts", "X1 X7 X9 X12 X25 A15 L4 U3", "SELECT c2 || c1 AS ctx, ch, count(*) AS n FROM (SELECT ch, lag(ch, 1) OVER w AS c1, lag(ch, 2) OVER w AS c2 FROM symbols WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) AS t WHERE c2 IS NOT NULL GROUP BY c2 || c1, ch")
 def order2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preceding(table(spark, sf_dir, "documents"), 2).groupBy("ctx", "ch").agg(F.count("*").alias("n"))
+    """What follows each two symbols: blocks of documents are counted as arrays, and the counts summed."""
+
+    def work(rows: pa.RecordBatch, cp: np.ndarray, first: np.ndarray) -> dict:
+        own, place = arrays.shown(cp), np.arange(len(cp)) - np.repeat(first[:-1], np.diff(first))
+        at = np.flatnonzero(place >= 2)
+        (c2, c1, ch), n = arrays.counted([own[at - 2], own[at - 1], own[at]])
+        return {k: arrays.symbols_of(v) for k, v in (("c2", c2), ("c1", c1), ("ch", ch))} | {"n": n}
+
+    each = arrays.map_symbols(table(spark, sf_dir, "documents"), work, "c2 string, c1 string, ch string, n bigint")
+    return each.groupBy(F.concat("c2", "c1").alias("ctx"), "ch").agg(F.sum("n").alias("n"))
 
 
 sql("sparse_context", "X2 X15", f"SELECT c1, c3, count(*) AS n, count(DISTINCT ch) AS next_symbols FROM ({LAGS}) AS t WHERE c3 IS NOT NULL GROUP BY c1, c3")

@@ -13,6 +13,11 @@ sql(
     """WITH s AS (SELECT doc_id, pos, ch, CASE WHEN cp BETWEEN 9 AND 13 OR cp BETWEEN 32 AND 126 THEN 0 ELSE 1 END AS breaks FROM symbols),
     i AS (SELECT doc_id, pos, ch, breaks, sum(breaks) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM s)
     SELECT doc_id, cast(island AS bigint) AS island, min(pos) AS start, count(*) AS len, cast(sum(CASE WHEN ch = ' ' THEN 1 ELSE 0 END) AS bigint) AS spaces FROM i WHERE breaks = 0 GROUP BY doc_id, island HAVING count(*) > 500 AND sum(CASE WHEN ch = ' ' THEN 1 ELSE 0 END) >= 5""",
+    # a text is split where it breaks: one row for each run, not for each symbol
+    spark_text=r"""WITH s AS (SELECT doc_id, posexplode(split(text, '[^\\x09-\\x0D\\x20-\\x7E]', -1)) AS (island, run) FROM documents),
+    l AS (SELECT doc_id, island, length(run) AS len, length(run) - length(replace(run, ' ', '')) AS spaces FROM s),
+    p AS (SELECT doc_id, island, len, spaces, sum(len + 1) OVER (PARTITION BY doc_id ORDER BY island) - len - 1 AS start FROM l)
+    SELECT doc_id, cast(island AS bigint) AS island, cast(start AS bigint) AS start, cast(len AS bigint) AS len, cast(spaces AS bigint) AS spaces FROM p WHERE len > 500 AND spaces >= 5""",
 )
 sql(
     "leaky_counter",

@@ -8,23 +8,43 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.operators import arrays
 from seqloom.plans.registry import query, sql, table
 
 # ---------------------------------------------------------------- counting models
 
 NGRAM = """WITH t AS (SELECT doc_id, pos, ch, lag(ch, 1) OVER w AS c1, lag(ch, 2) OVER w AS c2 FROM symbols WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-  n2 AS (SELECT c2, c1, ch, count(*) AS n FROM t WHERE c2 IS NOT NULL GROUP BY c2, c1, ch), k2 AS (SELECT c2, c1, sum(n) AS total, count(*) AS kinds FROM n2 GROUP BY c2, c1),
-  n1 AS (SELECT c1, ch, count(*) AS n FROM t WHERE c1 IS NOT NULL GROUP BY c1, ch), k1 AS (SELECT c1, sum(n) AS total, count(*) AS kinds FROM n1 GROUP BY c1)"""
-sql(
-    "ngram_backoff_score",
-    "L19 L18 L20",
-    NGRAM
-    + """ SELECT n2.c2, n2.c1, n2.ch, n2.n, round((n2.n * 1.0e0) / (k2.total + k2.kinds) + (k2.kinds * 1.0e0) / (k2.total + k2.kinds) * (n1.n * 1.0e0) / (k1.total + k1.kinds), 8) AS p
-    FROM n2 JOIN k2 ON n2.c2 = k2.c2 AND n2.c1 = k2.c1 JOIN n1 ON n1.c1 = n2.c1 AND n1.ch = n2.ch JOIN k1 ON k1.c1 = n2.c1""",
-)
+  n2 AS (SELECT c2, c1, ch, count(*) AS n FROM t WHERE c2 IS NOT NULL GROUP BY c2, c1, ch),
+  n1 AS (SELECT c1, ch, count(*) AS n FROM t WHERE c1 IS NOT NULL GROUP BY c1, ch)"""
+BACKOFF = """, k2 AS (SELECT c2, c1, sum(n) AS total, count(*) AS kinds FROM n2 GROUP BY c2, c1), k1 AS (SELECT c1, sum(n) AS total, count(*) AS kinds FROM n1 GROUP BY c1)
+    SELECT n2.c2, n2.c1, n2.ch, n2.n, round((n2.n * 1.0e0) / (k2.total + k2.kinds) + (k2.kinds * 1.0e0) / (k2.total + k2.kinds) * (n1.n * 1.0e0) / (k1.total + k1.kinds), 8) AS p
+    FROM n2 JOIN k2 ON n2.c2 = k2.c2 AND n2.c1 = k2.c1 JOIN n1 ON n1.c1 = n2.c1 AND n1.ch = n2.ch JOIN k1 ON k1.c1 = n2.c1"""
+
+
+def ngram_counts(docs: DataFrame) -> DataFrame:
+    """(c2, c1, ch, n) of every symbol with one before it, c2 null where there's no second; counted in blocks, then summed."""
+
+    def work(rows: pa.RecordBatch, cp: np.ndarray, first: np.ndarray) -> dict:
+        own, place = arrays.shown(cp), np.arange(len(cp)) - np.repeat(first[:-1], np.diff(first))
+        at = np.flatnonzero(place >= 1)
+        (c2, c1, ch), n = arrays.counted([np.where(place[at] >= 2, own[np.maximum(at - 2, 0)], 0), own[at - 1], own[at]])
+        return {k: arrays.symbols_of(v) for k, v in (("c2", c2), ("c1", c1), ("ch", ch))} | {"n": n}
+
+    each = arrays.map_symbols(docs, work, "c2 string, c1 string, ch string, n bigint")
+    return each.groupBy("c2", "c1", "ch").agg(F.sum("n").alias("n"))
+
+
+@query("ngram_backoff_score", "L19 L18 L20", NGRAM + BACKOFF)
+def ngram_backoff_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second-order probabilities that back off to the first order; what moves are the counts of blocks."""
+    ngram_counts(table(spark, sf_dir, "documents")).createOrReplaceTempView("ngrams")
+    return spark.sql("WITH n2 AS (SELECT * FROM ngrams WHERE c2 IS NOT NULL), n1 AS (SELECT c1, ch, sum(n) AS n FROM ngrams GROUP BY c1, ch)" + BACKOFF)
+
+
 sql(
     "entropy_order0",
     "L18 IO15",

@@ -2,24 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqloom.operators.contexts import preceding
+from seqloom.operators import arrays
 from seqloom.plans.registry import query, sql, table
 
 ORDERS = (5, 7, 9)
 
 
-def last_match(docs: DataFrame, order: int) -> DataFrame:
-    """(doc_id, pos, ch, before, guess): the last position after the same ``order`` symbols in a document, and its symbol.
-
-    The context is cut from the text where the row is read; one shuffle by (document, context) does the as-of lookup.
-    """
-    own = preceding(docs, order)
-    at = W.partitionBy("doc_id", "ctx").orderBy("pos")
-    return own.select("doc_id", "pos", "ch", F.lag("pos").over(at).alias("before"), F.lag("ch").over(at).alias("guess"))
+def last_match(cp: np.ndarray, first: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places with ``order`` symbols before them, and the last place after the same symbols in their text, or -1."""
+    at, key = arrays.contexts(cp, first, order)
+    return at, arrays.before(at, key, arrays.owner(first)[at])
 
 
 def _ctx(n: int) -> str:
@@ -31,8 +28,22 @@ CONTEXT = "SELECT doc_id, pos, ch, {c} AS ctx FROM symbols WINDOW w AS (PARTITIO
 
 @query("match_last_occurrence", "J1 J2 A25 M23", f"WITH t AS ({CONTEXT.format(c=_ctx(5))}), m AS (SELECT doc_id, pos, ch, lag(pos) OVER v AS before, lag(ch) OVER v AS guess FROM t WHERE ctx IS NOT NULL WINDOW v AS (PARTITION BY doc_id, ctx ORDER BY pos)) SELECT doc_id, count(*) AS n, count(before) AS matched, count(CASE WHEN guess = ch THEN 1 END) AS hits, coalesce(max(pos - before), 0) AS farthest FROM m GROUP BY doc_id")
 def match_last_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = last_match(table(spark, sf_dir, "documents"), 5)
-    return m.groupBy("doc_id").agg(F.count("*").alias("n"), F.count("before").alias("matched"), F.count(F.when(F.col("guess") == F.col("ch"), 1)).alias("hits"), F.coalesce(F.max(F.col("pos") - F.col("before")), F.lit(0)).cast("bigint").alias("farthest"))
+    """The last place where the same five symbols stood, found inside the document's array: no shuffle."""
+
+    def work(rows: pa.RecordBatch, cp: np.ndarray, first: np.ndarray) -> dict:
+        at, back = last_match(cp, first, 5)
+        of, docs = arrays.owner(first)[at], len(first) - 1
+        known = back >= 0
+        hits = known & (cp[np.maximum(back, 0)] == cp[at])
+        far = np.zeros(docs, np.int64)
+        np.maximum.at(far, of[known], (at - back)[known])
+        n = np.bincount(of, minlength=docs)
+        on = n > 0
+        columns = {"n": n, "matched": np.bincount(of[known], minlength=docs), "hits": np.bincount(of[hits], minlength=docs), "farthest": far}
+        return {"doc_id": rows.column("doc_id").filter(pa.array(on))} | {k: v[on] for k, v in columns.items()}
+
+    docs = table(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    return arrays.map_symbols(docs, work, "doc_id bigint, n bigint, matched bigint, hits bigint, farthest bigint", "doc_id")
 
 
 sql(
@@ -52,21 +63,27 @@ sql(
     + " SELECT m5.doc_id, count(*) AS n, count(b9) AS by9, count(b7) AS by7, count(b5) AS by5, cast(coalesce(sum(m5.pos - coalesce(b9, b7, b5)), 0) AS bigint) AS distance FROM m5 LEFT JOIN m7 ON m5.doc_id = m7.doc_id AND m5.pos = m7.pos LEFT JOIN m9 ON m5.doc_id = m9.doc_id AND m5.pos = m9.pos GROUP BY m5.doc_id",
 )
 def longest_prior_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The longest of three context lengths that stood before wins.
-
-    The three lookups are rows of one table keyed by (length, context): one shuffle for all,
-    and one more to bring a position's answers together.
-    """
-    docs = table(spark, sf_dir, "documents")
-    every = None
-    for k in ORDERS:
-        own = preceding(docs, k).withColumn("k", F.lit(k))
-        every = own if every is None else every.unionByName(own)
-    found = every.select("doc_id", "pos", "k", F.lag("pos").over(W.partitionBy("doc_id", "k", "ctx").orderBy("pos")).alias("before"))
-    at = [F.max(F.when(F.col("k") == k, F.col("before"))).alias(f"b{k}") for k in ORDERS]
-    own = found.groupBy("doc_id", "pos").agg(*at)
-    counts = [F.count(f"b{k}").alias(f"by{k}") for k in reversed(ORDERS)]
-    return own.groupBy("doc_id").agg(F.count("*").alias("n"), *counts, F.coalesce(F.sum(F.col("pos") - F.coalesce("b9", "b7", "b5")), F.lit(0)).cast("bigint").alias("distance"))
+    """The longest of three context lengths that stood before wins; three lookups in one pass over the array."""
+
+    def work(rows: pa.RecordBatch, cp: np.ndarray, first: np.ndarray) -> dict:
+        docs, of = len(first) - 1, arrays.owner(first)
+        best = np.full(len(cp), -1, np.int64)
+        columns = {}
+        for k in ORDERS:  # the longer overwrite the shorter
+            at, back = last_match(cp, first, k)
+            known = back >= 0
+            best[at[known]] = back[known]
+            columns[f"by{k}"] = np.bincount(of[at[known]], minlength=docs)
+            if k == ORDERS[0]:
+                n = np.bincount(of[at], minlength=docs)
+        known = best >= 0
+        distance = np.bincount(of[known], weights=(np.arange(len(cp)) - best)[known], minlength=docs).astype(np.int64)
+        on = n > 0
+        every = {"n": n} | {f"by{k}": columns[f"by{k}"] for k in reversed(ORDERS)} | {"distance": distance}
+        return {"doc_id": rows.column("doc_id").filter(pa.array(on))} | {k: v[on] for k, v in every.items()}
+
+    docs = table(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    return arrays.map_symbols(docs, work, "doc_id bigint, n bigint, by9 bigint, by7 bigint, by5 bigint, distance bigint", "doc_id")
 
 
 sql(

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.operators import arrays
 from seqloom.plans.registry import query, sql, table
 
 LIMIT = 30
@@ -21,7 +23,35 @@ def capped_mean(sorted_values: Column, limit: int = LIMIT, delta: float = 0.0, s
 
 PREFIX = """SELECT doc_id, pos, c1, hit, coalesce(avg(hit) OVER (PARTITION BY doc_id, c1 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.5e0) AS p FROM (
   SELECT doc_id, pos, lag(ch) OVER (PARTITION BY doc_id ORDER BY pos) AS c1, CASE WHEN ch = 'e' THEN 1.0e0 ELSE 0.0e0 END AS hit FROM symbols) AS t"""
-sql("prefix_mean_predictor", "A1 A2 A8 A9 A10 A12 L4 M11", f"SELECT doc_id, round(avg(p), 6) AS mean_p, round(avg((p - hit) * (p - hit)), 6) AS brier, round(sum(-log2(greatest(1e-4, least(1 - 1e-4, CASE WHEN hit > 0 THEN p ELSE 1 - p END)))), 4) AS cost_bits FROM ({PREFIX}) AS s GROUP BY doc_id")
+
+
+@query("prefix_mean_predictor", "A1 A2 A8 A9 A10 A12 L4 M11", f"SELECT doc_id, round(avg(p), 6) AS mean_p, round(avg((p - hit) * (p - hit)), 6) AS brier, round(sum(-log2(greatest(1e-4, least(1 - 1e-4, CASE WHEN hit > 0 THEN p ELSE 1 - p END)))), 4) AS cost_bits FROM ({PREFIX}) AS s GROUP BY doc_id")
+def prefix_mean_predictor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often an e has followed a symbol so far in its text, as a prediction of the next symbol; no shuffle."""
+
+    def work(rows: pa.RecordBatch, cp: np.ndarray, first: np.ndarray) -> dict:
+        of, hit = arrays.owner(first), (cp == ord("e")).astype(float)
+        kinds, codes = np.unique(cp, return_inverse=True)
+        context = np.full(len(cp), len(kinds))
+        context[1:] = codes[:-1]
+        heads = first[:-1][np.diff(first) > 0]
+        context[heads] = len(kinds)
+        order = np.argsort(context.astype(np.uint16) if len(kinds) < 65535 else context, kind="stable")  # then by text, then by place
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (context[order[1:]] != context[order[:-1]]) | (of[order[1:]] != of[order[:-1]])
+        begin = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
+        seen = np.arange(len(order)) - begin
+        total = np.cumsum(hit[order]) - hit[order]
+        p = np.empty(len(cp))
+        p[order] = np.where(seen > 0, (total - total[begin]) / np.maximum(seen, 1), 0.5)
+        cost = -np.log2(np.clip(np.where(hit > 0, p, 1 - p), 1e-4, 1 - 1e-4))
+        n = np.diff(first)
+        on = pa.array(n > 0)
+        out = {"doc_id": rows.column("doc_id")} | {k: pa.array(arrays.sums(v, first) / np.maximum(n, 1) if k != "cost_bits" else arrays.sums(v, first)) for k, v in (("mean_p", p), ("brier", (p - hit) ** 2), ("cost_bits", cost))}
+        return {k: v.filter(on) for k, v in out.items()}
+
+    found = arrays.map_symbols(table(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id").cast("bigint")), work, "doc_id bigint, mean_p double, brier double, cost_bits double", "doc_id")
+    return found.select("doc_id", F.round("mean_p", 6).alias("mean_p"), F.round("brier", 6).alias("brier"), F.round("cost_bits", 4).alias("cost_bits"))
 
 
 @query(

@@ -14,7 +14,17 @@ sql("word_counts", "T1 A21 M17", "SELECT lw, count(*) AS n, count(DISTINCT doc_i
 ABBREVIATIONS = "('mr', 'mrs', 'dr', 'st', 'jr', 'prof', 'mme', 'm', 'bzw', 'usw', 'z', 'th', 'er')"
 SENTENCES = f"""WITH t AS (SELECT doc_id, pos, tok, kind, lag(lower(tok)) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM tokens), e AS (SELECT doc_id, pos, tok, kind, CASE WHEN tok IN ('!', '?') OR (tok = '.' AND coalesce(before, '') NOT IN {ABBREVIATIONS}) THEN 1 ELSE 0 END AS ends FROM t),
   s AS (SELECT doc_id, pos, tok, kind, ends, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sent FROM e)"""
-sql("sentence_split", "T2 T4 M17", SENTENCES + " SELECT doc_id, count(DISTINCT sent) AS sentences, count(CASE WHEN kind = 'word' THEN 1 END) AS words, count(CASE WHEN tok IN (',', ';', ':') THEN 1 END) AS segments, count(CASE WHEN kind = 'space' AND tok LIKE '%' || chr(10) || '%' THEN 1 END) AS paragraphs FROM s GROUP BY doc_id")
+# The same from each text's array of tokens: nothing is taken apart into rows.
+_TOKENS = r"""regexp_extract_all(text, "[A-Za-z'\\u0080-\\uffff-]+|[0-9]+|[ \\t\\r\\n]+|[^A-Za-z'\\u0080-\\uffff0-9 \\t\\r\\n-]", 0)"""
+_SPLIT = f"""WITH t AS (SELECT doc_id, {_TOKENS} AS t FROM documents), e AS (SELECT doc_id, t, zip_with(t, concat(array(''), slice(t, 1, size(t) - 1)), (x, b) -> x IN ('!', '?') OR (x = '.' AND lower(b) NOT IN {ABBREVIATIONS})) AS e FROM t WHERE size(t) > 0)
+  SELECT doc_id, cast(size(filter(e, x -> x)) + CASE WHEN element_at(e, -1) THEN 0 ELSE 1 END AS bigint) AS sentences, cast(size(filter(t, x -> x RLIKE "^[A-Za-z'\\\\u0080-\\\\uffff-]")) AS bigint) AS words,
+    cast(size(filter(t, x -> x IN (',', ';', ':'))) AS bigint) AS segments, cast(size(filter(t, x -> x RLIKE '^[ \\\\t\\\\r\\\\n]' AND contains(x, chr(10)))) AS bigint) AS paragraphs FROM e"""
+sql(
+    "sentence_split",
+    "T2 T4 M17",
+    SENTENCES + " SELECT doc_id, count(DISTINCT sent) AS sentences, count(CASE WHEN kind = 'word' THEN 1 END) AS words, count(CASE WHEN tok IN (',', ';', ':') THEN 1 END) AS segments, count(CASE WHEN kind = 'space' AND tok LIKE '%' || chr(10) || '%' THEN 1 END) AS paragraphs FROM s GROUP BY doc_id",
+    spark_text=_SPLIT,
+)
 sql("sentence_types", "T3 A23", SENTENCES + ", k AS (SELECT doc_id, sent, max(CASE WHEN ends = 1 THEN tok END) AS mark, count(CASE WHEN kind = 'word' THEN 1 END) AS words FROM s GROUP BY doc_id, sent) SELECT doc_id, CASE WHEN mark = '?' THEN 'interrogative' WHEN mark = '!' THEN 'exclamative' WHEN mark = '.' THEN 'declarative' ELSE 'open' END AS type, count(*) AS n, cast(sum(words) AS bigint) AS words FROM k GROUP BY 1, 2")
 sql(
     "lang_id_vs_label",

@@ -16,6 +16,7 @@ from seqloom.operators.grain import GRAINS, NEEDS, TABLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+SPREAD_BYTES = 1 << 20
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 #: query -> the inventory rows it covers
@@ -38,13 +39,23 @@ def _grains(text: str) -> list[str]:
     return out
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A base table.  One that its files would leave to fewer tasks than there are cores is
+    dealt to all of them; where the input has at least as many parts, nothing is moved."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    plan, cores = df._jdf.queryExecution(), spark.sparkContext.defaultParallelism
+    if int(str(plan.optimizedPlan().stats().sizeInBytes())) >= SPREAD_BYTES and plan.toRdd().getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def views(spark: SparkSession, sf_dir: str, text: str) -> None:
     """Temporary views of the base tables and grains that a text reads."""
     own = _grains(text)
     every = text + " ".join(GRAINS[g][0] for g in own)
     for t in TABLES:
         if re.search(rf"\b(?:FROM|JOIN)\s+{t}\b", every, re.I):
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+            table(spark, sf_dir, t).createOrReplaceTempView(t)
     for g in own:
         spark.sql(GRAINS[g][0]).createOrReplaceTempView(g)
 
@@ -85,10 +96,6 @@ def query(name: str, covers: str, oracle: str | None = None) -> Callable[[Query]
     return put
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def load() -> None:
     """Import every module that registers queries."""
     from seqloom.functions import scalars  # noqa: F401
