@@ -17,14 +17,28 @@ from seqloom.plans.registry import query, sql, table
 BLOCK = 1000  # document ids of a block
 
 
-def running_number(rows: DataFrame, file: str, key: str, flag: str, block: int = BLOCK) -> DataFrame:
+def running_number(rows: DataFrame, file: str | list[str], key: str, flag: str, block: int = BLOCK) -> DataFrame:
     """``rows`` with ``number``: the running sum of ``flag`` over (file, key), in two steps."""
+    file = [file] if isinstance(file, str) else file
     own = rows.withColumn("block", F.floor(F.col(key) / block))
-    inside = W.partitionBy(file, "block").orderBy(key).rowsBetween(W.unboundedPreceding, 0)
-    totals = own.groupBy(file, "block").agg(F.sum(flag).alias("total"))
-    before = W.partitionBy(file).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(file, "block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
-    return own.withColumn("here", F.sum(flag).over(inside)).join(offsets, [file, "block"]).withColumn("number", (F.col("here") + F.col("offset")).cast("bigint")).drop("here", "offset", "block")
+    inside = W.partitionBy(*file, "block").orderBy(key).rowsBetween(W.unboundedPreceding, 0)
+    totals = own.groupBy(*file, "block").agg(F.sum(flag).alias("total"))
+    before = W.partitionBy(*file).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select(*file, "block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
+    return own.withColumn("here", F.sum(flag).over(inside)).join(offsets, [*file, "block"]).withColumn("number", (F.col("here") + F.col("offset")).cast("bigint")).drop("here", "offset", "block")
+
+
+def ranked(rows: DataFrame, file: str, value: str, key: str) -> DataFrame:
+    """``rows`` with ``pos``: their place in a file, the greater values first, then by key.
+
+    The values of a file are counted, so that a window holds its distinct values only; rows
+    of one value are numbered in blocks of keys.
+    """
+    counts = rows.groupBy(file, value).agg(F.count("*").alias("n"))
+    above = W.partitionBy(file).orderBy(F.desc(value)).rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(file, value, F.coalesce(F.sum("n").over(above), F.lit(0)).alias("above"))
+    numbered = running_number(rows.withColumn("one", F.lit(1).cast("bigint")), [file, value], key, "one").drop("one")
+    return numbered.join(offsets, [file, value]).withColumn("pos", (F.col("above") + F.col("number")).cast("bigint")).drop("above", "number")
 
 
 def split_parts(lines: DataFrame, head: int, tail: int) -> DataFrame:
@@ -65,10 +79,48 @@ def dense_renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # The order: documents by length, those of a length that seven divides left out of the order file.
 ORDER = "SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS pos FROM documents WHERE n_chars % 7 <> 0"
-sql("reorder_apply", "C6 C10 J8", f"WITH o AS ({ORDER}) SELECT d.source, d.doc_id, cast(o.pos AS bigint) AS pos, md5(d.text) AS digest FROM documents d JOIN o ON d.doc_id = o.doc_id")
-sql("antijoin_append", "C7 J8", f"WITH o AS ({ORDER}), rest AS (SELECT d.source, d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.doc_id = d.doc_id)) SELECT source, doc_id, cast(1000000000 + row_number() OVER (PARTITION BY source ORDER BY doc_id) AS bigint) AS pos FROM rest")
-sql("materialise_order", "C8 C9 C11", f"WITH o AS ({ORDER}), every AS (SELECT d.doc_id, coalesce(o.pos, 1000000000 + d.doc_id) AS pos FROM documents d LEFT JOIN o ON d.doc_id = o.doc_id) SELECT lines.doc_id, cast(pos AS bigint) AS pos, line_no, md5(line) AS digest FROM lines JOIN every ON lines.doc_id = every.doc_id")
-sql("restore_order", "C9", "SELECT source, cast(sum(CASE WHEN before > doc_id THEN 1 ELSE 0 END) AS bigint) AS inversions, count(*) AS n FROM (SELECT source, doc_id, lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS before FROM documents) AS t GROUP BY source")
+
+
+def in_order(docs: DataFrame) -> DataFrame:
+    """The rows that the order file has, with their place in it."""
+    return ranked(docs.where("n_chars % 7 <> 0"), "source", "n_chars", "doc_id")
+
+
+@query("reorder_apply", "C6 C10 J8", f"WITH o AS ({ORDER}) SELECT d.source, d.doc_id, cast(o.pos AS bigint) AS pos, md5(d.text) AS digest FROM documents d JOIN o ON d.doc_id = o.doc_id")
+def reorder_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places by length and id; the digest travels with its row."""
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars", F.md5("text").alias("digest"))
+    return in_order(docs).select("source", "doc_id", "pos", "digest")
+
+
+@query("antijoin_append", "C7 J8", f"WITH o AS ({ORDER}), rest AS (SELECT d.source, d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.doc_id = d.doc_id)) SELECT source, doc_id, cast(1000000000 + row_number() OVER (PARTITION BY source ORDER BY doc_id) AS bigint) AS pos FROM rest")
+def antijoin_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the order file doesn't mention, numbered by id in blocks."""
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
+    rest = docs.join(docs.where("n_chars % 7 <> 0").select("doc_id"), "doc_id", "left_anti").withColumn("one", F.lit(1).cast("bigint"))
+    return running_number(rest, "source", "doc_id", "one").select("source", "doc_id", (F.col("number") + 1000000000).alias("pos"))
+
+
+@query("materialise_order", "C8 C9 C11", f"WITH o AS ({ORDER}), every AS (SELECT d.doc_id, coalesce(o.pos, 1000000000 + d.doc_id) AS pos FROM documents d LEFT JOIN o ON d.doc_id = o.doc_id) SELECT lines.doc_id, cast(pos AS bigint) AS pos, line_no, md5(line) AS digest FROM lines JOIN every ON lines.doc_id = every.doc_id")
+def materialise_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of every document with its place: lines are digested where they are read, then meet the places."""
+    docs = table(spark, sf_dir, "documents")
+    lines = docs.select("doc_id", F.transform(F.split("text", "\n"), F.md5).alias("l")).where("l is not null")
+    places = in_order(docs.select("source", "doc_id", "n_chars")).select("doc_id", "pos")
+    every = lines.join(places, "doc_id", "left")
+    return every.select("doc_id", F.coalesce("pos", F.col("doc_id") + 1000000000).cast("bigint").alias("pos"), F.posexplode("l").alias("line_no", "digest")).withColumn("line_no", F.col("line_no").cast("bigint"))
+
+
+@query("restore_order", "C9", "WITH p AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY coalesce(n_chars, -1) DESC, doc_id) AS pos FROM documents), b AS (SELECT source, doc_id, pos, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS back FROM p) SELECT source, count(*) AS n, count(CASE WHEN pos <> back THEN 1 END) AS displaced, max(abs(pos - back)) AS farthest, cast(sum(pos * back) AS bigint) AS moment FROM b GROUP BY source")
+def restore_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file put in order of length and back in order of id: how many rows that moves, and how far."""
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.coalesce("n_chars", F.lit(-1)).alias("n_chars"))
+    placed = ranked(docs, "source", "n_chars", "doc_id").withColumn("one", F.lit(1).cast("bigint"))
+    back = running_number(placed, "source", "doc_id", "one").withColumnRenamed("number", "back")
+    far = F.abs(F.col("pos") - F.col("back"))
+    return back.groupBy("source").agg(F.count("*").alias("n"), F.count(F.when(far > 0, 1)).alias("displaced"), F.max(far).alias("farthest"), F.sum(F.col("pos") * F.col("back")).cast("bigint").alias("moment"))
+
+
 sql("concat_files", "C11 C22", "SELECT ordinal, count(*) AS items, cast(sum(size) AS bigint) AS size FROM (SELECT 0 AS ordinal, length(text) AS size FROM documents UNION ALL SELECT 1, length(html) FROM pages UNION ALL SELECT 2, length(text) FROM conversations) AS u GROUP BY ordinal")
 sql(
     "header_stream_split",
@@ -81,9 +133,16 @@ sql(
 
 @query("id_delta", "C13", "WITH d AS (SELECT source, doc_id, doc_id - coalesce(lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id), 0) AS delta FROM documents) SELECT source, doc_id, delta, cast(sum(delta) OVER (PARTITION BY source ORDER BY doc_id) AS bigint) AS restored FROM d")
 def id_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Differences of rising ids, and the ids again by a running sum in two steps."""
-    docs = table(spark, sf_dir, "documents").select("source", "doc_id")
-    delta = docs.withColumn("delta", F.col("doc_id") - F.coalesce(F.lag("doc_id").over(W.partitionBy("source").orderBy("doc_id")), F.lit(0)))
+    """Differences of rising ids, and the ids again by a running sum, both in two steps.
+
+    The first id of a block follows the last one of the block before.
+    """
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id").withColumn("block", F.floor(F.col("doc_id") / BLOCK))
+    lasts = docs.groupBy("source", "block").agg(F.max("doc_id").alias("last"))
+    before = lasts.select("source", "block", F.lag("last").over(W.partitionBy("source").orderBy("block")).alias("last"))
+    inside = F.lag("doc_id").over(W.partitionBy("source", "block").orderBy("doc_id"))
+    own = docs.withColumn("inside", inside).join(before, ["source", "block"])
+    delta = own.select("source", "doc_id", (F.col("doc_id") - F.coalesce("inside", "last", F.lit(0))).alias("delta"))
     return running_number(delta, "source", "doc_id", "delta").select("source", "doc_id", "delta", F.col("number").alias("restored"))
 
 

@@ -5,21 +5,65 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seqloom.operators.corpus import running_number
 from seqloom.operators.detect import HEADERS
 from seqloom.plans.registry import query, sql, table
 
 NEIGHBOURS = """WITH g AS (SELECT y, x, p, lag(p, 1) OVER r AS w, lag(p, 2) OVER r AS ww, lag(p, 1) OVER c AS n, lag(p, 2) OVER c AS nn, lag(p, 3) OVER c AS nnn FROM grid WINDOW r AS (PARTITION BY y ORDER BY x), c AS (PARTITION BY x ORDER BY y)),
   k AS (SELECT y, x, p, w, ww, n, nn, nnn, lag(n, 1) OVER r AS nw, lead(n, 1) OVER r AS ne FROM g WINDOW r AS (PARTITION BY y ORDER BY x))"""
-sql("grid_neighbours", "G3a J9 G1 G2 G3", NEIGHBOURS + " SELECT y, count(*) AS n, cast(coalesce(sum(w), 0) AS bigint) AS w, cast(coalesce(sum(n), 0) AS bigint) AS up, cast(coalesce(sum(nw), 0) AS bigint) AS nw, cast(coalesce(sum(ne), 0) AS bigint) AS ne, cast(coalesce(sum(ww), 0) AS bigint) AS ww, cast(coalesce(sum(nn), 0) AS bigint) AS nn FROM k GROUP BY y")
-sql(
+STRIPE = 1024  # rows of the grid that one window holds
+
+
+def grid_rows(vectors: DataFrame) -> DataFrame:
+    """(y, p, n, nn, nnn): the samples of each row of the grid, and of the rows above it, as arrays.
+
+    Rows are numbered in two steps and dealt to stripes, each of which also gets the last
+    three rows of the one before; no window holds a column of the grid.
+    """
+    sample = lambda v: F.least(F.greatest(F.floor(v * 64 + 128), F.lit(0)), F.lit(255)).cast("bigint")
+    rows = vectors.select(F.col("vec_id").alias("y"), F.transform("embedding", sample).alias("p"), F.lit(1).cast("bigint").alias("one"), F.lit(0).alias("file"))
+    numbered = running_number(rows, "file", "y", "one").select("y", "p", (F.col("number") - 1).alias("r"))
+    own = numbered.withColumn("stripe", F.floor(F.col("r") / STRIPE))
+    led = own.where(f"r % {STRIPE} >= {STRIPE - 3}").withColumn("stripe", F.col("stripe") + 1)
+    at = W.partitionBy("stripe").orderBy("r")
+    above = [F.lag("p", k).over(at).alias("n" * k) for k in (1, 2, 3)]
+    return own.unionByName(led).select("y", "p", "r", "stripe", *above).where(f"stripe = floor(r / {STRIPE})").drop("r", "stripe")
+
+
+def _total(column: str, drop_first: int = 0, drop_last: int = 0) -> Column:
+    """The sum of an array without some of its ends, 0 for none."""
+    part = F.slice(column, F.lit(1 + drop_first), F.greatest(F.size(column) - drop_first - drop_last, F.lit(0)))
+    return F.coalesce(F.aggregate(part, F.lit(0).cast("bigint"), lambda s, x: s + x), F.lit(0)).cast("bigint")
+
+
+@query("grid_neighbours", "G3a J9 G1 G2 G3", NEIGHBOURS + " SELECT y, count(*) AS n, cast(coalesce(sum(w), 0) AS bigint) AS w, cast(coalesce(sum(n), 0) AS bigint) AS up, cast(coalesce(sum(nw), 0) AS bigint) AS nw, cast(coalesce(sum(ne), 0) AS bigint) AS ne, cast(coalesce(sum(ww), 0) AS bigint) AS ww, cast(coalesce(sum(nn), 0) AS bigint) AS nn FROM k GROUP BY y")
+def grid_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the neighbours of each row's samples sum to; left and right are shifts of the row's own arrays."""
+    rows = grid_rows(table(spark, sf_dir, "embeddings")).where("size(p) > 0")
+    return rows.select("y", F.size("p").cast("bigint").alias("n"), _total("p", 0, 1).alias("w"), _total("n").alias("up"), _total("n", 0, 1).alias("nw"), _total("n", 1, 0).alias("ne"), _total("p", 0, 2).alias("ww"), _total("nn").alias("nn"))
+
+
+@query(
     "grid_gradient_residual",
     "G3b G4",
     NEIGHBOURS
     + """ SELECT y, round(avg(abs(p - (w + n - nw)) * 1.0e0), 6) AS gradient, round(avg(abs(p - greatest(least(w + n - nw, greatest(w, n)), least(w, n))) * 1.0e0), 6) AS clamped, round(avg(abs(p - (3 * n - 3 * nn + nnn)) * 1.0e0), 6) AS polynomial, round(avg(abs(p - (w + ne) / 2.0e0)), 6) AS diagonal FROM k WHERE nw IS NOT NULL AND ne IS NOT NULL AND nnn IS NOT NULL GROUP BY y""",
 )
+def grid_gradient_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far four predictors are from each row's samples, from the row's arrays alone."""
+    rows = grid_rows(table(spark, sf_dir, "embeddings")).where("nnn is not null and size(p) > 2")
+    errors = """transform(sequence(1, size(p) - 2), x -> named_struct(
+      'gradient', abs(p[x] - (p[x - 1] + n[x] - n[x - 1])), 'clamped', abs(p[x] - greatest(least(p[x - 1] + n[x] - n[x - 1], greatest(p[x - 1], n[x])), least(p[x - 1], n[x]))),
+      'polynomial', abs(p[x] - (3 * n[x] - 3 * nn[x] + nnn[x])), 'diagonal', abs(p[x] - (p[x - 1] + n[x + 1]) / 2.0e0)))"""
+    own = rows.select("y", F.expr(errors).alias("e"))
+    mean = lambda name: F.round(F.expr(f"aggregate(e, 0.0D, (s, x) -> s + x.{name}) / size(e)"), 6).alias(name)
+    return own.select("y", *[mean(k) for k in ("gradient", "clamped", "polynomial", "diagonal")])
+
+
 sql("grid_runs", "G2a", "WITH s AS (SELECT y, x, p, CASE WHEN lag(floor(p / 16)) OVER (PARTITION BY y ORDER BY x) = floor(p / 16) THEN 0 ELSE 1 END AS fresh FROM grid), i AS (SELECT *, sum(fresh) OVER (PARTITION BY y ORDER BY x) AS island FROM s), r AS (SELECT y, island, count(*) AS run FROM i GROUP BY y, island) SELECT y, count(*) AS runs, max(run) AS longest FROM r GROUP BY y")
 LAGS = "SELECT user_id, pos, value, lag(value, 1) OVER w AS a, lag(value, 2) OVER w AS b, lag(value, 3) OVER w AS c, lag(value, 4) OVER w AS d FROM series WINDOW w AS (PARTITION BY user_id ORDER BY pos)"
 sql("poly_forecast_residual", "G6a L23 G6 G7", f"SELECT user_id, count(d) AS n, round(avg(abs(value - (2 * a - b))), 4) AS line, round(avg(abs(value - (3 * a - 3 * b + c))), 4) AS parabola, round(avg(abs(value - (4 * a - 6 * b + 4 * c - d))), 4) AS cubic FROM ({LAGS}) AS t WHERE d IS NOT NULL GROUP BY user_id")
