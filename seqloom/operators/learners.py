@@ -45,25 +45,79 @@ def ngram_backoff_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("WITH n2 AS (SELECT * FROM ngrams WHERE c2 IS NOT NULL), n1 AS (SELECT c1, ch, sum(n) AS n FROM ngrams GROUP BY c1, ch)" + BACKOFF)
 
 
-sql(
+
+
+@query(
     "entropy_order0",
     "L18 IO15",
     """WITH c AS (SELECT doc_id, ch, count(*) AS n FROM symbols GROUP BY doc_id, ch), t AS (SELECT doc_id, sum(n) AS total, count(*) AS kinds FROM c GROUP BY doc_id)
     SELECT c.doc_id, cast(max(total) AS bigint) AS symbols, max(kinds) AS kinds, round(sum((n * 1.0e0) / total * log2(total / (n * 1.0e0))), 6) AS entropy FROM c JOIN t ON c.doc_id = t.doc_id GROUP BY c.doc_id""",
 )
-sql(
+def entropy_order0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bits a symbol of each text under its own counts; a row is done where it is read."""
+
+    def work(rows: pa.RecordBatch, cp: np.ndarray, first: np.ndarray) -> dict:
+        total = np.diff(first)
+        (of, _), n = arrays.counted([arrays.owner(first), cp])
+        share = n / np.maximum(total, 1)[of]
+        entropy = np.bincount(of, weights=-share * np.log2(share), minlength=len(total))
+        on = total > 0
+        return {"doc_id": rows.column("doc_id").filter(pa.array(on)), "symbols": total[on], "kinds": np.bincount(of, minlength=len(total))[on], "entropy": np.abs(entropy)[on]}
+
+    docs = table(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    return arrays.map_symbols(docs, work, "doc_id bigint, symbols bigint, kinds bigint, entropy double", "doc_id").withColumn("entropy", F.round("entropy", 6))
+
+
+def counts_by(docs: DataFrame, key: str, order: int) -> DataFrame:
+    """({key}, c1, ch, n): how often each symbol stands (after c1, if order is 1) in the rows of a key; counted in blocks, then summed."""
+
+    def work(rows: pa.RecordBatch, cp: np.ndarray, first: np.ndarray) -> dict:
+        names = rows.column(key).dictionary_encode()
+        code = names.indices.fill_null(len(names.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
+        own, place = arrays.shown(cp), np.arange(len(cp)) - np.repeat(first[:-1], np.diff(first))
+        at = np.flatnonzero(place >= order)
+        (k, c1, ch), n = arrays.counted([code[arrays.owner(first)[at]], own[at - 1] if order else np.zeros(len(at), np.int64), own[at]])
+        back = pa.concat_arrays([names.dictionary, pa.nulls(1, names.dictionary.type)])
+        return {key: back.take(pa.array(k)), "c1": arrays.symbols_of(c1), "ch": arrays.symbols_of(ch), "n": n}
+
+    each = arrays.map_symbols(docs.withColumn(key, F.col(key).cast("string")), work, f"{key} string, c1 string, ch string, n bigint", key)
+    return each.groupBy(key, "c1", "ch").agg(F.sum("n").alias("n"))
+
+
+@query(
     "conditional_entropy_by_lang",
     "L18 A15",
     """WITH t AS (SELECT doc_id, pos, ch, lag(ch) OVER (PARTITION BY doc_id ORDER BY pos) AS c1 FROM symbols), n AS (SELECT lang, c1, ch, count(*) AS n FROM t JOIN documents ON t.doc_id = documents.doc_id WHERE c1 IS NOT NULL GROUP BY lang, c1, ch),
     k AS (SELECT lang, c1, sum(n) AS total FROM n GROUP BY lang, c1), g AS (SELECT lang, sum(n) AS all_n FROM n GROUP BY lang)
     SELECT n.lang, cast(max(all_n) AS bigint) AS pairs, round(sum((n * 1.0e0) / all_n * log2(total / (n * 1.0e0))), 6) AS bits FROM n JOIN k ON n.lang = k.lang AND n.c1 = k.c1 JOIN g ON g.lang = n.lang GROUP BY n.lang""",
 )
+def conditional_entropy_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bits a symbol given the one before, by language; the language travels with its text."""
+    n = counts_by(table(spark, sf_dir, "documents").where("lang is not null"), "lang", 1)
+    total = n.groupBy("lang", "c1").agg(F.sum("n").alias("total"))
+    every = n.groupBy("lang").agg(F.sum("n").alias("all_n"))
+    share = F.col("n") / F.col("all_n")
+    return n.join(total, ["lang", "c1"]).join(every, "lang").groupBy("lang").agg(F.max("all_n").alias("pairs"), F.round(F.sum(share * F.log2(F.col("total") / F.col("n"))), 6).alias("bits"))
+
+
 PRIOR = "SELECT user_id, pos, CASE WHEN event_type = 'click' THEN 1.0e0 ELSE 0.0e0 END AS bit, lag(event_type) OVER (PARTITION BY user_id ORDER BY pos) AS ctx FROM series"
 ESTIMATE = f"WITH t AS ({PRIOR}), e AS (SELECT user_id, pos, bit, ctx, coalesce(avg(bit) OVER (PARTITION BY user_id, ctx ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.5e0) AS p1, coalesce(avg(bit) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.5e0) AS p0 FROM t), l AS (SELECT user_id, pos, bit, ln(greatest(1e-4, least(1 - 1e-4, p1)) / (1 - greatest(1e-4, least(1 - 1e-4, p1)))) AS x1, ln(greatest(1e-4, least(1 - 1e-4, p0)) / (1 - greatest(1e-4, least(1 - 1e-4, p0)))) AS x0, p1, p0 FROM e)"
 sql("calibration_bins", "L13 L15 L16", ESTIMATE + " SELECT cast(floor((greatest(-8.0e0, least(7.99e0, x1)) + 8) * 24 / 16) AS bigint) AS bin, count(*) AS n, round(avg(bit), 6) AS seen, round(avg(p1), 6) AS said FROM l GROUP BY 1")
 sql("logit_average", "L7 L14 F8", ESTIMATE + " SELECT user_id, round(avg(1 / (1 + exp(-(x1 + x0) / 2))), 6) AS mean_p, cast(floor(avg(1 / (1 + exp(-(x1 + x0) / 2))) * 15) AS bigint) AS gate, round(avg(-log2(CASE WHEN bit > 0 THEN 1 / (1 + exp(-(x1 + x0) / 2)) ELSE 1 - 1 / (1 + exp(-(x1 + x0) / 2)) END)), 6) AS cost FROM l GROUP BY user_id")
 sql("type_routed_average", "L14 L25", ESTIMATE + " SELECT user_id, round(avg(CASE WHEN pos % 2 = 0 THEN (3 * p1 + p0) / 4 ELSE (p1 + p0) / 2 END), 6) AS p, count(*) AS n FROM l GROUP BY user_id")
-sql("crossentropy_by_source", "L18 L17 A1", "WITH t AS (SELECT doc_id, ch, count(*) AS n FROM symbols GROUP BY doc_id, ch), g AS (SELECT ch, sum(n) AS n, sum(sum(n)) OVER () AS total FROM t GROUP BY ch) SELECT source, cast(sum(t.n) AS bigint) AS symbols, round(sum(t.n * log2(total / (g.n * 1.0e0))) / sum(t.n), 6) AS bits FROM t JOIN g ON t.ch = g.ch JOIN documents ON t.doc_id = documents.doc_id GROUP BY source")
+
+
+@query("crossentropy_by_source", "L18 L17 A1", "WITH t AS (SELECT doc_id, ch, count(*) AS n FROM symbols GROUP BY doc_id, ch), g AS (SELECT ch, sum(n) AS n, sum(sum(n)) OVER () AS total FROM t GROUP BY ch) SELECT source, cast(sum(t.n) AS bigint) AS symbols, round(sum(t.n * log2(total / (g.n * 1.0e0))) / sum(t.n), 6) AS bits FROM t JOIN g ON t.ch = g.ch JOIN documents ON t.doc_id = documents.doc_id GROUP BY source")
+def crossentropy_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bits a symbol of each source under the counts of all; the source travels with its text."""
+    n = counts_by(table(spark, sf_dir, "documents"), "source", 0)
+    every = n.groupBy("ch").agg(F.sum("n").alias("all_n"))
+    bits = F.log2(F.col("total") / F.col("all_n"))
+    total = n.agg(F.sum("n")).first()[0] or 0
+    own = n.join(every, "ch").withColumn("total", F.lit(total))
+    return own.groupBy("source").agg(F.sum("n").alias("symbols"), F.round(F.sum(F.col("n") * bits) / F.sum("n"), 6).alias("bits"))
+
+
 sql("linear_extrapolation_error", "L23", "SELECT doc_id, round(avg(abs(b - b1) * 1.0e0), 6) AS last_value, round(avg(abs(b - (2 * b1 - b2)) * 1.0e0), 6) AS line, round(avg(abs(b - (3 * b1 - 3 * b2 + b3)) * 1.0e0), 6) AS parabola FROM (SELECT doc_id, b, lag(b, 1) OVER w AS b1, lag(b, 2) OVER w AS b2, lag(b, 3) OVER w AS b3 FROM bytes WINDOW w AS (PARTITION BY doc_id ORDER BY pos, k)) AS t WHERE b3 IS NOT NULL GROUP BY doc_id")
 
 
