@@ -25,14 +25,16 @@ BLOCK_BYTES = 4 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where none is set."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder of the session; a temporary one only where none is set and all runs on this machine."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found
-    if not spark.sparkContext.getCheckpointDir():
-        own = tempfile.mkdtemp(prefix="seqloom-")
-        atexit.register(shutil.rmtree, own, True)
-        spark.sparkContext.setCheckpointDir(own)
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    own = tempfile.mkdtemp(prefix="seqloom-")
+    atexit.register(shutil.rmtree, own, True)
+    spark.sparkContext.setCheckpointDir(own)
     return spark.sparkContext.getCheckpointDir()
 
 

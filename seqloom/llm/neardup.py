@@ -556,11 +556,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without those whose class keeps another, with their columns."""
+    """The rows of ``docs`` without those whose class keeps another, with their columns, whatever these are called."""
     columns = docs.columns
-    held = stored(docs.select(F.monotonically_increasing_id().alias("__rid"), *columns), "numbered")
-    losers = near_classes(held.select(F.col("__rid").alias("rid"), "doc_id", "text")).where("not kept").select(F.col("rid").alias("__rid"))
-    return held.join(losers, "__rid", "left_anti").select(*columns)
+    rid = "rid"
+    while rid in {c.lower() for c in columns}:
+        rid += "_"
+    held = stored(docs.select(F.monotonically_increasing_id().alias(rid), *columns), "numbered")
+    losers = near_classes(held.select(F.col(rid).alias("rid"), "doc_id", "text")).where("not kept").select(F.col("rid").alias(rid))
+    return held.join(losers, rid, "left_anti").select(*columns)
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
