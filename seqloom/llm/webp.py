@@ -393,7 +393,7 @@ def decode_stream(data: bytes) -> np.ndarray:
         elif kind == PALETTE:
             n = r.read(8) + 1
             colours = _joined(np.cumsum(_planes(_image(r, n, 1, False)[0]), 0))
-            bits = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
+            bits = _bits_of(n)
             todo.append((kind, bits, (colours, own)))
             own = (own + (1 << bits) - 1) >> bits
         else:
@@ -600,7 +600,10 @@ def encode_image(argb: np.ndarray, transforms: Iterable[int] = (), cache_bits: i
 # ---------------------------------------------------------------- many grey strips together
 
 
-def _head(height: int) -> BitWriter:
+PLAIN, LEFT, TOP, COLOURS = range(4)  # how a grey strip is stored
+
+
+def _head(height: int, way: int, colours: np.ndarray | None) -> BitWriter:
     w = BitWriter()
     w.write(0x2F, 8)
     w.write(WIDTH - 1, 14)
@@ -608,21 +611,96 @@ def _head(height: int) -> BitWriter:
     w.write(0, 1)
     w.write(0, 3)
     w.write(1, 1)
-    w.write(SUBTRACT_GREEN, 2)
+    if way == COLOURS:
+        w.write(PALETTE, 2)
+        w.write(len(colours) - 1, 8)
+        grey = 0xFF000000 | colours.astype(np.uint32) * 0x010101
+        _write_image(w, _joined(np.diff(_planes(grey), axis=0, prepend=0))[None, :], False)
+    else:
+        w.write(SUBTRACT_GREEN, 2)
+        if way != PLAIN:  # one tile, one mode: the pixel to the left (1) or above (2)
+            w.write(1, 1)
+            w.write(PREDICTOR, 2)
+            w.write(7, 3)
+            _write_image(w, np.array([[(1 if way == LEFT else 2) << 8]], np.uint32), False)
     w.write(0, 1)  # no further transform
     w.write(0, 1)  # no colour cache
     w.write(0, 1)  # one group of codes
     return w
 
 
+def _packed(rows: np.ndarray, colours: np.ndarray) -> np.ndarray:
+    """Palette indices of strip rows, two, four or eight to a byte where that's all they need."""
+    index = np.searchsorted(colours, rows).astype(np.uint8)
+    more = _bits_of(len(colours))
+    if not more:
+        return index
+    each = 8 >> more
+    return (index.reshape(len(rows), -1, 1 << more) << (np.arange(1 << more) * each).astype(np.uint8)).sum(-1).astype(np.uint8)
+
+
+def _bits_of(colours: int) -> int:
+    """How many times pixels of so many colours are packed in halves."""
+    return 3 if colours <= 2 else 2 if colours <= 4 else 1 if colours <= 16 else 0
+
+
+def _entropy(values: np.ndarray, frame: np.ndarray, nf: int) -> np.ndarray:
+    """About the bits that each strip's samples take: those inside runs go to back-references."""
+    inside = np.zeros(len(values), bool)
+    inside[2:] = (values[2:] == values[1:-1]) & (values[2:] == values[:-2])
+    counts = np.bincount(frame[~inside] * 256 + values[~inside], minlength=nf * 256).reshape(nf, 256).astype(float)
+    total = counts.sum(1, keepdims=True)
+    return (counts * np.log2(np.maximum(total, 1) / np.maximum(counts, 1e-9), where=counts > 0, out=np.zeros_like(counts))).sum(1) + 8.0 * (counts > 0).sum(1)
+
+
+def choose_ways(samples: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray | None]]:
+    """For each strip the way that takes the fewest bits: the samples to store, where each strip's begin, ways and palettes.
+
+    A strip is stored as it is, as differences to the left or above, or as indices into up
+    to sixteen colours.  Grey pixels leave nothing for a cross-colour transform or a colour
+    cache to save, so these are read but never written here.
+    """
+    nf, size = len(bounds) - 1, np.diff(bounds)
+    frame = np.repeat(np.arange(nf), size)
+    at = np.arange(len(samples)) - np.repeat(bounds[:-1], size)
+    left, above = samples.copy(), samples.copy()
+    left[1:] -= samples[:-1]
+    above[WIDTH:] -= samples[:-WIDTH]
+    first_row, first_column = at < WIDTH, at % WIDTH == 0
+    left[first_column] = above[first_column]
+    above[first_row] = left[first_row]
+    start = bounds[:-1]
+    left[start] = above[start] = samples[start]
+    bits = np.stack([_entropy(x, frame, nf) for x in (samples, left, above)])
+    bits[1:] += 60
+    way = bits.argmin(0)
+    kinds = (np.bincount(frame * 256 + samples, minlength=nf * 256).reshape(nf, 256) > 0).sum(1)
+    palettes: list[np.ndarray | None] = [None] * nf
+    own = np.where(np.repeat(way == LEFT, size), left, np.where(np.repeat(way == TOP, size), above, samples))
+    pieces = {}
+    for f in np.flatnonzero(kinds <= 16).tolist():
+        rows = samples[bounds[f] : bounds[f + 1]].reshape(-1, WIDTH)
+        colours = np.unique(rows)
+        packed = _packed(rows, colours).ravel()
+        if _entropy(packed, np.zeros(len(packed), np.int64), 1)[0] + 60 + 8 * len(colours) < bits[way[f], f]:
+            way[f], palettes[f], pieces[f] = COLOURS, colours, packed
+    if pieces:
+        parts = [pieces.get(f, own[bounds[f] : bounds[f + 1]]) for f in range(nf)]
+        own, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+    return own, bounds, way, palettes
+
+
 def encode_frames(samples: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     """Grey strips of WIDTH samples a row, strip i at bounds[i]:bounds[i + 1].
 
-    Grey less green leaves one channel; runs of a sample become back-references.
+    Grey less green leaves one channel; each strip takes the transform that makes it least,
+    and runs of a sample become back-references.
     """
-    n, nf = len(samples), len(bounds) - 1
-    if n == 0:
+    if len(samples) == 0:
         return []
+    heights = np.diff(bounds) // WIDTH
+    samples, bounds, ways, palettes = choose_ways(samples, np.asarray(bounds))
+    n, nf = len(samples), len(bounds) - 1
     same = np.zeros(n, bool)
     same[1:] = samples[1:] == samples[:-1]
     same[bounds[:-1]] = False
@@ -653,7 +731,7 @@ def encode_frames(samples: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     starts = []
     for f in range(nf):
         own = code_lengths(counts[f], MAX_BITS)
-        w = _head(int(bounds[f + 1] - bounds[f]) // WIDTH)
+        w = _head(int(heights[f]), int(ways[f]), palettes[f])
         _write_lengths(w, own)
         used = np.flatnonzero(own)
         if len(used) > 1:
@@ -665,7 +743,7 @@ def encode_frames(samples: np.ndarray, bounds: np.ndarray) -> list[bytes]:
         w.write(0b101, 3)
         w.write(0, 8)
         w.write(0b101, 3)
-        w.write(255, 8)
+        w.write(255 if ways[f] == PLAIN else 0, 8)
         w.write(0b101, 3)  # distances: code 1, the pixel to the left
         w.write(1 if has_copy[f] else 0, 8)
         starts.append(w)
@@ -706,17 +784,35 @@ def encode_frames(samples: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     return out
 
 
-def _plain(data: bytes) -> tuple[BitReader, int, np.ndarray, int] | None:
-    """Height, green code lengths and distance of a stream that the batch reader takes."""
+def _plain(data: bytes) -> tuple[BitReader, int, int, np.ndarray, int, tuple] | None:
+    """Height, width as stored, green code lengths, distance and transform of a stream that the batch reader takes."""
     r = BitReader(data, 1)
     if data[0] != 0x2F or r.read(14) + 1 != WIDTH:
         return None
     height = r.read(14) + 1
     r.read(4)
-    if r.read(6) != 0b000101:  # subtract green, no other transform, no cache, one group
+    way, width = [], WIDTH
+    while r.read(1):
+        kind = r.read(2)
+        if kind == SUBTRACT_GREEN and not way:
+            way = [PLAIN]
+        elif kind == PREDICTOR and way == [PLAIN]:
+            if r.read(3) != 7:
+                return None
+            mode = (int(_image(r, 1, 1, False)[0, 0]) >> 8) & 15
+            if mode not in (1, 2):
+                return None
+            way = [LEFT if mode == 1 else TOP]
+        elif kind == PALETTE and not way:
+            colours = np.cumsum(_planes(_image(r, r.read(8) + 1, 1, False)[0])[:, 2]) & 255
+            way = [COLOURS, colours.astype(np.uint8)]
+            width = -(-WIDTH >> _bits_of(len(colours)))
+        else:
+            return None
+    if not way or r.read(2):  # no transform, or a colour cache or several groups
         return None
     green = _read_lengths(r, GREEN)
-    for constant in (0, 0, 255):
+    for constant in (0, 0, 255 if way[0] == PLAIN else 0):
         own = np.flatnonzero(_read_lengths(r, SMALL))
         if len(own) != 1 or own[0] != constant:
             return None
@@ -724,7 +820,29 @@ def _plain(data: bytes) -> tuple[BitReader, int, np.ndarray, int] | None:
     if len(distance) != 1 or distance[0] > 3:
         return None
     x, y = NEAR[int(distance[0])]
-    return r, height, green, max(1, x + y * WIDTH)
+    return r, height, width, green, max(1, x + y * width), tuple(way)
+
+
+def _undone(stored: np.ndarray, height: int, way: tuple) -> np.ndarray:
+    """The grey samples of a strip from what is stored of it."""
+    rows = stored.reshape(height, -1)
+    if way[0] == LEFT:
+        rows = rows.copy()
+        rows[:, 0] = np.cumsum(rows[:, 0], dtype=np.uint8)
+        rows = np.cumsum(rows, axis=1, dtype=np.uint8)
+    elif way[0] == TOP:
+        rows = rows.copy()
+        rows[0] = np.cumsum(rows[0], dtype=np.uint8)
+        rows = np.cumsum(rows, axis=0, dtype=np.uint8)
+    elif way[0] == COLOURS:
+        more = _bits_of(len(way[1]))
+        if more:
+            each = 8 >> more
+            rows = ((rows[..., None] >> (np.arange(1 << more) * each).astype(np.uint8)) & ((1 << each) - 1)).reshape(height, -1)[:, :WIDTH]
+        padded = np.zeros(256, np.uint8)
+        padded[: len(way[1])] = way[1]
+        rows = padded[rows]
+    return rows.ravel()
 
 
 def decode_frames(streams: list[bytes]) -> list[np.ndarray]:
@@ -738,10 +856,10 @@ def decode_frames(streams: list[bytes]) -> list[np.ndarray]:
             found.append((i, *plain))
     if not found:
         return out
-    bits = max(1, *(int(g.max()) for _, _, _, g, _ in found))
+    bits = max(1, *(int(g.max()) for _, _, _, _, g, _, _ in found))
     nf = len(found)
-    tables = np.concatenate([lookup(g, bits)[0] for _, _, _, g, _ in found])
-    sizes = np.array([h * WIDTH for _, _, h, _, _ in found], np.int64)
+    tables = np.concatenate([lookup(g, bits)[0] for _, _, _, _, g, _, _ in found])
+    sizes = np.array([h * width for _, _, h, width, _, _, _ in found], np.int64)
     begin = np.zeros(nf, np.int64)
     parts, at = [], 0
     for k, (i, r, *_) in enumerate(found):
@@ -801,7 +919,7 @@ def decode_frames(streams: list[bytes]) -> list[np.ndarray]:
     pixels[place[literal]] = symbol[literal]
     if not literal.all():
         n, p = count[~literal], place[~literal]
-        step = np.array([d for *_, d in found], np.int64)[frame[~literal]]
+        step = np.array([d for *_, d, _ in found], np.int64)[frame[~literal]]
         if (p - step < start[frame[~literal]]).any():
             raise Damaged("a back-reference out of bounds")
         target = np.repeat(p, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
@@ -813,8 +931,9 @@ def decode_frames(streams: list[bytes]) -> list[np.ndarray]:
                 break
             source[target] = further
         pixels[target] = pixels[source[target]]
-    for k, (i, *_) in enumerate(found):
-        out[i] = pixels[start[k] : start[k + 1]]
+    for k, (i, _, height, _, _, _, way) in enumerate(found):
+        own = pixels[start[k] : start[k + 1]]
+        out[i] = own if way[0] == PLAIN else _undone(own, height, way)
     return out
 
 

@@ -46,6 +46,34 @@ def test_payloads_and_both_readers():
         assert general.astype(np.uint8).tobytes() == payload
 
 
+def test_ways_of_storing():
+    """Each way is chosen by some strip, both readers agree on all, and none makes a file larger than storing the samples plainly."""
+    rng = np.random.default_rng(8)
+    ramp = (rng.integers(0, 256, (64, 1)) + 3 * np.arange(192)).astype(np.uint8).ravel()
+    row = rng.integers(0, 256, 192).astype(np.uint8)
+    rows = np.concatenate([row + k for k in range(64)]).astype(np.uint8)
+    few = rng.choice([7, 65, 200], 64 * 192).astype(np.uint8)
+    two = rng.choice([32, 97], 192).astype(np.uint8)
+    prose = np.frombuffer(media.payload(b"plain prose, as most texts are: " + bytes(rng.integers(97, 123, 3000).astype(np.uint8))), np.uint8)
+    strips = [ramp, rows, few, two, prose, np.full(192, 32, np.uint8), np.frombuffer(b"For " * 48 * 40, np.uint8)]
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in strips])])
+    _, _, ways, _ = webp.choose_ways(np.concatenate(strips), bounds)
+    assert set(ways.tolist()) == {webp.PLAIN, webp.LEFT, webp.TOP, webp.COLOURS}
+    streams = webp.encode_frames(np.concatenate(strips), bounds)
+    for strip, stream, back in zip(strips, streams, webp.decode_frames(streams)):
+        assert (back == strip).all()
+        assert (((webp.decode_stream(stream) >> 8) & 255).ravel() == strip).all()
+    assert len(streams[0]) < 1000 and len(streams[1]) < 2000 and len(streams[2]) < 64 * 192 * 0.3
+
+
+def test_equal_texts_are_stored_alike_in_any_block():
+    texts = [b"", b"one text", b"x" * 500, b"The The The " * 900, "été ".encode() * 4000]
+    together = media.encode_payloads([media.payload(t) for t in texts])
+    alone = [media.encode_payloads([media.payload(t)])[0] for t in texts]
+    assert together == alone
+    assert media.decode_payloads(together[::-1]) == [media.payload(t) for t in texts[::-1]]
+
+
 def test_damaged():
     file = media.encode_payloads([media.payload(b"some text")])[0]
     with pytest.raises(webp.Damaged):
