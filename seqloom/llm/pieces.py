@@ -18,6 +18,7 @@ kept with its backpointer and its exact number of tokens.
 from __future__ import annotations
 
 import struct
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -29,6 +30,7 @@ NORMAL, UNKNOWN, BYTE = 1, 2, 6
 UNIGRAM, BPE = 1, 2
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0  # below the worst score, in unigram models
+LONG, FEW = 200, 16  # chunks of more code points that so few share are solved one by one
 _P = np.uint64(0x9E3779B97F4A7C15)
 _FILTER = 20
 
@@ -229,6 +231,10 @@ class Pieces:
         for length, which in by.items():
             if not length:
                 continue
+            if length > LONG and len(which) < FEW:  # nobody to advance with
+                for i in which:
+                    out[i] = self._alone(np.frombuffer(chunks[i].encode("utf-32-le"), np.uint32))
+                continue
             step = max(1, (1 << 20) // length)
             for at in range(0, len(which), step):
                 own = which[at : at + step]
@@ -296,6 +302,85 @@ class Pieces:
                 count[j, more] = count[j - 1, more] + wide[j - 1, more]
         return self._paths(points, last, back, count)
 
+    def _found(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pieces of one chunk, by the place they end at and the longer first: place, length and id."""
+        length = len(points)
+        power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(length, _P, np.uint64)]))
+        inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(length, np.uint64(pow(int(_P), -1, 1 << 64)), np.uint64)]))
+        # hashes of all prefixes at once: the sum of what each code point adds, brought to the prefix's own power
+        hashes = np.concatenate([[np.uint64(0)], np.cumsum((points.astype(np.uint64) + np.uint64(1)) * inverse[1:])]) * power
+        ends, sizes, ids = [], [], []
+        for k in range(min(length, self.longest), 0, -1):
+            if not len(self.keys[k]):
+                continue
+            h = hashes[k:] - hashes[:-k] * self.powers[k]
+            likely = np.flatnonzero(self.filter[k][self._slot(h)])
+            at = np.minimum(np.searchsorted(self.keys[k], h[likely]), len(self.keys[k]) - 1)
+            hit = self.keys[k][at] == h[likely]
+            own = self.key_ids[k][at[hit]]
+            keep = self.reach[own] if self.kind == BPE else np.ones(len(own), bool)
+            ends.append(likely[hit][keep] + k)
+            sizes.append(np.full(int(keep.sum()), k, np.int32))
+            ids.append(own[keep])
+        end = np.concatenate(ends) if ends else np.zeros(0, np.int64)
+        order = np.argsort(end, kind="stable")
+        return end[order], np.concatenate(sizes)[order] if ends else end, np.concatenate(ids)[order] if ends else end
+
+    def _alone(self, points: np.ndarray) -> tuple[bytes, bytes]:
+        """What :meth:`_lattice` gives, of one long chunk: its pieces are looked up at once, then it is walked."""
+        length, none = len(points), len(self.strings)
+        end, size, token = self._found(points)
+        wide = np.ones(length, np.int32)
+        if self.byte_fallback:
+            wide += (points > 0x7F).astype(np.int32) + (points > 0x7FF) + (points > 0xFFFF)
+        last, back, count = array("i", [none]) * (length + 1), array("i", [1]) * (length + 1), array("i", [0]) * (length + 1)
+        beside: dict[int, bool] = {}
+        bpe = self.kind == BPE
+        best = array("d", [0.0]) * (1 if bpe else length + 1)
+        worst = 0.0 if bpe else min(self.scores[i] for i in self.ids.values()) - UNKNOWN_PENALTY
+        for begin in range(0, length, 1 << 16):
+            stop = min(length, begin + (1 << 16))
+            cut = np.searchsorted(end, np.arange(begin + 1, stop + 2)).tolist()
+            base = cut[0]
+            sizes, tokens, costs = size[base : cut[-1]].tolist(), token[base : cut[-1]].tolist(), wide[begin:stop].tolist()
+            for j in range(begin + 1, stop + 1):
+                a, b = cut[j - begin - 1] - base, cut[j - begin] - base
+                if bpe:
+                    for c in range(a, b):
+                        k, t = sizes[c], tokens[c]
+                        if k < j:
+                            pair = last[j - k] * (none + 1) + t
+                            good = beside.get(pair)
+                            if good is None:
+                                good = beside[pair] = bool(self.beside(np.array([last[j - k]]), np.array([t]))[0])
+                            if not good:
+                                continue
+                        last[j], back[j], count[j] = t, k, count[j - k] + 1
+                        break
+                    else:
+                        count[j] = count[j - 1] + costs[j - begin - 1]
+                else:
+                    top, single = -np.inf, False
+                    for c in range(a, b):
+                        k, t = sizes[c], tokens[c]
+                        single = single or k == 1
+                        value = best[j - k] + self.scores[t]
+                        if value > top:
+                            top, last[j], back[j], count[j] = value, t, k, count[j - k] + 1
+                    value = best[j - 1] + worst
+                    if not single and value > top:
+                        top, last[j], back[j], count[j] = value, none, 1, count[j - 1] + costs[j - begin - 1]
+                    best[j] = top
+        ids, j = array("i"), length
+        while j:
+            if last[j] != none:
+                ids.append(last[j])
+            else:
+                ids.extend(self.byte_ids[list(chr(points[j - 1]).encode())][::-1].tolist() if self.byte_fallback else [self.unknown])
+            j -= back[j]
+        ids.reverse()
+        return ids.tobytes(), count[1:].tobytes()
+
     def _probe(self, hashes: np.ndarray, j: int, k: int, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of ``which``, the chunks with a piece of k code points that ends at j, and its id."""
         if len(which) == hashes.shape[1]:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -82,3 +83,35 @@ def test_encoded_rows(spark, library):
     assert found[1].ids == library.encode("a b  c\n") and found[1].round_trip and found[1].decoded == "a b  c\n"
     assert found[2].ids == [] and found[3].n_pieces == 0
     assert not found[4].round_trip and found[5].round_trip
+
+
+def test_one_very_long_chunk(library):
+    """A text without a space is one chunk: its lattice is solved whole."""
+    own = pieces.load(MODEL)
+    r = random.Random(11)
+    for text in ("a" * 300_000, "".join(r.choice("abcdefghijklmnopqrstuvwxyzé日") for _ in range(100_000)), "=" * 30_000 + "x"):
+        ids = library.encode(text)
+        assert own.encode([text]) == [ids]
+        assert own.prefix_counts(text)[-1] == len(ids)
+        assert own.decode([ids]) == [text]
+
+
+@pytest.mark.parametrize("kind", [pieces.BPE, pieces.UNIGRAM])
+def test_a_chunk_alone_is_solved_like_many(kind):
+    own = pieces.Pieces(MODEL, kind)
+    r = random.Random(12)
+    for _ in range(60):
+        text = "".join(r.choice("abcdeé日😀 ion the=\x01") for _ in range(r.randint(1, 80))).replace(" ", pieces.SPACE)
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        assert own._alone(points) == own._lattice(points[:, None])[0]
+
+
+def test_empty_tables_and_clashing_names(spark, library):
+    schema = "doc_id long, text string, ids string, n_pieces string, round_trip string, n_bytes string"
+    assert sentencepieces.encode_texts(spark.createDataFrame([], schema), MODEL).count() == 0
+    assert tokencount.count_tokens(spark.createDataFrame([], schema), MODEL).count() == 0
+    df = spark.createDataFrame([(1, "some text", "i", "n", "r", "b"), (None, None, None, None, None, None), (1, "some text", "i", "n", "r", "b")], schema)
+    rows = sentencepieces.encode_texts(df, MODEL).collect()
+    assert sorted(str(x.doc_id) for x in rows) == ["1", "1", "None"] and all(x.round_trip for x in rows)
+    assert [x.ids for x in rows if x.doc_id] == [library.encode("some text")] * 2
+    assert sorted(x.n_bytes for x in tokencount.count_tokens(df, MODEL).collect()) == [0, 9, 9]
