@@ -67,7 +67,7 @@ sql(
 sql(
     "previous_words",
     "X11 X19 M9 J2 L2",
-    "SELECT w2, w1, lw, count(*) AS n FROM (SELECT lw, lag(lw, 1) OVER w AS w1, lag(lw, 2) OVER w AS w2 FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) AS t WHERE w2 IS NOT NULL GROUP BY w2, w1, lw HAVING count(*) > 1",
+    "SELECT w2, w1, lw, count(*) AS n FROM (SELECT lw, lag(lw, 1) OVER w AS w1, lag(lw, 2) OVER w AS w2 FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) AS t WHERE w2 IS NOT NULL GROUP BY w2, w1, lw",
 )
 sql(
     "distance_to_marks",
@@ -105,7 +105,7 @@ sql(
     """WITH t AS (SELECT doc_id, pos, tok, kind, lead(tok) OVER (PARTITION BY doc_id ORDER BY pos) AS after FROM tokens)
     SELECT doc_id, min_by(tok, pos) FILTER (WHERE kind = 'word') AS first_word, max_by(tok, pos) FILTER (WHERE kind = 'word' AND after IN (':', '|', '.')) AS last_before_stop, max_by(tok, pos) FILTER (WHERE kind = 'word' AND tok <> lower(tok)) AS last_capital FROM t GROUP BY doc_id""",
 )
-sql("word_recency", "X27 A21", "SELECT lw, count(*) AS n, min(gap) AS least, max(gap) AS most, round(avg(gap), 6) AS mean FROM (SELECT lw, pos - lag(pos) OVER (PARTITION BY doc_id, lw ORDER BY pos) AS gap FROM words) AS t WHERE gap IS NOT NULL GROUP BY lw HAVING count(*) > 2")
+sql("word_recency", "X27 A21", "SELECT lw, count(*) AS n, min(gap) AS least, max(gap) AS most, round(avg(gap), 6) AS mean FROM (SELECT lw, pos - lag(pos) OVER (PARTITION BY doc_id, lw ORDER BY pos) AS gap FROM words) AS t WHERE gap IS NOT NULL GROUP BY lw")
 sql("alphabetic_runs", "X28 X1", f"WITH s AS (SELECT doc_id, pos, CASE WHEN {CLASS2} IN ('v', 'c') THEN 0 ELSE 1 END AS breaks FROM symbols), i AS (SELECT *, sum(breaks) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM s) SELECT doc_id, least(n, 15) AS run, count(*) AS runs FROM (SELECT doc_id, island, count(*) AS n FROM i WHERE breaks = 0 GROUP BY doc_id, island) AS t GROUP BY doc_id, least(n, 15)")
 sql("bit_contexts", "X8 X13 M5 M6 ST2", """SELECT doc_id, bit_no, partial, count(*) AS n, cast(sum(bit) AS bigint) AS ones FROM (SELECT doc_id, j AS bit_no, cast(floor(b / {p8j}) AS bigint) + {p2j} AS partial, cast(floor(b / {p7j}) AS bigint) % 2 AS bit FROM bytes, (SELECT unnest(range(0, 8)) AS j) AS js) AS t GROUP BY doc_id, bit_no, partial""".format(p8j="power(2, 8 - j)", p7j="power(2, 7 - j)", p2j="cast(power(2, j) AS bigint)"),
     spark_text="""SELECT doc_id, bit_no, partial, count(*) AS n, cast(sum(bit) AS bigint) AS ones FROM (SELECT doc_id, j AS bit_no, cast(floor(b / power(2, 8 - j)) AS bigint) + cast(power(2, j) AS bigint) AS partial, cast(floor(b / power(2, 7 - j)) AS bigint) % 2 AS bit FROM (SELECT doc_id, b, explode(sequence(0L, 7L)) AS j FROM bytes)) AS t GROUP BY doc_id, bit_no, partial""")

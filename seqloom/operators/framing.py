@@ -44,11 +44,14 @@ HEADER = """SELECT doc_id, n, flag, {byte0} AS b0, cast(floor(n / 16777216) AS b
   (({byte0}) % 128) * 4294967296 + (cast(floor(n / 16777216) AS bigint) % 256) * 16777216 + (cast(floor(n / 65536) AS bigint) % 256) * 65536 + (cast(floor(n / 256) AS bigint) % 256) * 256 + n % 256 AS read_back
   FROM (SELECT doc_id, cast(length(text) AS bigint) AS n, CASE WHEN lang = 'en' THEN 128 ELSE 0 END AS flag FROM documents)"""
 sql("header_codec", "IO9 IO10 M4", HEADER.format(byte0="cast(floor(n / 4294967296) AS bigint) % 128 + flag"))
+_VOCABULARY = """WITH v AS (SELECT doc_id, b, count(*) AS n FROM bytes GROUP BY doc_id, b), o AS (SELECT doc_id, cast(sum(n) AS bigint) AS n_bytes, count(*) AS present, {listed} AS listed FROM v GROUP BY doc_id)
+    SELECT doc_id, n_bytes, CASE WHEN n_bytes < {from_} THEN 256 ELSE present END AS vocabulary, CASE WHEN n_bytes < {from_} THEN NULL ELSE listed END AS listed FROM o"""
+# the bytes that occur, in hexadecimal and in order, say what a bitmap of 256 bits does; short texts may use all
 sql(
     "vocab_bitmap",
     "IO11 A20",
-    f"""WITH v AS (SELECT doc_id, count(*) AS n_bytes, count(DISTINCT b) AS present, cast(sum(DISTINCT CASE WHEN b < 62 THEN 1 ELSE 0 END) AS bigint) AS low, min(b) AS least_byte, max(b) AS most_byte FROM bytes GROUP BY doc_id)
-    SELECT doc_id, n_bytes, CASE WHEN n_bytes < {VOCABULARY_FROM} THEN 256 ELSE present END AS vocabulary, CASE WHEN n_bytes < {VOCABULARY_FROM} THEN 0 ELSE least_byte END AS least_byte, CASE WHEN n_bytes < {VOCABULARY_FROM} THEN 255 ELSE most_byte END AS most_byte FROM v""",
+    _VOCABULARY.format(listed="string_agg(lpad(to_hex(b), 2, '0'), '' ORDER BY b)", from_=VOCABULARY_FROM),
+    spark_text=_VOCABULARY.format(listed="array_join(array_sort(collect_list(lpad(hex(b), 2, '0'))), '')", from_=VOCABULARY_FROM),
 )
 BLOCKS = """typed AS (SELECT doc_id, line_no, CASE WHEN line LIKE '%|%' THEN 'TABLE' WHEN {m}(line, '[#$%&*]{{3}}') THEN 'NOISE' ELSE 'TEXT' END AS type, length(line) + 1 AS len FROM lines),
   fresh AS (SELECT *, CASE WHEN coalesce(lag(type) OVER (PARTITION BY doc_id ORDER BY line_no), '') <> type THEN 1 ELSE 0 END AS f FROM typed),

@@ -16,8 +16,11 @@ from seqloom.plans.registry import query, table
 
 
 def _shared(spark: SparkSession) -> str:
-    """A new folder for a stream's sink and checkpoint, in the shared folder if the session names one."""
+    """A new folder for a stream's sink and checkpoint: in the shared folder, or a temporary one where all runs on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not found and master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     return f"{(found or tempfile.mkdtemp(prefix='seqloom-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 

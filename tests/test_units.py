@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -112,5 +113,15 @@ def test_archive(spark):
     packed = archive.encode(docs)
     assert {r.doc_id: r.flag for r in packed.collect() if r.doc_id < 4} == {1: 1, 2: -1, 3: 0}
     key = lambda r: (r[0], r[1] or "")
-    assert sorted((tuple(r) for r in archive.decode(packed).collect()), key=key) == sorted(rows, key=key)
+    assert sorted((tuple(r) for r in archive.decode(packed).select("doc_id", "text").collect()), key=key) == sorted(rows, key=key)
     assert isinstance(packed.toPandas(), pd.DataFrame)
+
+
+def test_archive_knows_its_dictionary(spark):
+    docs = spark.createDataFrame([(1, "the old river " * 30), (2, None), (3, "")], "doc_id long, text string")
+    words = b"the old river"
+    packed = archive.encode(docs, dictionary=words)
+    assert {r.doc_id: r.text for r in archive.decode(packed, words).collect()} == {1: "the old river " * 30, 2: None, 3: ""}
+    for made, given in ((packed, b""), (packed, b"another"), (archive.encode(docs), words)):
+        with pytest.raises(Exception, match="another dictionary"):
+            archive.decode(made, given).collect()
