@@ -160,15 +160,17 @@ class Mixer(Model):
     """Weights chosen by a gate, a dot product of logits, an AdaGrad step on the error.
 
     Each weight's step shrinks with the root of its own squared gradients so far, and every
-    step pulls the gate's weights a little towards an equal mix.
+    step pulls the gate's weights a little towards an equal mix.  The gate is the last bit,
+    or, ``by_failure``, how many of the last eight predictions were on the wrong side.
+    Errors inside the ``dead`` band are good enough and change nothing.
     """
 
-    def __init__(self, models: list[Model], gates: int = 1, rate: float = 0.05, pull: float = 1e-5):
-        self.models, self.rate, self.pull = models, rate, pull
+    def __init__(self, models: list[Model], gates: int = 1, rate: float = 0.05, pull: float = 1e-5, dead: float = 0.0, by_failure: bool = False):
+        self.models, self.rate, self.pull, self.dead, self.by_failure = models, rate, pull, dead, by_failure
         self.even = 1.0 / max(1, len(models))
         self.weights = np.full((gates, len(models)), self.even)
         self.squares = np.ones((gates, len(models)))
-        self.gate, self.inputs, self.p = 0, np.zeros(len(models)), 0.5
+        self.gate, self.inputs, self.p, self.failures = 0, np.zeros(len(models)), 0.5, 0
 
     def predict(self) -> float:
         p = np.clip([m.predict() for m in self.models], 1e-4, 1 - 1e-4)
@@ -177,13 +179,44 @@ class Mixer(Model):
         return self.p
 
     def update(self, bit: int) -> None:
-        own = self.weights[self.gate]
-        gradient = (self.p - bit) * self.inputs + self.pull * (own - self.even)
-        self.squares[self.gate] += gradient**2
-        own -= self.rate * gradient / np.sqrt(self.squares[self.gate])
+        if abs(self.p - bit) >= self.dead:
+            own = self.weights[self.gate]
+            gradient = (self.p - bit) * self.inputs + self.pull * (own - self.even)
+            self.squares[self.gate] += gradient**2
+            own -= self.rate * gradient / np.sqrt(self.squares[self.gate])
+        for m in self.models:
+            m.update(bit)
+        self.failures = (self.failures << 1 | int((self.p >= 0.5) != bool(bit))) & 255
+        self.gate = min(self.failures.bit_count(), len(self.weights) - 1) if self.by_failure else bit % len(self.weights)
+
+
+class IntegerMixer(Model):
+    """A mixer in whole numbers alone: logits in 256ths, weights in 65,536ths, shifts for divisions.
+
+    Two integer machines give the same predictions to the last bit, whatever their floats do.
+    """
+
+    UNIT, SHIFT = 256, 16  # of a logit; of a weight
+
+    def __init__(self, models: list[Model], step: int = 14):
+        self.models, self.step = models, step
+        self.weights = [(1 << self.SHIFT) // max(1, len(models))] * len(models)
+        #: probabilities (of 65,536) of the logits -12 to 12, and logits of the probabilities (of 4,096)
+        self.squash = [round(65536 / (1 + np.exp(-x / self.UNIT))) for x in range(-12 * self.UNIT, 12 * self.UNIT + 1)]
+        self.stretch = [round(self.UNIT * float(np.log((k + 0.5) / (4096 - k - 0.5)))) for k in range(4096)]
+        self.inputs, self.p = [0] * len(models), 32768
+
+    def predict(self) -> float:
+        self.inputs = [self.stretch[min(4095, max(0, int(m.predict() * 4096)))] for m in self.models]
+        dot = sum(w * x for w, x in zip(self.weights, self.inputs)) >> self.SHIFT
+        self.p = self.squash[min(12 * self.UNIT, max(-12 * self.UNIT, dot)) + 12 * self.UNIT]
+        return min(max(self.p, 1), 65535) / 65536
+
+    def update(self, bit: int) -> None:
+        error = (bit << 16) - self.p
+        self.weights = [w + (x * error >> self.step) for w, x in zip(self.weights, self.inputs)]
         for m in self.models:
             m.update(bit)
-        self.gate = bit % len(self.weights)
 
 
 class Layered(Model):
@@ -332,6 +365,9 @@ MODELS = {
     "order2": lambda: ContextMean(2),
     "order6": lambda: ContextMean(6),
     "mixed": lambda: Mixer([ContextMean(k) for k in (0, 1, 2, 4, 6)], gates=2),
+    "dead_band": lambda: Mixer([ContextMean(k) for k in (0, 1, 2, 4, 6)], dead=0.01),
+    "by_failure": lambda: Mixer([ContextMean(k) for k in (0, 2, 4, 6)], gates=5, by_failure=True),
+    "integer": lambda: IntegerMixer([ContextMean(k) for k in (0, 1, 2, 4, 6)]),
     "layered": lambda: Layered([ContextMean(k) for k in (0, 2, 4, 6)]),
     "graph": lambda: Graph(),
     "forest": lambda: Average([Graph(t) for t in (1.0, 2.0, 4.0, 8.0)]),
@@ -347,7 +383,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
 
 
-@query("model_costs", "L1 L5 L6 L11 L12 L13 L16 L21 L22 ST1 U1 U2")
+@query("model_costs", "L1 L5 L6 L11 L12 L13 L15 L16 L21 L22 ST1 U1 U2")
 def model_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bits a step that each model spends on the rises and falls of each user's series."""
 

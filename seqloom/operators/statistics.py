@@ -130,6 +130,12 @@ sql(
     SELECT c.doc_id, round(sum(CASE WHEN b >= 128 THEN n ELSE 0 END) / (max(total) * 1.0e0), 6) AS p_bit7, round(sum(CASE WHEN b BETWEEN 64 AND 127 THEN n ELSE 0 END) / (greatest(1, sum(CASE WHEN b < 128 THEN n ELSE 0 END)) * 1.0e0), 6) AS p_bit6,
       max(n * 1000 + (255 - b)) % 1000 AS top_code, max(n) AS top_n FROM c JOIN t ON c.doc_id = t.doc_id GROUP BY c.doc_id""",
 )
+sql(
+    "vocab_mask",
+    "A20",
+    """WITH v AS (SELECT doc_id, b FROM bytes GROUP BY doc_id, b), g AS (SELECT b, count(*) AS n, sum(count(*)) OVER () AS total FROM bytes GROUP BY b)
+    SELECT doc_id, count(*) AS possible, round(sum(n) / (max(total) * 1.0e0), 6) AS mass, round(log2(max(total) / (sum(n) * 1.0e0)), 6) AS saved_bits FROM v JOIN g ON v.b = g.b GROUP BY doc_id""",
+)
 sql(
     "lang_evidence_last64",
     "A22 T9 ST6",
