@@ -6,6 +6,8 @@ or user in numpy, behind :class:`Model`; :func:`fold` runs any of them by key.
 
 from __future__ import annotations
 
+import io
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -408,49 +410,87 @@ def arithmetic_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class Lstm:
-    """A small LSTM with coupled gates, trained by truncated backpropagation and Adam, predicting a symbol."""
+    """Layers of LSTM cells that predict a symbol: coupled gates, root-mean-square norm, truncated backpropagation, Adam.
+
+    A layer reads the symbol (the first one) or the layer below, and its own last output;
+    each gate's sum is divided by its root mean square, then scaled and moved.  The symbol's
+    probabilities come from all layers' outputs.
+    """
 
-    def __init__(self, symbols: int, cells: int = 8, horizon: int = 10, rate: float = 0.03, seed: int = 0):
+    GATES = "foc"  # what is kept, what is shown, what is written
+
+    def __init__(self, symbols: int, cells: int = 8, layers: int = 2, horizon: int = 20, rate: float = 0.03, seed: int = 0):
         rng = np.random.default_rng(seed)
-        self.n, self.h, self.horizon, self.rate = symbols, cells, horizon, rate
-        self.w = {"f": rng.normal(0, 0.3, (symbols + cells + 1, cells)), "o": rng.normal(0, 0.3, (symbols + cells + 1, cells)), "c": rng.normal(0, 0.3, (symbols + cells + 1, cells)), "y": rng.normal(0, 0.3, (cells + 1, symbols))}
+        self.n, self.h, self.layers, self.horizon, self.rate = symbols, cells, layers, horizon, rate
+        self.w: dict[str, np.ndarray] = {"y": rng.normal(0, 0.3, (layers * cells + 1, symbols))}
+        for k in range(layers):
+            for g in self.GATES:
+                self.w |= {f"{g}{k}": rng.normal(0, 0.3, ((cells if k else symbols) + cells + 1, cells)), f"scale_{g}{k}": np.ones(cells), f"move_{g}{k}": np.zeros(cells)}
         self.m, self.v = ({k: np.zeros_like(x) for k, x in self.w.items()} for _ in range(2))
-        self.c, self.out, self.steps, self.tape, self.last = np.zeros(cells), np.zeros(cells), 0, [], 0
+        self.c, self.out = np.zeros((2, layers, cells))
+        self.steps, self.tape, self.last = 0, [], 0
 
     def predict(self) -> np.ndarray:
-        x = np.zeros(self.n + self.h + 1)
-        x[self.last], x[self.n : -1], x[-1] = 1, self.out, 1
-        s = lambda a: 1 / (1 + np.exp(-a))
-        f, o, g = s(x @ self.w["f"]), s(x @ self.w["o"]), np.tanh(x @ self.w["c"])
-        c = f * self.c + (1 - f) * g
-        out = o * np.tanh(c)
-        y = np.append(out, 1) @ self.w["y"]
+        below = np.zeros(self.n)
+        below[self.last] = 1
+        own = []
+        for k in range(self.layers):
+            x = np.concatenate([below, self.out[k], [1.0]])
+            gates = {}
+            for g in self.GATES:
+                a = x @ self.w[f"{g}{k}"]
+                r = np.sqrt((a * a).mean() + 1e-5)
+                z = a / r * self.w[f"scale_{g}{k}"] + self.w[f"move_{g}{k}"]
+                gates[g] = (a, r, np.tanh(z) if g == "c" else 1 / (1 + np.exp(-z)))
+            keep, show, new = (gates[g][2] for g in self.GATES)
+            before = self.c[k].copy()
+            self.c[k] = keep * before + (1 - keep) * new
+            self.out[k] = show * np.tanh(self.c[k])
+            own.append((x, gates, before, self.c[k].copy()))
+            below = self.out[k].copy()
+        h = np.append(self.out.ravel(), 1.0)
+        y = h @ self.w["y"]
         p = np.exp(y - y.max())
         p /= p.sum()
-        self.tape.append([x, f, o, g, self.c, c, out, p, 0])
-        self.c, self.out = c, out
+        self.tape.append([own, h, p, 0])
         return p
 
+    def gradients(self) -> dict[str, np.ndarray]:
+        """Of the cost of the symbols on the tape, back to its beginning."""
+        grad = {k: np.zeros_like(x) for k, x in self.w.items()}
+        carry_out, carry_c = np.zeros((2, self.layers, self.h))
+        for own, h, p, symbol in reversed(self.tape):
+            dy = p.copy()
+            dy[symbol] -= 1
+            grad["y"] += np.outer(h, dy)
+            shown = (self.w["y"][:-1] @ dy).reshape(self.layers, self.h)
+            above = np.zeros(self.h)
+            for k in range(self.layers - 1, -1, -1):
+                x, gates, before, c = own[k]
+                keep, show, new = (gates[g][2] for g in self.GATES)
+                d, t = carry_out[k] + shown[k] + above, np.tanh(c)
+                dc = carry_c[k] + d * show * (1 - t * t)
+                inner = {"f": dc * (before - new) * keep * (1 - keep), "o": d * t * show * (1 - show), "c": dc * (1 - keep) * (1 - new * new)}
+                dx = np.zeros_like(x)
+                for g, dz in inner.items():
+                    a, r, _ = gates[g]
+                    grad[f"scale_{g}{k}"] += dz * a / r
+                    grad[f"move_{g}{k}"] += dz
+                    dn = dz * self.w[f"scale_{g}{k}"]
+                    da = dn / r - a * (dn @ a) / (self.h * r**3)
+                    grad[f"{g}{k}"] += np.outer(x, da)
+                    dx += self.w[f"{g}{k}"] @ da
+                carry_c[k] = dc * keep
+                carry_out[k] = dx[-self.h - 1 : -1]
+                above = dx[: self.h] if k else above
+        return grad
+
     def update(self, symbol: int) -> None:
         self.tape[-1][-1] = symbol
         self.last = symbol
         if len(self.tape) < self.horizon:
             return
-        grad = {k: np.zeros_like(x) for k, x in self.w.items()}
-        dout, dc = np.zeros(self.h), np.zeros(self.h)
-        for x, f, o, g, before, c, out, p, sym in reversed(self.tape):
-            dy = p.copy()
-            dy[sym] -= 1
-            grad["y"] += np.outer(np.append(out, 1), dy)
-            dout = dout + self.w["y"][:-1] @ dy
-            t = np.tanh(c)
-            dc = dc + dout * o * (1 - t * t)
-            parts = {"o": dout * t * o * (1 - o), "f": dc * (before - g) * f * (1 - f), "c": dc * (1 - f) * (1 - g * g)}
-            dx = np.zeros_like(x)
-            for k, d in parts.items():
-                grad[k] += np.outer(x, d)
-                dx += self.w[k] @ d
-            dout, dc = dx[self.n : -1], dc * f
+        grad = self.gradients()
         self.tape.clear()
         self.steps += 1
         for k, g in grad.items():
@@ -459,13 +499,27 @@ class Lstm:
             self.v[k] = 0.999 * self.v[k] + 0.001 * g * g
             self.w[k] -= self.rate * (self.m[k] / (1 - 0.9**self.steps)) / (np.sqrt(self.v[k] / (1 - 0.999**self.steps)) + 1e-8)
 
+    def save(self) -> bytes:
+        """Weights and state as one file's bytes."""
+        out = io.BytesIO()
+        np.savez(out, c_state=self.c, out_state=self.out, last=self.last, **self.w)
+        return out.getvalue()
+
+    @classmethod
+    def load(cls, data: bytes, symbols: int, **shape: int) -> Lstm:
+        """A network that goes on where the saved one was."""
+        net, found = cls(symbols, **shape), np.load(io.BytesIO(data))
+        net.w = {k: found[k] for k in net.w}
+        net.c, net.out, net.last = found["c_state"].copy(), found["out_state"].copy(), int(found["last"])
+        return net
+
 
 @query("lstm_cost", "L8 L9 L10 L24 IO19")
 def lstm_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bits a step of a small LSTM, of symbol counts, and of their average, on each user's event types; weights come back as they were written."""
+    """Bits a step of a small LSTM, of symbol counts, and of their average, on each user's event types; a saved network goes on like the one it was saved from."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows.sort_values(["ts", "event_id"])["event_type"]
+        own = rows.sort_values(["ts", "event_id"])["event_type"].fillna("")
         names = sorted(own.unique())
         seq = [names.index(x) for x in own]
         net, counts, bits = Lstm(len(names)), np.ones(len(names)), np.zeros(3)
@@ -474,8 +528,8 @@ def lstm_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
             bits -= np.log2([p[s], q[s], (p[s] + q[s]) / 2])
             net.update(s)
             counts[s] += 1
-        saved = {k: v.tobytes() for k, v in net.w.items()}
-        same = all((np.frombuffer(saved[k]).reshape(v.shape) == v).all() for k, v in net.w.items())
+        back = Lstm.load(net.save(), len(names))
+        same = bool((back.predict() == net.predict()).all())
         return pd.DataFrame({"user_id": [rows["user_id"].iloc[0]], "n": [len(seq)], "lstm": [round(bits[0] / len(seq), 6)], "counts": [round(bits[1] / len(seq), 6)], "average": [round(bits[2] / len(seq), 6)], "weights_same": [same]})
 
     return table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type").groupBy("user_id").applyInPandas(run, "user_id long, n long, lstm double, counts double, average double, weights_same boolean")

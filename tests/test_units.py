@@ -125,3 +125,32 @@ def test_archive_knows_its_dictionary(spark):
     for made, given in ((packed, b""), (packed, b"another"), (archive.encode(docs), words)):
         with pytest.raises(Exception, match="another dictionary"):
             archive.decode(made, given).collect()
+
+
+def test_lstm_gradients():
+    net = learners.Lstm(3, cells=4, layers=2, horizon=99, seed=2)
+    rng = np.random.default_rng(1)
+    for k in net.w:
+        net.w[k] = net.w[k] + rng.normal(0, 0.2, net.w[k].shape)
+    seq = [0, 2, 1, 1, 0, 2]
+
+    def cost():
+        net.tape, net.last = [], 0
+        net.c, net.out = np.zeros((2, 2, 4))
+        total = 0.0
+        for s in seq:
+            total -= float(np.log(net.predict()[s]))
+            net.update(s)
+        return total
+
+    cost()
+    grads = net.gradients()
+    for k, g in grads.items():
+        for at in list(np.ndindex(g.shape))[:: max(1, g.size // 4)]:
+            old = net.w[k][at]
+            net.w[k][at] = old + 1e-5
+            up = cost()
+            net.w[k][at] = old - 1e-5
+            down = cost()
+            net.w[k][at] = old
+            assert abs((up - down) / 2e-5 - g[at]) < 1e-5, (k, at)
