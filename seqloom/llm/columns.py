@@ -102,6 +102,7 @@ def give_back() -> None:
 
 def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in blocks of at most ``limit`` bytes of ``column``, or one row."""
+    give_back()  # what the worker's task before this one has freed since
     for batch in batches:
         if batch.num_rows == 0:
             continue

@@ -32,7 +32,7 @@ CORE = 112
 TRAIN_CORE = 48
 TRAIN_WINDOWS = 2000
 TRAIN_TOTAL = 40_000
-BATCH = 2048  # windows that are read at once
+BATCH = 1024  # windows that are read at once
 EPOCHS = 2
 STEPS = 500  # at least
 HIDE = 8

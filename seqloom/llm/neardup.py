@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.columns import SCRATCH, blocks, drop_stored, fold_table, hash_words, mix, stored, texts, words
+from seqloom.llm.columns import SCRATCH, blocks, drop_stored, fold_table, give_back, hash_words, mix, stored, texts, words
 
 SHINGLE = 5
 SKETCHES = 12
@@ -46,6 +46,7 @@ FINE = 512  # of the digest in buckets that go on
 MARGIN = 4.0  # standard deviations under the threshold: 3 in 100,000 links could be missed in one bucket
 PART = 4096  # members of a part of a bucket, expected; two parts are a cell
 ROWS = 256  # of a cell that are held against all its other rows at once
+BROADCAST_ROWS = 1 << 20  # numbers (8 MB) of rows to drop
 NAMED = 2  # partners that a member names in the first round; four times as many in each further one
 BAND = 16
 CELLS = 8 << 20  # of an alignment batch
@@ -294,6 +295,7 @@ def sift(pairs: DataFrame) -> DataFrame:
     """Of pairs (a, b, na, nb, ba, bb) those that may be links, as (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for p in batches:
             ba, bb = (np.frombuffer(b"".join(p.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("ba", "bb"))
             na, nb = (np.maximum(p.column(c).to_numpy(zero_copy_only=False) - SHINGLE + 1, 1) for c in ("na", "nb"))
@@ -379,6 +381,7 @@ def name_partners(members: DataFrame, top: int) -> DataFrame:
                 if len(x):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), keys[0, i])), pa.array(node[i:j][x]), pa.array(node[i:j][y])], ["bucket", "a", "b"])
 
+        give_back()
         held: list[pa.RecordBatch] = []  # rows from the last cell's first on
         last = None
         for batch in batches:
@@ -399,6 +402,8 @@ def name_partners(members: DataFrame, top: int) -> DataFrame:
             last = keys[:, -1]
         if held:
             yield from pairs(pa.Table.from_batches(held))
+        del held
+        give_back()
 
     parts = F.ceil(F.col("company") / PART)
     dealt = members.withColumn("side", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))))
@@ -411,6 +416,7 @@ def fine_digests(sequences: DataFrame) -> DataFrame:
     """(node, bins) of word sequences (node, words): the longer digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 b = batch.slice(at, 512)
@@ -426,6 +432,7 @@ def verify(pairs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Of pairs (a, b, wa, wb) those that are links, as (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 p = batch.slice(at, 512)
@@ -563,6 +570,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
         rid += "_"
     held = stored(docs.select(F.monotonically_increasing_id().alias(rid), *columns), "numbered")
     losers = near_classes(held.select(F.col(rid).alias("rid"), "doc_id", "text")).where("not kept").select(F.col("rid").alias(rid))
+    if losers.count() <= BROADCAST_ROWS:  # row numbers of bounded size go to the texts; beyond, both meet by number
+        losers = F.broadcast(losers)
     return held.join(losers, rid, "left_anti").select(*columns)
 
 

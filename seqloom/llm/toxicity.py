@@ -41,6 +41,7 @@ FEATURE_Z = 2.0  # of a feature
 STEPS = 10  # of each of the two fits
 OTHER = -8.0  # where the weight of every word begins
 CHUNK = 64
+BLOCK = 2 << 20  # bytes of text whose words are chained at once
 LEAST = 0.05  # of a marginal that counts towards a text's score: length alone is no evidence
 RANKED = 3  # marginals of a text that its score looks at one by one, beside their sum
 FAR = 30.0  # emissions beyond are as good as certain
@@ -476,7 +477,7 @@ def score_texts(docs: DataFrame, crf: Crf) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cpus_one()
-        for b in blocks(batches):
+        for b in blocks(batches, limit=BLOCK):
             r = crf.read(*texts(b.column("text")))
             expected, score = np.round(expected_toxic(r["marginal"], r["doc"]), 6), crf.score(r["marginal"], r["doc"])
             sure = r["marginal"] >= 0.5
@@ -496,7 +497,7 @@ def keep_clean(docs: DataFrame, crf: Crf) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cpus_one()
-        for b in blocks(batches):
+        for b in blocks(batches, limit=BLOCK):
             r = crf.read(*texts(b.column("text")))
             b = b.filter(pa.array(crf.score(r["marginal"], r["doc"]) < 0.5))
             if b.num_rows:

@@ -107,7 +107,7 @@ def test_classes_against_brute_force(spark):
     assert N.keep_one(docs).columns == docs.columns
 
 
-def test_edges(spark):
+def test_edges(spark, monkeypatch):
     rows = [(1, None), (2, ""), (3, "..."), (4, "a b"), (5, "A  b!"), (5, "a b"), (None, "a b"), (6, "a b c"), (7, "x " * 30000), (8, "Été là"), (9, "été LÀ"), (None, "alone here")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = N.near_duplicates(docs).collect()
@@ -116,6 +116,8 @@ def test_edges(spark):
     assert by[1] == by[2] == by[3] == 1 and by[4] == by[5] == 4 and by[6] == 6 and by[8] == by[9] == 8
     assert sum(r.kept for r in found) == 6
     assert N.keep_one(docs).count() == 6
+    monkeypatch.setattr(N, "BROADCAST_ROWS", 0)  # rows to drop that are too many to send
+    assert N.keep_one(docs).count() == 6
     none = spark.createDataFrame([], "doc_id long, text string")
     assert N.near_duplicates(none).count() == 0 and N.keep_one(none).count() == 0
 
