@@ -13,6 +13,15 @@ registry.load()
 SMOKE = os.environ.get("SEQLOOM_TEST_DATA", "/root/testdata/sf0.001")
 
 
+@pytest.fixture(autouse=True, scope="module")
+def one_partition(spark):
+    """These tables are a few rows: one task a stage will do."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.fixture(scope="module")
 def empty(tmp_path_factory):
     d = tmp_path_factory.mktemp("empty")
