@@ -28,6 +28,7 @@ from seqloom.llm.columns import SCRATCH, blocks, drop_stored, fold_table, hash_w
 WINDOW = 8
 CONTAMINATED = 2  # items
 BLOCK_WINDOWS = 100_000
+SEGMENT = 4 << 20  # bytes of text
 TABLE = fold_table([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
 INDEX_SCHEMA = "segment long, doc_ids array<long>, n_words binary, terms binary, first binary, positions binary"
 GAP = 1  # positions between documents, so that no phrase runs from one to the next
@@ -221,7 +222,7 @@ def build_index(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches):
+        for b in blocks(batches, limit=SEGMENT):
             row = Segment.build(*texts(b.column("text"))).row()
             columns = {"segment": [b.column("segment")[0].as_py()], "doc_ids": [b.column("doc_id").to_pylist()]} | {k: [v] for k, v in row.items()}
             yield pa.RecordBatch.from_pydict(columns, pa.schema([("segment", pa.int64()), ("doc_ids", pa.list_(pa.int64()))] + [(k, pa.binary()) for k in row]))

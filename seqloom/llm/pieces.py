@@ -443,7 +443,7 @@ class Pieces:
         coded = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
         return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary, np.searchsorted(starts, offsets)
 
-    def solved(self, dictionary: pa.Array, most: int = 150_000) -> list[tuple[bytes, bytes]]:
+    def solved(self, dictionary: pa.Array, most: int = 80_000) -> list[tuple[bytes, bytes]]:
         """The lattices of distinct chunks; those of earlier blocks are kept, up to ``most``."""
         own = dictionary.to_pylist()
         found = [self.cache.get(c) for c in own]
