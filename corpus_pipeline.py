@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from seqloom.llm import decontaminate, language, neardup, pieces, sentencepieces, toxicity
-from seqloom.llm.columns import SCRATCH, drop_stored, stored
+from seqloom.llm.columns import SCRATCH, drop_stored, small_batches, stored
 
 #: folders of the stage before, which its written result no longer needs
 _LEFT: list[str] = []
@@ -23,6 +23,7 @@ ORACLE_SQL = None
 
 
 def _begin(spark: SparkSession) -> None:
+    small_batches(spark)  # executors outlive the stages, and what one stage has taken of their memory the next ones miss
     for path in [p for p in _LEFT if p in SCRATCH]:
         at = SCRATCH.index(path)
         drop_stored(spark, at, len(SCRATCH) - at - 1)
@@ -73,7 +74,12 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+    made = small_batches(spark)
+    try:
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        for name, stage in STAGES:
+            docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        return docs
+    finally:
+        for key in made:
+            spark.conf.unset(key)

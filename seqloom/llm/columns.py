@@ -23,6 +23,9 @@ from pyspark.sql import SparkSession
 
 BLOCK_BYTES = 2 << 20
 
+#: Spark's own defaults hold 10,000 rows or 64 MB of an Arrow batch, and 4,096 rows of a Parquet file, in each task at once
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(BLOCK_BYTES), "spark.sql.parquet.columnarReaderBatchSize": "512"}
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of the session; a temporary one only where none is set and all runs on this machine."""
@@ -78,6 +81,18 @@ def drop_stored(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
         SCRATCH.remove(path)
 
 
+def small_batches(spark: SparkSession) -> list[str]:
+    """Have Spark move rows in batches no larger than a block, where the session doesn't say how; returns the settings made.
+
+    Whole texts make batches of tens of MB else, in the executor's JVM and again in its
+    workers, and the JVM returns little of that.  Only the batches differ, never the rows.
+    """
+    made = [key for key in BATCHES if spark.conf.get(key, None) is None]
+    for key in made:
+        spark.conf.set(key, BATCHES[key])
+    return made
+
+
 def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; null reads as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -1,9 +1,12 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from seqloom.llm import columns
+
 pipeline = pytest.importorskip("corpus_pipeline")
 
 
@@ -124,3 +127,39 @@ def test_language_stage_rejects_noise(spark):
     assert not [i for i in kept if i >= 10**9]
     lettered = [x.doc_id for x in docs.where("text rlike '[a-zA-Z]'").select("doc_id").collect()]
     assert sum(i in kept for i in lettered) > 0.998 * len(lettered)
+
+
+def test_stages_move_bounded_batches(tmp_path, spark):
+    """Long texts reach the workers in batches of a block's size, not in 10,000 rows at once."""
+    d, _ = plant(tmp_path, spark)
+    keys = list(columns.BATCHES)
+    docs = spark.range(0, 2000, 1, 1).selectExpr("id doc_id", "repeat(concat('word', id, ' '), 1000) text", "'en' lang", "'s' source", "0 n_chars")
+    docs.write.parquet(f"{tmp_path}/long.parquet")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "size": [sum(len(t) for t in b.column("text").to_pylist())]})
+
+    try:
+        pipeline.identify_language(spark, spark.read.parquet(f"{d}/documents.parquet"), d)
+        found = spark.read.parquet(f"{tmp_path}/long.parquet").mapInArrow(sizes, "rows long, size long").collect()
+    finally:
+        for key in keys:
+            spark.conf.unset(key)
+    assert sum(r.rows for r in found) == 2000
+    assert max(r.size for r in found) <= columns.BLOCK_BYTES + 10_000  # and a row
+
+
+def test_session_keeps_its_own_batches(tmp_path, spark):
+    d, _ = plant(tmp_path, spark)
+    arrow, parquet = columns.BATCHES
+    spark.conf.set(arrow, "1000000")
+    try:
+        assert columns.small_batches(spark) == [parquet]
+        assert spark.conf.get(arrow) == "1000000"
+        spark.conf.unset(parquet)
+        pipeline.run(spark, d)
+        assert spark.conf.get(arrow) == "1000000" and spark.conf.get(parquet, None) is None
+    finally:
+        for key in columns.BATCHES:
+            spark.conf.unset(key)
