@@ -11,36 +11,86 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from seqloom.plans.registry import table
 
 BLOCK_CHARS = 2 << 20
 
 
+def _blocks(column: pa.Array, size: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Beginnings and ends of the blocks of rows whose sizes come to at most ``BLOCK_CHARS``, or of one row."""
+    total = np.cumsum(size)
+    at = 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(total, BLOCK_CHARS + (total[at - 1] if at else 0), "right")))
+        yield at, end
+        at = end
+
+
 def symbol_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Rows with a text, their code points one after the other, and where each text's begin."""
     for batch in batches:
         batch = batch.filter(batch.column("text").is_valid())
-        rows = [x.as_py() for x in batch.column("text")]
-        size = np.array([len(x) for x in rows], np.int64)
-        at = 0
-        while at < len(rows):
-            end = max(at + 1, int(np.searchsorted(np.cumsum(size[at:]), BLOCK_CHARS, "right")) + at)
-            cp = np.frombuffer("".join(rows[at:end]).encode("utf-32-le", "surrogatepass"), "<u4")
+        text = batch.column("text")
+        size = pc.utf8_length(text).to_numpy(zero_copy_only=False).astype(np.int64)
+        for at, end in _blocks(text, size):
+            cp = np.frombuffer("".join(text.slice(at, end - at).to_pylist()).encode("utf-32-le", "surrogatepass"), "<u4")
             yield batch.slice(at, end - at), cp, np.concatenate([[0], np.cumsum(size[at:end])])
-            at = end
 
 
-def map_symbols(docs: DataFrame, work: Callable, schema: str, *keep: str) -> DataFrame:
+def byte_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """The same with each text's UTF-8 bytes."""
+    for batch in batches:
+        batch = batch.filter(batch.column("text").is_valid())
+        text = batch.column("text").cast(pa.binary())
+        size = pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64)
+        for at, end in _blocks(text, size):
+            data = np.frombuffer(b"".join(text.slice(at, end - at).to_pylist()), np.uint8)
+            yield batch.slice(at, end - at), data, np.concatenate([[0], np.cumsum(size[at:end])])
+
+
+def map_symbols(docs: DataFrame, work: Callable, schema: str, *keep: str, blocks: Callable = symbol_blocks) -> DataFrame:
     """``work(rows, code points, begins)`` of every block of ``docs`` (``keep``, text), a dictionary of columns each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, cp, first in symbol_blocks(batches):
+        for rows, cp, first in blocks(batches):
             out = work(rows, cp, first)
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in out.values()], list(out))
 
     return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
+def map_bytes(docs: DataFrame, work: Callable, schema: str, *keep: str) -> DataFrame:
+    """:func:`map_symbols` over UTF-8 bytes."""
+    return map_symbols(docs, work, schema, *keep, blocks=byte_blocks)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table, its key as a long."""
+    return table(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id").cast("bigint"))
+
+
+def places(first: np.ndarray) -> np.ndarray:
+    """Each symbol's place in its text."""
+    return np.arange(first[-1]) - np.repeat(first[:-1], np.diff(first))
+
+
+def last_before(marked: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each symbol the place in its text of the last marked one before it, or -1."""
+    begin = np.repeat(first[:-1], np.diff(first))
+    last = np.full(len(marked), -1, np.int64)
+    last[1:] = np.maximum.accumulate(np.where(marked, np.arange(len(marked)), -1))[:-1]
+    return np.where(last >= begin, last - begin, -1)
+
+
+def per_text(rows: pa.RecordBatch, on: np.ndarray, **columns: np.ndarray) -> dict:
+    """The texts that are ``on``, by doc_id, with their values."""
+    return {"doc_id": rows.column("doc_id").filter(pa.array(on))} | {k: v[on] for k, v in columns.items()}
+
+
 def owner(first: np.ndarray) -> np.ndarray:
     """The text that each symbol is of."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))

@@ -77,13 +77,34 @@ sql(
         pos - coalesce(max(CASE WHEN ch IN ('.', ',', ';', ':', '!', '?') THEN pos END) OVER w, 0) AS to_punct FROM symbols WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS t GROUP BY doc_id""",
 )
 sql("masked_contexts", "X15 J4", "SELECT cast(floor(c1 / 16) AS bigint) AS high1, cast(floor(c2 / 16) AS bigint) AS high2, b % 16 AS low, count(*) AS n FROM (SELECT b, lag(b, 1) OVER w AS c1, lag(b, 2) OVER w AS c2 FROM bytes WINDOW w AS (PARTITION BY doc_id ORDER BY pos, k)) AS t WHERE c2 IS NOT NULL GROUP BY 1, 2, 3")
-sql(
+
+
+@query(
     "byte_above",
     "X20 J9 M20",
     """WITH g AS (SELECT doc_id, line_no, col, ch FROM (SELECT doc_id, pos, ch, cp, coalesce(sum(CASE WHEN cp = 10 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line_no,
       pos - coalesce(max(CASE WHEN cp = 10 THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS col FROM symbols) AS t WHERE cp <> 10)
     SELECT a.doc_id, count(*) AS pairs, count(CASE WHEN a.ch = b.ch THEN 1 END) AS same FROM g a JOIN g b ON a.doc_id = b.doc_id AND a.line_no = b.line_no + 1 AND a.col = b.col GROUP BY a.doc_id""",
 )
+def byte_above(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols that stand under one of the line before, and those equal to it: an index into the block's array, no join."""
+
+    def work(rows: pa.RecordBatch, cp: np.ndarray, first: np.ndarray) -> dict:
+        of, docs, begins = arrays.owner(first), len(first) - 1, arrays.places(first) == 0
+        begins[1:] |= cp[:-1] == 10
+        line, starts = np.cumsum(begins) - 1, np.flatnonzero(begins)
+        size = np.bincount(line[cp != 10], minlength=len(starts))
+        at = np.flatnonzero((cp != 10) & (line > 0))
+        above, col = line[at] - 1, at - starts[line[at]]
+        on = (of[starts[above]] == of[at]) & (col < size[above])
+        at, up = at[on], starts[above[on]] + col[on]
+        pairs = np.bincount(of[at], minlength=docs)
+        return arrays.per_text(rows, pairs > 0, pairs=pairs, same=np.bincount(of[at[cp[at] == cp[up]]], minlength=docs))
+
+    each = arrays.map_symbols(arrays.documents(spark, sf_dir).where("doc_id is not null"), work, "doc_id bigint, pairs bigint, same bigint", "doc_id")
+    return each.groupBy("doc_id").agg(F.sum("pairs").alias("pairs"), F.sum("same").alias("same"))
+
+
 sql(
     "cell_above",
     "X22 M20",
