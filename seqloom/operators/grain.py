@@ -7,6 +7,8 @@ shuffles: a row is taken apart where it is read.
 
 from __future__ import annotations
 
+#: A vector's value v as a sample, reckoned as floats all through: Spark would widen a float that meets an integer.
+SAMPLE = "cast(floor(least(greatest(cast(v AS float) * 64F + 128F, 0F), 255F)) AS bigint)"
 #: name -> (Spark SQL, oracle SQL)
 GRAINS: dict[str, tuple[str, str]] = {
     "symbols": (
@@ -69,7 +71,7 @@ GRAINS: dict[str, tuple[str, str]] = {
     ),
     # vectors as a grid of samples 0..255
     "grid": (
-        "SELECT vec_id AS y, cast(x AS bigint) AS x, cast(least(greatest(floor(v * 64 + 128), 0), 255) AS bigint) AS p FROM (SELECT vec_id, posexplode(embedding) AS (x, v) FROM embeddings)",
+        f"SELECT vec_id AS y, cast(x AS bigint) AS x, {SAMPLE} AS p FROM (SELECT vec_id, posexplode(embedding) AS (x, v) FROM embeddings)",
         "SELECT vec_id AS y, x, cast(least(greatest(floor(cast(v AS FLOAT) * 64 + 128), 0), 255) AS bigint) AS p FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS x FROM embeddings)",
     ),
 }

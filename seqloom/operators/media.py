@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from seqloom.operators.corpus import running_number
 from seqloom.operators.detect import HEADERS
+from seqloom.operators.grain import SAMPLE
 from seqloom.plans.registry import query, sql, table
 
 NEIGHBOURS = """WITH g AS (SELECT y, x, p, lag(p, 1) OVER r AS w, lag(p, 2) OVER r AS ww, lag(p, 1) OVER c AS n, lag(p, 2) OVER c AS nn, lag(p, 3) OVER c AS nnn FROM grid WINDOW r AS (PARTITION BY y ORDER BY x), c AS (PARTITION BY x ORDER BY y)),
@@ -24,8 +25,7 @@ def grid_rows(vectors: DataFrame) -> DataFrame:
     Rows are numbered in two steps and dealt to stripes, each of which also gets the last
     three rows of the one before; no window holds a column of the grid.
     """
-    sample = lambda v: F.least(F.greatest(F.floor(v * 64 + 128), F.lit(0)), F.lit(255)).cast("bigint")
-    rows = vectors.select(F.col("vec_id").alias("y"), F.transform("embedding", sample).alias("p"), F.lit(1).cast("bigint").alias("one"), F.lit(0).alias("file"))
+    rows = vectors.select(F.col("vec_id").alias("y"), F.expr(f"transform(embedding, v -> {SAMPLE})").alias("p"), F.lit(1).cast("bigint").alias("one"), F.lit(0).alias("file"))
     numbered = running_number(rows, "file", "y", "one").select("y", "p", (F.col("number") - 1).alias("r"))
     own = numbered.withColumn("stripe", F.floor(F.col("r") / STRIPE))
     led = own.where(f"r % {STRIPE} >= {STRIPE - 3}").withColumn("stripe", F.col("stripe") + 1)
