@@ -76,7 +76,19 @@ sql(
       SELECT doc_id, pos - coalesce(max(CASE WHEN cp = 32 THEN pos END) OVER w, 0) AS to_space, pos - coalesce(max(CASE WHEN cp = 10 THEN pos END) OVER w, 0) AS to_line, pos - coalesce(max(CASE WHEN ch BETWEEN 'A' AND 'Z' THEN pos END) OVER w, 0) AS to_upper,
         pos - coalesce(max(CASE WHEN ch IN ('.', ',', ';', ':', '!', '?') THEN pos END) OVER w, 0) AS to_punct FROM symbols WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS t GROUP BY doc_id""",
 )
-sql("masked_contexts", "X15 J4", "SELECT cast(floor(c1 / 16) AS bigint) AS high1, cast(floor(c2 / 16) AS bigint) AS high2, b % 16 AS low, count(*) AS n FROM (SELECT b, lag(b, 1) OVER w AS c1, lag(b, 2) OVER w AS c2 FROM bytes WINDOW w AS (PARTITION BY doc_id ORDER BY pos, k)) AS t WHERE c2 IS NOT NULL GROUP BY 1, 2, 3")
+
+
+@query("masked_contexts", "X15 J4", "SELECT cast(floor(c1 / 16) AS bigint) AS high1, cast(floor(c2 / 16) AS bigint) AS high2, b % 16 AS low, count(*) AS n FROM (SELECT b, lag(b, 1) OVER w AS c1, lag(b, 2) OVER w AS c2 FROM bytes WINDOW w AS (PARTITION BY doc_id ORDER BY pos, k)) AS t WHERE c2 IS NOT NULL GROUP BY 1, 2, 3")
+def masked_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Low halves of bytes by the high halves of the two before: blocks are counted as arrays, and the counts summed."""
+
+    def work(rows: pa.RecordBatch, data: np.ndarray, first: np.ndarray) -> dict:
+        at, b = np.flatnonzero(arrays.places(first) >= 2), data.astype(np.int64)
+        (high1, high2, low), n = arrays.counted([b[at - 1] >> 4, b[at - 2] >> 4, b[at] & 15])
+        return {"high1": high1, "high2": high2, "low": low, "n": n}
+
+    each = arrays.map_bytes(table(spark, sf_dir, "documents"), work, "high1 bigint, high2 bigint, low bigint, n bigint")
+    return each.groupBy("high1", "high2", "low").agg(F.sum("n").alias("n"))
 
 
 @query(
