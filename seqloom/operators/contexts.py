@@ -39,12 +39,36 @@ def order2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 sql("sparse_context", "X2 X15", f"SELECT c1, c3, count(*) AS n, count(DISTINCT ch) AS next_symbols FROM ({LAGS}) AS t WHERE c3 IS NOT NULL GROUP BY c1, c3")
-sql(
+
+
+@query(
     "indirect_context",
     "X3 X16 X17 L3 M8",
     f"""WITH t AS ({LAGS}), i AS (SELECT doc_id, pos, ch, c1, lag(ch, 1) OVER v AS after1, lag(ch, 2) OVER v AS after2 FROM t WINDOW v AS (PARTITION BY doc_id, c1 ORDER BY pos))
     SELECT doc_id, count(*) AS n, count(CASE WHEN after1 = ch THEN 1 END) AS agrees1, count(CASE WHEN after1 = ch AND after2 = ch THEN 1 END) AS agrees2, count(CASE WHEN after1 IS NULL THEN 1 END) AS fresh FROM i GROUP BY doc_id""",
 )
+def indirect_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What followed a symbol the last two times in its text, found by sorting a block's places by the symbol before."""
+
+    def work(rows: pa.RecordBatch, cp: np.ndarray, first: np.ndarray) -> dict:
+        of, docs = arrays.owner(first), len(first) - 1
+        context = np.zeros(len(cp), np.int64)
+        context[1:] = cp[:-1].astype(np.int64) + 1
+        context[arrays.places(first) == 0] = 0
+        order = np.argsort(context, kind="stable")  # then by text, then by place
+        own, key, text = cp[order], context[order], of[order]
+        known, agrees1, agrees2 = (np.zeros(len(cp), bool) for _ in range(3))
+        known[1:] = (key[1:] == key[:-1]) & (text[1:] == text[:-1])
+        agrees1[1:] = known[1:] & (own[1:] == own[:-1])
+        agrees2[2:] = agrees1[2:] & known[1:-1] & (own[2:] == own[:-2])
+        count = lambda on: np.bincount(text[on], minlength=docs)
+        n = np.diff(first)
+        return arrays.per_text(rows, n > 0, n=n, agrees1=count(agrees1), agrees2=count(agrees2), fresh=count(~known))
+
+    each = arrays.map_symbols(arrays.documents(spark, sf_dir), work, "doc_id bigint, n bigint, agrees1 bigint, agrees2 bigint, fresh bigint", "doc_id")
+    return each.groupBy("doc_id").agg(*[F.sum(k).alias(k) for k in ("n", "agrees1", "agrees2", "fresh")])
+
+
 CLASS2 = "CASE WHEN lower(ch) IN ('a', 'e', 'i', 'o', 'u') THEN 'v' WHEN lower(ch) BETWEEN 'a' AND 'z' THEN 'c' WHEN ch BETWEEN '0' AND '9' THEN 'd' WHEN cp <= 32 THEN 's' WHEN cp < 128 THEN 'p' ELSE 'h' END"
 sql(
     "interval_context",
