@@ -38,7 +38,17 @@ def order2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy(F.concat("c2", "c1").alias("ctx"), "ch").agg(F.sum("n").alias("n"))
 
 
-sql("sparse_context", "X2 X15", f"SELECT c1, c3, count(*) AS n, count(DISTINCT ch) AS next_symbols FROM ({LAGS}) AS t WHERE c3 IS NOT NULL GROUP BY c1, c3")
+@query("sparse_context", "X2 X15", f"SELECT c1, c3, count(*) AS n, count(DISTINCT ch) AS next_symbols FROM ({LAGS}) AS t WHERE c3 IS NOT NULL GROUP BY c1, c3")
+def sparse_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What follows the symbols one and three before: blocks are counted as arrays, and the counts summed."""
+
+    def work(rows: pa.RecordBatch, cp: np.ndarray, first: np.ndarray) -> dict:
+        own, at = arrays.shown(cp), np.flatnonzero(arrays.places(first) >= 3)
+        (c1, c3, ch), n = arrays.counted([own[at - 1], own[at - 3], own[at]])
+        return {k: arrays.symbols_of(v) for k, v in (("c1", c1), ("c3", c3), ("ch", ch))} | {"n": n}
+
+    each = arrays.map_symbols(table(spark, sf_dir, "documents"), work, "c1 string, c3 string, ch string, n bigint")
+    return each.groupBy("c1", "c3", "ch").agg(F.sum("n").alias("n")).groupBy("c1", "c3").agg(F.sum("n").alias("n"), F.count("*").alias("next_symbols"))
 
 
 @query(
