@@ -202,8 +202,24 @@ sql(
 )
 sql("word_recency", "X27 A21", "SELECT lw, count(*) AS n, min(gap) AS least, max(gap) AS most, round(avg(gap), 6) AS mean FROM (SELECT lw, pos - lag(pos) OVER (PARTITION BY doc_id, lw ORDER BY pos) AS gap FROM words) AS t WHERE gap IS NOT NULL GROUP BY lw")
 sql("alphabetic_runs", "X28 X1", f"WITH s AS (SELECT doc_id, pos, CASE WHEN {CLASS2} IN ('v', 'c') THEN 0 ELSE 1 END AS breaks FROM symbols), i AS (SELECT *, sum(breaks) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM s) SELECT doc_id, least(n, 15) AS run, count(*) AS runs FROM (SELECT doc_id, island, count(*) AS n FROM i WHERE breaks = 0 GROUP BY doc_id, island) AS t GROUP BY doc_id, least(n, 15)")
-sql("bit_contexts", "X8 X13 M5 M6 ST2", """SELECT doc_id, bit_no, partial, count(*) AS n, cast(sum(bit) AS bigint) AS ones FROM (SELECT doc_id, j AS bit_no, cast(floor(b / {p8j}) AS bigint) + {p2j} AS partial, cast(floor(b / {p7j}) AS bigint) % 2 AS bit FROM bytes, (SELECT unnest(range(0, 8)) AS j) AS js) AS t GROUP BY doc_id, bit_no, partial""".format(p8j="power(2, 8 - j)", p7j="power(2, 7 - j)", p2j="cast(power(2, j) AS bigint)"),
-    spark_text="""SELECT doc_id, bit_no, partial, count(*) AS n, cast(sum(bit) AS bigint) AS ones FROM (SELECT doc_id, j AS bit_no, cast(floor(b / power(2, 8 - j)) AS bigint) + cast(power(2, j) AS bigint) AS partial, cast(floor(b / power(2, 7 - j)) AS bigint) % 2 AS bit FROM (SELECT doc_id, b, explode(sequence(0L, 7L)) AS j FROM bytes)) AS t GROUP BY doc_id, bit_no, partial""")
+
+
+@query("bit_contexts", "X8 X13 M5 M6 ST2", """SELECT doc_id, bit_no, partial, count(*) AS n, cast(sum(bit) AS bigint) AS ones FROM (SELECT doc_id, j AS bit_no, cast(floor(b / {p8j}) AS bigint) + {p2j} AS partial, cast(floor(b / {p7j}) AS bigint) % 2 AS bit FROM bytes, (SELECT unnest(range(0, 8)) AS j) AS js) AS t GROUP BY doc_id, bit_no, partial""".format(p8j="power(2, 8 - j)", p7j="power(2, 7 - j)", p2j="cast(power(2, j) AS bigint)"))
+def bit_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ones among the bits of each text's bytes by the bits before in the byte, from a count of its bytes."""
+
+    def work(rows: pa.RecordBatch, data: np.ndarray, first: np.ndarray) -> dict:
+        docs, out = len(first) - 1, []
+        counts = np.bincount(arrays.owner(first) * 256 + data, minlength=256 * docs)
+        for j in range(8):
+            by_bit = counts.reshape(docs, 1 << j, 2, -1).sum(3)
+            of, prefix = np.nonzero(by_bit.sum(2))
+            out.append((of, np.full(len(of), j), prefix + (1 << j), by_bit[of, prefix].sum(1), by_bit[of, prefix, 1]))
+        of, *columns = (np.concatenate(x) for x in zip(*out))
+        return {"doc_id": rows.column("doc_id").take(pa.array(of))} | dict(zip(("bit_no", "partial", "n", "ones"), columns))
+
+    each = arrays.map_bytes(arrays.documents(spark, sf_dir), work, "doc_id bigint, bit_no bigint, partial bigint, n bigint, ones bigint", "doc_id")
+    return each.groupBy("doc_id", "bit_no", "partial").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"))
 
 
 @query("bracket_stack", "X6 X21")
