@@ -105,11 +105,25 @@ sql(
     f"""WITH s AS (SELECT page_id, pos, CASE WHEN is_void THEN 0 WHEN is_end THEN -1 ELSE 1 END AS d FROM tags), r AS (SELECT page_id, pos, sum(d) OVER (PARTITION BY page_id ORDER BY pos) AS depth FROM s)
     SELECT page_id, cast(max(depth) AS bigint) AS deepest, cast(min(depth) AS bigint) AS lowest, count(*) AS n FROM r GROUP BY page_id""",
 )
-sql(
+
+
+@query(
     "column_since_newline",
     "X10",
     "SELECT doc_id, least(col, 99) AS col, count(*) AS n FROM (SELECT doc_id, pos - coalesce(max(CASE WHEN cp = 10 THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) - 1 AS col FROM symbols) AS t GROUP BY doc_id, least(col, 99)",
 )
+def column_since_newline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of each text's symbols, counted where the text is read."""
+
+    def work(rows: pa.RecordBatch, cp: np.ndarray, first: np.ndarray) -> dict:
+        col = arrays.places(first) - arrays.last_before(cp == 10, first) - 1
+        (of, col), n = arrays.counted([arrays.owner(first), np.minimum(col, 99)])
+        return {"doc_id": rows.column("doc_id").take(pa.array(of)), "col": col, "n": n}
+
+    each = arrays.map_symbols(arrays.documents(spark, sf_dir), work, "doc_id bigint, col bigint, n bigint", "doc_id")
+    return each.groupBy("doc_id", "col").agg(F.sum("n").alias("n"))
+
+
 sql(
     "previous_words",
     "X11 X19 M9 J2 L2",
