@@ -102,6 +102,7 @@ def interval_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 KINDS = "vcdsph"
 TRAILS = [a + b + c for a in KINDS for b in KINDS for c in KINDS]
+STOPS = np.frombuffer(b".,;:!?", np.uint8)
 
 
 def class2(cp: np.ndarray) -> np.ndarray:
@@ -143,13 +144,28 @@ sql(
     "X11 X19 M9 J2 L2",
     "SELECT w2, w1, lw, count(*) AS n FROM (SELECT lw, lag(lw, 1) OVER w AS w1, lag(lw, 2) OVER w AS w2 FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) AS t WHERE w2 IS NOT NULL GROUP BY w2, w1, lw",
 )
-sql(
+
+
+@query(
     "distance_to_marks",
     "X14 T11",
     """SELECT doc_id, cast(sum(least(to_space, 255)) AS bigint) AS space_distance, cast(sum(least(to_line, 255)) AS bigint) AS line_distance, cast(sum(least(to_upper, 255)) AS bigint) AS upper_distance, max(least(to_punct, 255)) AS punct_distance FROM (
       SELECT doc_id, pos - coalesce(max(CASE WHEN cp = 32 THEN pos END) OVER w, 0) AS to_space, pos - coalesce(max(CASE WHEN cp = 10 THEN pos END) OVER w, 0) AS to_line, pos - coalesce(max(CASE WHEN ch BETWEEN 'A' AND 'Z' THEN pos END) OVER w, 0) AS to_upper,
         pos - coalesce(max(CASE WHEN ch IN ('.', ',', ';', ':', '!', '?') THEN pos END) OVER w, 0) AS to_punct FROM symbols WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS t GROUP BY doc_id""",
 )
+def distance_to_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each symbol is from the last space, line, capital and stop before it; no row for a symbol."""
+
+    def work(rows: pa.RecordBatch, cp: np.ndarray, first: np.ndarray) -> dict:
+        place, n = arrays.places(first), np.diff(first)
+        far = lambda marked: np.minimum(place - np.maximum(arrays.last_before(marked, first), 0), 255)
+        total = {name: arrays.sums(far(marked), first).astype(np.int64) for name, marked in (("space_distance", cp == 32), ("line_distance", cp == 10), ("upper_distance", (cp >= 65) & (cp <= 90)))}
+        punct = np.zeros(len(n), np.int64)
+        punct[n > 0] = np.maximum.reduceat(far(np.isin(cp, STOPS)), first[:-1][n > 0]) if len(cp) else 0
+        return arrays.per_text(rows, n > 0, **total, punct_distance=punct)
+
+    each = arrays.map_symbols(arrays.documents(spark, sf_dir), work, "doc_id bigint, space_distance bigint, line_distance bigint, upper_distance bigint, punct_distance bigint", "doc_id")
+    return each.groupBy("doc_id").agg(*[F.sum(k).alias(k) for k in ("space_distance", "line_distance", "upper_distance")], F.max("punct_distance").alias("punct_distance"))
 
 
 @query("masked_contexts", "X15 J4", "SELECT cast(floor(c1 / 16) AS bigint) AS high1, cast(floor(c2 / 16) AS bigint) AS high2, b % 16 AS low, count(*) AS n FROM (SELECT b, lag(b, 1) OVER w AS c1, lag(b, 2) OVER w AS c2 FROM bytes WINDOW w AS (PARTITION BY doc_id ORDER BY pos, k)) AS t WHERE c2 IS NOT NULL GROUP BY 1, 2, 3")
