@@ -1,12 +1,13 @@
 """Learners: models that predict the next symbol, ensembles, calibration and coding cost.
 
 Counting models are SQL.  Learners with weight feedback are one fold per document
-or user in numpy, behind :class:`Model`; :func:`fold` runs any of them by key.
+or user in numpy, behind :class:`Model`; :func:`lifted` steps one through many users' sequences at once.
 """
 
 from __future__ import annotations
 
 import io
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -377,6 +378,258 @@ MODELS = {
 }
 
 
+# ---------------------------------------------------------------- many sequences side by side
+
+HELD_ROWS = 1 << 20  # rows of whole keys that a worker holds
+SIDE_ROWS, SIDE_KEYS = 1 << 18, 2048  # rows and keys that step together
+
+
+def sequences(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows of whole keys, and where each key's begin, of rows that come sorted by key; about ``HELD_ROWS`` or one key."""
+
+    def begins(rows: pa.Table) -> np.ndarray:
+        own = rows.column(key).combine_chunks()
+        null, value = own.is_null().to_numpy(zero_copy_only=False), own.fill_null(0).to_numpy(zero_copy_only=False)
+        return np.concatenate([[0], np.flatnonzero((value[1:] != value[:-1]) | (null[1:] != null[:-1])) + 1])
+
+    held, n, limit = [], 0, HELD_ROWS
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n >= limit:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            first = begins(rows)
+            if first[-1]:
+                yield rows.slice(0, first[-1]), first
+            held, n = rows.slice(first[-1]).to_batches(), rows.num_rows - int(first[-1])
+            limit = max(HELD_ROWS, 2 * n)
+    if n:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        yield rows, np.append(begins(rows), n)
+
+
+def map_sequences(rows: DataFrame, key: str, order: list[str], work: Callable, schema: str) -> DataFrame:
+    """``work(rows, begins)`` of whole keys' rows in order, many keys at a time, a dictionary of columns each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, first in sequences(batches, key):
+            out = work(own, first)
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in out.values()], list(out))
+
+    keep = [c for c in rows.columns if c not in order]
+    near = rows.withColumn(key, F.col(key).cast("bigint")).repartition(key)
+    return near.sortWithinPartitions(key, *[F.col(c).asc_nulls_last() for c in order]).select(*keep).mapInArrow(run, schema)
+
+
+def sides(size: np.ndarray, most: int = SIDE_KEYS) -> Iterator[np.ndarray]:
+    """Sequences to step together, the longest first."""
+    order = np.argsort(-size, kind="stable")
+    at = 0
+    while at < len(order):
+        end = at + max(1, min(most, SIDE_ROWS // max(1, int(size[order[at]]))))
+        yield order[at:end]
+        at = end
+
+
+def laid_out(values: np.ndarray, first: np.ndarray, own: np.ndarray) -> Iterator[np.ndarray]:
+    """At each step the values of those of the sequences ``own``, the longest first, that still go on."""
+    begin, size = first[own], first[own + 1] - first[own]
+    for t in range(int(size[0])):
+        yield values[begin[: np.searchsorted(-size, -t)] + t]
+
+
+class Means:
+    """:class:`ContextMean` of many sequences; models that see the same one share it."""
+
+    def __init__(self, like: ContextMean, users: int):
+        self.order, self.limit, self.row = like.order, like.limit, np.arange(users)
+        self.p, self.n = np.full((users, 2 << like.order), 0.5), np.zeros((users, 2 << like.order), np.int64)
+        self.ctx, self.said = np.ones(users, np.int64), np.empty(0)
+
+    def ready(self, a: int) -> None:
+        self.said = self.p[self.row[:a], self.ctx[:a]]
+
+    def predict(self, a: int) -> np.ndarray:
+        return self.said
+
+    def learn(self, bits: np.ndarray) -> None:
+        """Nothing: :meth:`step` is called once, whoever shares it."""
+
+    def step(self, bits: np.ndarray) -> None:
+        at = self.row[: len(bits)], self.ctx[: len(bits)]
+        n = self.n[at]
+        self.p[at] = self.said + (bits - self.said) / (n + 1.5)
+        self.n[at] = np.minimum(n + 1, self.limit)
+        self.ctx[: len(bits)] = (self.ctx[: len(bits)] << 1 | bits) & ((1 << self.order) - 1) | (1 << self.order)
+
+
+class ManyMixers:
+    """:class:`Mixer` of many sequences."""
+
+    def __init__(self, like: Mixer, users: int, models: list):
+        self.like, self.models, self.row = like, models, np.arange(users)
+        self.weights, self.squares = (np.repeat(x[None], users, 0) for x in (like.weights, like.squares))
+        self.gate, self.failures = np.zeros((2, users), np.int64)
+
+    def predict(self, a: int) -> np.ndarray:
+        p = np.clip(np.stack([m.predict(a) for m in self.models], 1), 1e-4, 1 - 1e-4)
+        self.inputs = np.log(p / (1 - p))
+        dot = (self.weights[self.row[:a], self.gate[:a]] * self.inputs).sum(1)
+        self.p = np.clip(1 / (1 + np.exp(-np.clip(dot, -30, 30))), 1e-6, 1 - 1e-6)
+        return self.p
+
+    def learn(self, bits: np.ndarray) -> None:
+        a, error = len(bits), self.p - bits
+        on = np.abs(error) >= self.like.dead
+        at = self.row[:a][on], self.gate[:a][on]
+        own = self.weights[at]
+        gradient = error[on][:, None] * self.inputs[on] + self.like.pull * (own - self.like.even)
+        self.squares[at] += gradient**2
+        self.weights[at] = own - self.like.rate * gradient / np.sqrt(self.squares[at])
+        for m in self.models:
+            m.learn(bits)
+        gates = len(self.like.weights)
+        self.failures[:a] = (self.failures[:a] << 1 | ((self.p >= 0.5) != (bits > 0))) & 255
+        self.gate[:a] = np.minimum(np.bitwise_count(self.failures[:a]), gates - 1) if self.like.by_failure else bits % gates
+
+
+class ManyIntegers:
+    """:class:`IntegerMixer` of many sequences."""
+
+    def __init__(self, like: IntegerMixer, users: int, models: list):
+        self.like, self.models = like, models
+        self.weights = np.repeat(np.array([like.weights], np.int64), users, 0)
+        self.squash, self.stretch = np.array(like.squash), np.array(like.stretch)
+
+    def predict(self, a: int) -> np.ndarray:
+        most = 12 * self.like.UNIT
+        self.inputs = self.stretch[np.clip((np.stack([m.predict(a) for m in self.models], 1) * 4096).astype(np.int64), 0, 4095)]
+        dot = (self.weights[:a] * self.inputs).sum(1) >> self.like.SHIFT
+        self.p = self.squash[np.clip(dot, -most, most) + most]
+        return np.clip(self.p, 1, 65535) / 65536
+
+    def learn(self, bits: np.ndarray) -> None:
+        self.weights[: len(bits)] += self.inputs * ((bits << 16) - self.p)[:, None] >> self.like.step
+        for m in self.models:
+            m.learn(bits)
+
+
+class ManyLayered:
+    """:class:`Layered` of many sequences."""
+
+    def __init__(self, like: Layered, users: int, models: list):
+        self.rate, self.models = like.rate, models
+        self.first, self.last = [np.repeat(w[None], users, 0) for w in like.first], np.repeat(like.last[None], users, 0)
+
+    def predict(self, a: int) -> np.ndarray:
+        p = np.clip(np.stack([m.predict(a) for m in self.models], 1), 1e-4, 1 - 1e-4)
+        x, self.seen, self.out = np.log(p / (1 - p)), [], []
+        for w in self.first:
+            self.seen.append(np.column_stack([x, *self.out]))
+            self.out.append(np.clip((w[:a] * self.seen[-1]).sum(1), -12, 12))
+        dot = (self.last[:a] * np.column_stack(self.out)).sum(1)
+        self.p = np.clip(1 / (1 + np.exp(-np.clip(dot, -30, 30))), 1e-6, 1 - 1e-6)
+        return self.p
+
+    def learn(self, bits: np.ndarray) -> None:
+        a = len(bits)
+        for w, x, y in zip(self.first, self.seen, self.out):
+            w[:a] += (self.rate * (bits - 1 / (1 + np.exp(-y))))[:, None] * x
+        self.last[:a] += (self.rate * (bits - self.p))[:, None] * np.column_stack(self.out)
+        for m in self.models:
+            m.learn(bits)
+
+
+class ManyAverages:
+    """:class:`Average` of many sequences."""
+
+    def __init__(self, models: list):
+        self.models = models
+
+    def predict(self, a: int) -> np.ndarray:
+        return sum(m.predict(a) for m in self.models) / len(self.models)
+
+    def learn(self, bits: np.ndarray) -> None:
+        for m in self.models:
+            m.learn(bits)
+
+
+class ManyCalibrated:
+    """:class:`Calibrated` of many sequences."""
+
+    def __init__(self, like: Calibrated, users: int, model):
+        self.bins, self.model, self.row = like.bins, model, np.arange(users)
+        self.table = np.repeat(like.table[None], users, 0)
+
+    def predict(self, a: int) -> np.ndarray:
+        p = np.clip(self.model.predict(a), 1e-4, 1 - 1e-4)
+        x = (np.clip(np.log(p / (1 - p)), -8, 7.999) + 8) * (self.bins - 1) / 16
+        self.low = x.astype(np.int64)
+        self.part = x - self.low
+        row = self.row[:a]
+        return (p + 3 * (self.table[row, self.low] * (1 - self.part) + self.table[row, self.low + 1] * self.part)) / 4
+
+    def learn(self, bits: np.ndarray) -> None:
+        row = self.row[: len(bits)]
+        for at, part in ((self.low, 1 - self.part), (self.low + 1, self.part)):
+            self.table[row, at] += 0.02 * part * (bits - self.table[row, at])
+        self.model.learn(bits)
+
+
+class Each:
+    """Any other model, each sequence's own by itself."""
+
+    def __init__(self, models: list[Model]):
+        self.models = models
+
+    def predict(self, a: int) -> np.ndarray:
+        return np.array([m.predict() for m in self.models[:a]])
+
+    def learn(self, bits: np.ndarray) -> None:
+        for m, b in zip(self.models, bits.tolist()):
+            m.update(b)
+
+
+def lifted(make: Callable[[], Model], users: int, means: dict[tuple, Means]):
+    """The model that ``make`` makes, for many sequences that step together; ``means`` are shared by all."""
+
+    def lift(like: Model, path: Callable[[Model], Model]):
+        if type(like) is ContextMean:
+            return means.setdefault((like.order, like.limit), Means(like, users))
+        if type(like) is Calibrated:
+            return ManyCalibrated(like, users, lift(like.model, lambda m: path(m).model))
+        kind = {Mixer: ManyMixers, IntegerMixer: ManyIntegers, Layered: ManyLayered, Average: ManyAverages}.get(type(like))
+        if kind is None:
+            return Each([path(make()) for _ in range(users)])
+        inner = [lift(m, lambda x, k=k: path(x).models[k]) for k, m in enumerate(like.models)]
+        return ManyAverages(inner) if kind is ManyAverages else kind(like, users, inner)
+
+    return lift(make(), lambda m: m)
+
+
+def costs(makes: list[Callable[[], Model]], bits: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """:func:`cost` of each sequence of ``bits`` (that begin at ``first``) under each model."""
+    total = np.zeros((len(first) - 1, len(makes)))
+    for own in sides(np.diff(first)):
+        means: dict[tuple, Means] = {}
+        models = [lifted(make, len(own), means) for make in makes]
+        part = np.zeros((len(own), len(makes)))
+        for b in laid_out(bits, first, own):
+            a = len(b)
+            for m in means.values():
+                m.ready(a)
+            for k, m in enumerate(models):
+                p = np.clip(m.predict(a), 1e-6, 1 - 1e-6)
+                part[:a, k] -= np.log2(np.where(b > 0, p, 1 - p))
+                m.learn(b)
+            for m in means.values():
+                m.step(b)
+        total[own] = part
+    return total
+
+
 def user_bits(rows: pd.DataFrame) -> list[int]:
     return (rows.sort_values(["ts", "event_id"])["value"].diff().fillna(0) > 0).astype(int).tolist()
 
@@ -387,13 +640,19 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("model_costs", "L1 L5 L6 L11 L12 L13 L15 L16 L21 L22 ST1 U1 U2")
 def model_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bits a step that each model spends on the rises and falls of each user's series."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        bits = user_bits(rows)
-        return pd.DataFrame([(rows["user_id"].iloc[0], name, len(bits), round(cost(make(), bits) / len(bits), 6)) for name, make in MODELS.items()], columns=["user_id", "model", "n", "bits"])
-
-    return _events(spark, sf_dir).groupBy("user_id").applyInPandas(run, "user_id long, model string, n long, bits double")
+    """Bits a step that each model spends on the rises and falls of each user's series; many users step together."""
+
+    def work(rows: pa.Table, first: np.ndarray) -> dict:
+        value, n = rows.column("value").to_numpy(), np.diff(first)
+        rises = np.zeros(len(value), np.int64)
+        with np.errstate(invalid="ignore"):
+            rises[1:] = np.diff(value) > 0
+        rises[first[:-1]] = 0
+        bits = costs(list(MODELS.values()), rises, first) / n[:, None]
+        user = np.repeat(np.arange(len(n)), len(MODELS))
+        return {"user_id": rows.column("user_id").combine_chunks().take(pa.array(first[user])), "model": list(MODELS) * len(n), "n": n[user], "bits": [round(x, 6) for x in bits.ravel().tolist()]}
+
+    return map_sequences(_events(spark, sf_dir), "user_id", ["ts", "event_id"], work, "user_id long, model string, n long, bits double")
 
 
 @query("arithmetic_roundtrip", "L17 IO3 IO4")
