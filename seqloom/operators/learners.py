@@ -773,25 +773,146 @@ class Lstm:
         return net
 
 
+class ManyLstms:
+    """A network of :class:`Lstm` for each of many sequences of as many symbols; all step together, each learns alone."""
+
+    GATES = Lstm.GATES
+
+    def __init__(self, symbols: int, users: int, **shape: int):
+        one = Lstm(symbols, **shape)
+        self.n, self.h, self.layers, self.horizon, self.rate = one.n, one.h, one.layers, one.horizon, one.rate
+        self.w = {k: np.repeat(x[None], users, 0) for k, x in one.w.items()}
+        self.m, self.v = ({k: np.zeros_like(x) for k, x in self.w.items()} for _ in range(2))
+        self.c, self.out = np.zeros((2, users, self.layers, self.h))
+        self.steps, self.tape, self.last = 0, [], np.zeros(users, np.int64)
+
+    def predict(self, a: int) -> np.ndarray:
+        below = np.zeros((a, self.n))
+        below[np.arange(a), self.last[:a]] = 1
+        own, one = [], np.ones((a, 1))
+        for k in range(self.layers):
+            x = np.concatenate([below, self.out[:a, k], one], 1)
+            gates = {}
+            for g in self.GATES:
+                y = np.matmul(x[:, None], self.w[f"{g}{k}"][:a])[:, 0]
+                r = np.sqrt((y * y).mean(1, keepdims=True) + 1e-5)
+                z = y / r * self.w[f"scale_{g}{k}"][:a] + self.w[f"move_{g}{k}"][:a]
+                gates[g] = (y, r, np.tanh(z) if g == "c" else 1 / (1 + np.exp(-z)))
+            keep, show, new = (gates[g][2] for g in self.GATES)
+            before = self.c[:a, k].copy()
+            c = keep * before + (1 - keep) * new
+            below = show * np.tanh(c)
+            self.c[:a, k], self.out[:a, k] = c, below
+            own.append((x, gates, before, c))
+        h = np.concatenate([self.out[:a].reshape(a, -1), one], 1)
+        y = np.matmul(h[:, None], self.w["y"][:a])[:, 0]
+        p = np.exp(y - y.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        self.tape.append([own, h, p, None])
+        return p
+
+    def gradients(self, a: int) -> dict[str, np.ndarray]:
+        """Of the cost of the symbols on the tape, for the first ``a``, back to its beginning."""
+        grad = {k: np.zeros((a, *x.shape[1:])) for k, x in self.w.items()}
+        carry_out, carry_c = np.zeros((2, self.layers, a, self.h))
+        for own, h, p, symbols in reversed(self.tape):
+            dy = p[:a].copy()
+            dy[np.arange(a), symbols[:a]] -= 1
+            grad["y"] += h[:a, :, None] * dy[:, None]
+            shown = np.matmul(self.w["y"][:a, :-1], dy[:, :, None])[:, :, 0].reshape(a, self.layers, self.h)
+            above = np.zeros((a, self.h))
+            for k in range(self.layers - 1, -1, -1):
+                x, before, c = (v[:a] for v in (own[k][0], own[k][2], own[k][3]))
+                gates = {g: tuple(v[:a] for v in own[k][1][g]) for g in self.GATES}
+                keep, show, new = (gates[g][2] for g in self.GATES)
+                d, t = carry_out[k] + shown[:, k] + above, np.tanh(c)
+                dc = carry_c[k] + d * show * (1 - t * t)
+                inner = {"f": dc * (before - new) * keep * (1 - keep), "o": d * t * show * (1 - show), "c": dc * (1 - keep) * (1 - new * new)}
+                dx = np.zeros_like(x)
+                for g, dz in inner.items():
+                    y, r, _ = gates[g]
+                    grad[f"scale_{g}{k}"] += dz * y / r
+                    grad[f"move_{g}{k}"] += dz
+                    dn = dz * self.w[f"scale_{g}{k}"][:a]
+                    da = dn / r - y * (dn * y).sum(1, keepdims=True) / (self.h * r**3)
+                    grad[f"{g}{k}"] += x[:, :, None] * da[:, None]
+                    dx += np.matmul(self.w[f"{g}{k}"][:a], da[:, :, None])[:, :, 0]
+                carry_c[k] = dc * keep
+                carry_out[k] = dx[:, -self.h - 1 : -1]
+                above = dx[:, : self.h] if k else above
+        return grad
+
+    def update(self, symbols: np.ndarray) -> None:
+        a = len(symbols)
+        self.tape[-1][-1] = symbols
+        self.last[:a] = symbols
+        if len(self.tape) < self.horizon:
+            return
+        grad = self.gradients(a)
+        self.tape.clear()
+        self.steps += 1
+        for k, g in grad.items():
+            g = np.clip(g, -10, 10)
+            m, v = self.m[k][:a], self.v[k][:a]
+            m[...] = 0.9 * m + 0.1 * g
+            v[...] = 0.999 * v + 0.001 * g * g
+            self.w[k][:a] -= self.rate * (m / (1 - 0.9**self.steps)) / (np.sqrt(v / (1 - 0.999**self.steps)) + 1e-8)
+
+    def save(self) -> bytes:
+        """All networks' weights and states as one file's bytes."""
+        out = io.BytesIO()
+        np.savez(out, c_state=self.c, out_state=self.out, last=self.last, **self.w)
+        return out.getvalue()
+
+    @classmethod
+    def load(cls, data: bytes, symbols: int, **shape: int) -> ManyLstms:
+        """Networks that go on where the saved ones were."""
+        found = np.load(io.BytesIO(data))
+        nets = cls(symbols, len(found["last"]), **shape)
+        nets.w = {k: found[k] for k in nets.w}
+        nets.c, nets.out, nets.last = found["c_state"].copy(), found["out_state"].copy(), found["last"].copy()
+        return nets
+
+
+NET_VALUES = 1 << 19  # weights of the networks that step together, or one network's
+
+
+def symbol_costs(seq: np.ndarray, first: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bits that an LSTM, symbol counts and their average spend on each sequence (of ``kinds`` symbols), and whether its saved network goes on the same."""
+    bits, same = np.zeros((len(kinds), 3)), np.zeros(len(kinds), bool)
+    for n in np.unique(kinds).tolist():
+        every = np.flatnonzero(kinds == n)
+        each = sum(x.size for x in Lstm(n).w.values())
+        for side in sides(np.diff(first)[every], max(1, min(SIDE_KEYS, NET_VALUES // each))):
+            own = every[side]
+            nets, counts, part, row = ManyLstms(n, len(own)), np.ones((len(own), n)), np.zeros((len(own), 3)), np.arange(len(own))
+            for s in laid_out(seq, first, own):
+                a = len(s)
+                p, q = nets.predict(a)[row[:a], s], counts[row[:a], s] / counts[:a].sum(1)
+                part[:a] -= np.log2(np.stack([p, q, (p + q) / 2], 1))
+                nets.update(s)
+                counts[row[:a], s] += 1
+            back = ManyLstms.load(nets.save(), n)
+            bits[own], same[own] = part, (back.predict(len(own)) == nets.predict(len(own))).all(1)
+    return bits, same
+
+
 @query("lstm_cost", "L8 L9 L10 L24 IO19")
 def lstm_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bits a step of a small LSTM, of symbol counts, and of their average, on each user's event types; a saved network goes on like the one it was saved from."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows.sort_values(["ts", "event_id"])["event_type"].fillna("")
-        names = sorted(own.unique())
-        seq = [names.index(x) for x in own]
-        net, counts, bits = Lstm(len(names)), np.ones(len(names)), np.zeros(3)
-        for s in seq:
-            p, q = net.predict(), counts / counts.sum()
-            bits -= np.log2([p[s], q[s], (p[s] + q[s]) / 2])
-            net.update(s)
-            counts[s] += 1
-        back = Lstm.load(net.save(), len(names))
-        same = bool((back.predict() == net.predict()).all())
-        return pd.DataFrame({"user_id": [rows["user_id"].iloc[0]], "n": [len(seq)], "lstm": [round(bits[0] / len(seq), 6)], "counts": [round(bits[1] / len(seq), 6)], "average": [round(bits[2] / len(seq), 6)], "weights_same": [same]})
-
-    return table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type").groupBy("user_id").applyInPandas(run, "user_id long, n long, lstm double, counts double, average double, weights_same boolean")
+    def work(rows: pa.Table, first: np.ndarray) -> dict:
+        names = rows.column("event_type").combine_chunks().fill_null("").dictionary_encode()
+        known, n = names.dictionary.to_pylist(), np.diff(first)
+        rank = np.empty(len(known), np.int64)
+        rank[sorted(range(len(known)), key=known.__getitem__)] = np.arange(len(known))
+        found, seq = np.unique(arrays.owner(first) * len(known) + rank[names.indices.to_numpy()], return_inverse=True)
+        kinds = np.bincount(found // len(known), minlength=len(n))
+        bits, same = symbol_costs(seq - np.repeat(np.cumsum(kinds) - kinds, n), first, kinds)
+        shown = {k: [round(x, 6) for x in v] for k, v in zip(("lstm", "counts", "average"), (bits / n[:, None]).T.tolist())}
+        return {"user_id": rows.column("user_id").combine_chunks().take(pa.array(first[:-1])), "n": n} | shown | {"weights_same": same}
+
+    return map_sequences(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], work, "user_id long, n long, lstm double, counts double, average double, weights_same boolean")
 
 
 def gate_columns(symbol: Column, order1: Column, column: Column) -> dict[str, Column]:
