@@ -121,7 +121,20 @@ def crossentropy_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.groupBy("source").agg(F.sum("n").alias("symbols"), F.round(F.sum(F.col("n") * bits) / F.sum("n"), 6).alias("bits"))
 
 
-sql("linear_extrapolation_error", "L23", "SELECT doc_id, round(avg(abs(b - b1) * 1.0e0), 6) AS last_value, round(avg(abs(b - (2 * b1 - b2)) * 1.0e0), 6) AS line, round(avg(abs(b - (3 * b1 - 3 * b2 + b3)) * 1.0e0), 6) AS parabola FROM (SELECT doc_id, b, lag(b, 1) OVER w AS b1, lag(b, 2) OVER w AS b2, lag(b, 3) OVER w AS b3 FROM bytes WINDOW w AS (PARTITION BY doc_id ORDER BY pos, k)) AS t WHERE b3 IS NOT NULL GROUP BY doc_id")
+@query("linear_extrapolation_error", "L23", "SELECT doc_id, round(avg(abs(b - b1) * 1.0e0), 6) AS last_value, round(avg(abs(b - (2 * b1 - b2)) * 1.0e0), 6) AS line, round(avg(abs(b - (3 * b1 - 3 * b2 + b3)) * 1.0e0), 6) AS parabola FROM (SELECT doc_id, b, lag(b, 1) OVER w AS b1, lag(b, 2) OVER w AS b2, lag(b, 3) OVER w AS b3 FROM bytes WINDOW w AS (PARTITION BY doc_id ORDER BY pos, k)) AS t WHERE b3 IS NOT NULL GROUP BY doc_id")
+def linear_extrapolation_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far three extrapolations are from each text's bytes; the errors are whole numbers and summed where the text is read."""
+
+    def work(rows: pa.RecordBatch, data: np.ndarray, first: np.ndarray) -> dict:
+        v, at = data.astype(np.int64), np.flatnonzero(arrays.places(first) >= 3)
+        b, b1, b2, b3, of = v[at], v[at - 1], v[at - 2], v[at - 3], arrays.owner(first)[at]
+        total = lambda e: np.bincount(of, weights=np.abs(e), minlength=len(first) - 1).astype(np.int64)
+        n = np.bincount(of, minlength=len(first) - 1)
+        return arrays.per_text(rows, n > 0, n=n, last_value=total(b - b1), line=total(b - (2 * b1 - b2)), parabola=total(b - (3 * b1 - 3 * b2 + b3)))
+
+    names = ("last_value", "line", "parabola")
+    each = arrays.map_bytes(arrays.documents(spark, sf_dir), work, "doc_id bigint, n bigint, last_value bigint, line bigint, parabola bigint", "doc_id")
+    return each.groupBy("doc_id").agg(*[F.round(F.sum(k) / F.sum("n"), 6).alias(k) for k in names])
 
 
 @query("mixer_dot_product", "L5 M24", "SELECT vec_id, round(list_sum([embedding[i] * (i % 7 - 3) / 10.0e0 for i in range(1, len(embedding) + 1)]), 4) AS dot FROM embeddings")
