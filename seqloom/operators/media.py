@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -170,9 +171,9 @@ def jpeg_marker_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PREFIXES = frozenset([0x26, 0x2E, 0x36, 0x3E, 0x66, 0x67, 0xF0, 0xF2, 0xF3])
 
 
-def instructions(data: bytes) -> list[tuple[int, int, bool]]:
+def read_instructions(data: bytes) -> Iterator[tuple[int, int, bool]]:
     """(place, operation, has ModRM) by a small state machine: prefixes, operation, ModRM and SIB, displacement."""
-    out, at = [], 0
+    at = 0
     while at < len(data):
         start = at
         while at < len(data) and data[at] in _PREFIXES:
@@ -189,17 +190,28 @@ def instructions(data: bytes) -> list[tuple[int, int, bool]]:
             at += 4
         elif 0x70 <= op <= 0x7F or op == 0xEB:
             at += 1
-        out.append((start, op, modrm))
-    return out
+        yield start, op, modrm
+
+
+def instructions(data: bytes) -> list[tuple[int, int, bool]]:
+    """All that :func:`read_instructions` reads."""
+    return list(read_instructions(data))
+
+
+def instruction_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, instructions, with_modrm, prefixed) of (doc_id, text); no list of instructions is held."""
+    for b in batches:
+        own = []
+        for text in b.column("text"):
+            data = (text.as_py() or "").encode()
+            n = modrms = prefixed = 0
+            for at, _, modrm in read_instructions(data):
+                n, modrms, prefixed = n + 1, modrms + modrm, prefixed + (data[at] in _PREFIXES)
+            own.append((n, modrms, prefixed))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *[pa.array([x[k] for x in own], pa.int64()) for k in range(3)]], ["doc_id", "instructions", "with_modrm", "prefixed"])
 
 
 @query("instruction_parse", "G10 G10b")
 def instruction_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' bytes read as instructions: how many, and how many with ModRM."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            own = [instructions((t or "").encode()) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "instructions": [len(x) for x in own], "with_modrm": [sum(m for _, _, m in x) for x in own], "prefixed": [sum((t or "").encode()[p] in _PREFIXES for p, _, _ in x) for x, t in zip(own, b["text"])]})
-
-    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, instructions long, with_modrm long, prefixed long")
+    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(instruction_counts, "doc_id long, instructions long, with_modrm long, prefixed long")
