@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.operators import arrays
 from seqloom.plans.registry import query, sql
 
 sql(
@@ -19,7 +22,9 @@ sql(
     p AS (SELECT doc_id, island, len, spaces, sum(len + 1) OVER (PARTITION BY doc_id ORDER BY island) - len - 1 AS start FROM l)
     SELECT doc_id, cast(island AS bigint) AS island, cast(start AS bigint) AS start, cast(len AS bigint) AS len, cast(spaces AS bigint) AS spaces FROM p WHERE len > 500 AND spaces >= 5""",
 )
-sql(
+
+
+@query(
     "leaky_counter",
     "DT3",
     """WITH d AS (SELECT doc_id, pos, CASE WHEN cp BETWEEN 9 AND 13 OR cp BETWEEN 32 AND 126 THEN -2 ELSE 3 END AS d FROM symbols),
@@ -27,6 +32,26 @@ sql(
     m AS (SELECT doc_id, pos, s - least(0, min(s) OVER (PARTITION BY doc_id ORDER BY pos)) AS level FROM r)
     SELECT doc_id, max(level) AS highest, min(CASE WHEN level > 300 THEN pos - 100 END) AS text_ends, count(CASE WHEN level > 0 THEN 1 END) AS above FROM m GROUP BY doc_id""",
 )
+def leaky_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A counter that rises with what is no text and leaks to 0, as running sums and least sums over a block."""
+
+    def work(rows: pa.RecordBatch, cp: np.ndarray, first: np.ndarray) -> dict:
+        of, n = arrays.owner(first), np.diff(first)
+        plain = ((cp >= 9) & (cp <= 13)) | ((cp >= 32) & (cp <= 126))
+        s = np.cumsum(np.where(plain, -2, 3))
+        s -= np.concatenate([[0], s])[first[:-1]][of]  # the sums begin anew with each text
+        away = of * (6 * int(n.max(initial=0)) + 6)  # and so do the least sums: each text's are below those of the ones before
+        level = s - np.minimum(np.minimum.accumulate(s - away) + away, 0)
+        on, highest, ends = n > 0, np.zeros(len(n), np.int64), np.full(len(n), -1)
+        highest[on] = np.maximum.reduceat(level, first[:-1][on]) if len(cp) else 0
+        over = np.flatnonzero(level > 300)[::-1]
+        ends[of[over]] = arrays.places(first)[over]  # the first is put last
+        shown = pa.array(ends[on] - 100, pa.int64(), mask=ends[on] < 0)
+        return arrays.per_text(rows, on, highest=highest) | {"text_ends": shown, "above": np.bincount(of[level > 0], minlength=len(n))[on]}
+
+    each = arrays.map_symbols(arrays.documents(spark, sf_dir), work, "doc_id bigint, highest bigint, text_ends bigint, above bigint", "doc_id")
+    return each.groupBy("doc_id").agg(F.max("highest").alias("highest"), F.min("text_ends").alias("text_ends"), F.sum("above").alias("above"))
+
 
 # Synthetic headers, in hexadecimal, as the fixtures have no media files.
 HEADERS = [
