@@ -130,12 +130,38 @@ sql(
     SELECT c.doc_id, round(sum(CASE WHEN b >= 128 THEN n ELSE 0 END) / (max(total) * 1.0e0), 6) AS p_bit7, round(sum(CASE WHEN b BETWEEN 64 AND 127 THEN n ELSE 0 END) / (greatest(1, sum(CASE WHEN b < 128 THEN n ELSE 0 END)) * 1.0e0), 6) AS p_bit6,
       max(n * 1000 + (255 - b)) % 1000 AS top_code, max(n) AS top_n FROM c JOIN t ON c.doc_id = t.doc_id GROUP BY c.doc_id""",
 )
-sql(
+
+
+@query(
     "vocab_mask",
     "A20",
     """WITH v AS (SELECT doc_id, b FROM bytes GROUP BY doc_id, b), g AS (SELECT b, count(*) AS n, sum(count(*)) OVER () AS total FROM bytes GROUP BY b)
     SELECT doc_id, count(*) AS possible, round(sum(n) / (max(total) * 1.0e0), 6) AS mass, round(log2(max(total) / (sum(n) * 1.0e0)), 6) AS saved_bits FROM v JOIN g ON v.b = g.b GROUP BY doc_id""",
 )
+def vocab_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What share of all bytes are of values that a text has: all bytes are counted in blocks, and each text's values are one array."""
+
+    def count(rows: pa.RecordBatch, data: np.ndarray, first: np.ndarray) -> dict:
+        n = np.bincount(data, minlength=256)
+        return {"b": np.flatnonzero(n), "n": n[n > 0]}
+
+    def values(rows: pa.RecordBatch, data: np.ndarray, first: np.ndarray) -> dict:
+        docs = len(first) - 1
+        seen = np.zeros((docs, 256), bool)
+        seen[arrays.owner(first), data] = True
+        size = seen.sum(1)
+        own = pa.array(np.nonzero(seen)[1].astype(np.int16))
+        return {"doc_id": rows.column("doc_id"), "v": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), own)}
+
+    docs = arrays.documents(spark, sf_dir).where("text <> ''")
+    every = arrays.map_bytes(docs, count, "b bigint, n bigint").groupBy("b").agg(F.sum("n").alias("n"))
+    # one row: how many of each of the 256 values there are
+    table256 = every.agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"), F.sum("n").alias("total")).select("total", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda b: F.coalesce(F.element_at("m", b.cast("bigint")), F.lit(0).cast("bigint"))).alias("n"))
+    own = arrays.map_bytes(docs, values, "doc_id bigint, v array<smallint>", "doc_id").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("v"))).alias("v"))
+    found = own.crossJoin(F.broadcast(table256)).select("doc_id", F.size("v").cast("bigint").alias("possible"), "total", F.expr("aggregate(v, 0L, (s, b) -> s + n[b])").alias("s"))
+    return found.select("doc_id", "possible", F.round(F.col("s") / F.col("total"), 6).alias("mass"), F.round(F.log2(F.col("total") / F.col("s")), 6).alias("saved_bits"))
+
+
 sql(
     "lang_evidence_last64",
     "A22 T9 ST6",
