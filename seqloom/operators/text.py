@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions.stemming import STEMMERS
+from seqloom.operators import arrays
 from seqloom.plans.registry import query, sql, views
 
 sql("token_kinds", "T1 T10", "SELECT doc_id, kind, count(*) AS n, cast(sum(length(tok)) AS bigint) AS chars FROM tokens GROUP BY doc_id, kind")
@@ -46,7 +49,33 @@ sql(
     f"""WITH t AS (SELECT doc_id, pos, lw, {TYPES} AS type FROM words), l AS (SELECT doc_id, pos, lw, type, lag(type) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM t)
     SELECT doc_id, count(CASE WHEN before = 'article' AND type = 'other' THEN 1 END) AS nouns, count(CASE WHEN type = 'article' THEN 1 END) AS articles, count(CASE WHEN type = 'adposition' THEN 1 END) AS adpositions, count(CASE WHEN type = 'conjunction' THEN 1 END) AS conjunctions, count(CASE WHEN type = 'verb' THEN 1 END) AS verbs FROM l GROUP BY doc_id""",
 )
-sql("number_merge", "T17", "WITH t AS (SELECT doc_id, pos, kind, tok, lag(kind, 1) OVER w AS b1, lag(kind, 2) OVER w AS b2 FROM tokens WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) SELECT doc_id, count(CASE WHEN kind = 'number' THEN 1 END) AS numbers, count(CASE WHEN kind = 'number' AND b1 = 'space' AND b2 = 'number' THEN 1 END) AS merged, count(CASE WHEN kind = 'word' AND lower(tok) LIKE '%ly' THEN 1 END) AS adverbs FROM t GROUP BY doc_id")
+
+
+@query("number_merge", "T17", "WITH t AS (SELECT doc_id, pos, kind, tok, lag(kind, 1) OVER w AS b1, lag(kind, 2) OVER w AS b2 FROM tokens WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) SELECT doc_id, count(CASE WHEN kind = 'number' THEN 1 END) AS numbers, count(CASE WHEN kind = 'number' AND b1 = 'space' AND b2 = 'number' THEN 1 END) AS merged, count(CASE WHEN kind = 'word' AND lower(tok) LIKE '%ly' THEN 1 END) AS adverbs FROM t GROUP BY doc_id")
+def number_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers, those with only space between them and the number before, and words in -ly: runs of classes in a block's array."""
+
+    def work(rows: pa.RecordBatch, cp: np.ndarray, first: np.ndarray) -> dict:
+        of, n, begins = arrays.owner(first), np.diff(first), arrays.places(first) == 0
+        digit, space = (cp >= 48) & (cp <= 57), np.isin(cp, np.frombuffer(b" \t\r\n", np.uint8))
+        low = cp | 32
+        word = ((low >= 97) & (low <= 122)) | (cp == 39) | (cp == 45) | ((cp >= 0x80) & (cp <= 0xFFFF))
+        kind = np.select([digit, space, word], [1, 2, 3], 0)
+        fresh = begins.copy()
+        fresh[1:] |= (kind[1:] != kind[:-1]) | (kind[1:] == 0)  # any other symbol is a token by itself
+        starts = np.flatnonzero(fresh)
+        k, t = kind[starts], of[starts]
+        merged = np.flatnonzero((k[2:] == 1) & (k[1:-1] == 2) & (k[:-2] == 1) & (t[2:] == t[:-2])) + 2
+        ends = np.append(starts[1:], len(cp)) - 1 if len(cp) else starts
+        inside = np.flatnonzero((k == 3) & (ends > starts))  # of two symbols at least
+        ly = inside[((cp[ends[inside]] | 32) == ord("y")) & ((cp[ends[inside] - 1] | 32) == ord("l"))]
+        count = lambda at: np.bincount(t[at], minlength=len(n))
+        return arrays.per_text(rows, n > 0, numbers=count(k == 1), merged=count(merged), adverbs=count(ly))
+
+    each = arrays.map_symbols(arrays.documents(spark, sf_dir), work, "doc_id bigint, numbers bigint, merged bigint, adverbs bigint", "doc_id")
+    return each.groupBy("doc_id").agg(*[F.sum(k).alias(k) for k in ("numbers", "merged", "adverbs")])
+
+
 sql("text_contexts", "T14 T15", f"WITH t AS (SELECT doc_id, pos, lw, {TYPES} AS type FROM words), l AS (SELECT doc_id, type, lag(type, 1) OVER w AS t1, lag(type, 2) OVER w AS t2 FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) SELECT t2, t1, type, count(*) AS n FROM l WHERE t2 IS NOT NULL GROUP BY t2, t1, type")
 sql("turn_sentences", "T2 T3", "SELECT role, count(*) AS turns, cast(sum(length(text) - length(replace(text, '.', ''))) AS bigint) AS stops, cast(sum(length(text) - length(replace(text, '?', ''))) AS bigint) AS questions, round(avg(length(text) * 1.0e0), 6) AS mean_chars FROM conversations GROUP BY role")
 
