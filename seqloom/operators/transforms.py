@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,17 +51,21 @@ def absolute_calls(data: bytes, undo: bool = False) -> bytes:
     return bytes(out)
 
 
+def address_trips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n_bytes, changed, same) of (doc_id, text); one text's bytes are held at a time."""
+    for rows in batches:
+        own = []
+        for text in rows.column("text"):
+            data = (text.as_py() or "").encode().translate(_AS_CODE)
+            coded = absolute_calls(data)
+            own.append((len(data), int((np.frombuffer(coded, np.uint8) != np.frombuffer(data, np.uint8)).sum()), absolute_calls(coded, True) == data))
+        yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), *[pa.array([x[k] for x in own], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.bool_()))]], ["doc_id", "n_bytes", "changed", "same"])
+
+
 @query("executable_addresses", "BT5 BT6")
 def executable_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Round trip of documents' bytes, seen as code, through the address transform."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            data = [(t or "").encode().translate(_AS_CODE) for t in rows["text"]]
-            coded = [absolute_calls(d) for d in data]
-            yield pd.DataFrame({"doc_id": rows["doc_id"], "n_bytes": [len(d) for d in data], "changed": [sum(a != b for a, b in zip(c, d)) for c, d in zip(coded, data)], "same": [absolute_calls(c, True) == d for c, d in zip(coded, data)]})
-
-    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, n_bytes long, changed long, same boolean")
+    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(address_trips, "doc_id long, n_bytes long, changed long, same boolean")
 
 
 #: letters that stand for the bytes of calls, so that texts have some
