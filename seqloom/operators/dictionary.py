@@ -7,10 +7,16 @@ joins by broadcast.  Case is a mark before the word.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+import re
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.plans.registry import sql
+from seqloom.plans.registry import query, sql, table, views
 
 TIERS = (80, 3840, 40960)
 SIZE = sum(TIERS)
@@ -62,12 +68,55 @@ sql(
     spark_text=(TOKENS + " SELECT doc_id, cast(sum(octet_length(tok)) AS bigint) AS raw_bytes, cast(sum(coalesce(size + CASE WHEN {m}(tok, '^[A-Z]') THEN 1 ELSE 0 END, octet_length(tok))) AS bigint) AS coded_bytes, sum(coalesce(size + CASE WHEN {m}(tok, '^[A-Z]') THEN 1 ELSE 0 END, octet_length(tok))) <= sum(octet_length(tok)) - 50 AS keep FROM t GROUP BY doc_id").replace("{m}", "regexp_like").replace("{broadcast}", "/*+ BROADCAST(coded) */"),
 )
 REPLAY = """CASE WHEN word IS NULL THEN tok WHEN tok = upper(tok) AND length(tok) > 1 THEN upper(word) WHEN substr(tok, 1, 1) = upper(substr(tok, 1, 1)) THEN upper(substr(word, 1, 1)) || substr(word, 2) ELSE word END"""
-sql(
+
+
+def word_of(tok: str, word: str) -> str:
+    """What ``REPLAY`` says: a dictionary word in its token's case."""
+    if len(tok) > 1 and tok == tok.upper():
+        return word.upper()
+    return word[0].upper() + word[1:] if tok[0] == tok[0].upper() else word
+
+
+@lru_cache(1)
+def coder(words: tuple[str, ...]) -> Callable[[str], str]:
+    """Encodes the words of a text as their ranks in the dictionary, decodes these, and gives the text back as decoded."""
+    rank = {w: k for k, w in enumerate(words)}
+
+    def there_and_back(m: re.Match) -> str:
+        tok = m[0]
+        code = rank.get(tok.lower())
+        return tok if code is None else word_of(tok, words[code])
+
+    return lambda text: _CASED_WORD.sub(there_and_back, text)
+
+
+_CASED_WORD = re.compile("[A-Z]{2,}|[A-Z]?[a-z]+|[A-Z]")  # what is no letter is a piece by itself, and stays
+
+
+@query(
     "dict_roundtrip",
     "D9 BT8 IO3 IO4",
     f"WITH {DICT.replace('{m}', 'regexp_matches')}, t AS (SELECT doc_id, pos, tok, word FROM cased LEFT JOIN coded ON lower(tok) = coded.word), d AS (SELECT doc_id, string_agg({REPLAY}, '' ORDER BY pos) AS text FROM t GROUP BY doc_id) SELECT d.doc_id, md5(d.text) AS decoded, d.text = documents.text AS same FROM d JOIN documents ON d.doc_id = documents.doc_id",
-    spark_text=f"WITH {DICT.replace('{m}', 'regexp_like')}, t AS (SELECT /*+ BROADCAST(coded) */ doc_id, pos, tok, word FROM cased LEFT JOIN coded ON lower(tok) = coded.word), d AS (SELECT doc_id, array_join(transform(array_sort(collect_list(struct(pos, {REPLAY} AS piece))), x -> x.piece), '') AS text FROM t GROUP BY doc_id) SELECT d.doc_id, md5(d.text) AS decoded, d.text = documents.text AS same FROM d JOIN documents ON d.doc_id = documents.doc_id",
 )
+def dict_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text through the dictionary and back, whole, where it is read; only the dictionary (44,880 words at most) is sent to the tasks."""
+    views(spark, sf_dir, "FROM cased")
+    words = tuple(r.word for r in spark.sql(TOP.replace("{m}", "regexp_like")).collect())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        replay = coder(words)
+        for b in batches:
+            digest, same = [], []
+            for text in b.column("text"):
+                back = replay(text.as_py())
+                digest.append(hashlib.md5(back.encode()).hexdigest())
+                same.append(back == text.as_py())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(digest, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "decoded", "same"])
+
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null and text <> ''")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, decoded string, same boolean")
+
+
 sql(
     "codeword_context",
     "D12 M7",
