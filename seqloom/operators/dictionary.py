@@ -12,10 +12,12 @@ import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.operators import arrays
 from seqloom.plans.registry import query, sql, table, views
 
 TIERS = (80, 3840, 40960)
@@ -117,9 +119,28 @@ def dict_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, decoded string, same boolean")
 
 
-sql(
+@query(
     "codeword_context",
     "D12 M7",
     """WITH s AS (SELECT doc_id, pos, k, b, CASE WHEN b >= 128 THEN 0 ELSE 1 END AS breaks FROM bytes), i AS (SELECT *, sum(breaks) OVER (PARTITION BY doc_id ORDER BY pos, k) AS island FROM s),
     r AS (SELECT doc_id, island, count(*) AS n, max(b) AS most FROM i WHERE breaks = 0 GROUP BY doc_id, island) SELECT doc_id, least(n, 3) AS key_bytes, count(*) AS runs, max(most) AS most FROM r GROUP BY doc_id, least(n, 3)""",
 )
+def codeword_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of high bytes by length, found in a block's array."""
+
+    def work(rows: pa.RecordBatch, data: np.ndarray, first: np.ndarray) -> dict:
+        of, high, begins = arrays.owner(first), data >= 128, arrays.places(first) == 0
+        begins[1:] |= ~high[:-1]
+        at = np.flatnonzero(high)
+        run = np.cumsum(begins[at]) - 1
+        starts = at[begins[at]]
+        size, most = np.bincount(run, minlength=len(starts)), np.maximum.reduceat(data[at], np.flatnonzero(begins[at])) if len(at) else np.zeros(0, np.uint8)
+        kinds, which = np.unique(of[starts] * 4 + np.minimum(size, 3), return_inverse=True)
+        greatest = np.zeros(len(kinds), np.int64)
+        np.maximum.at(greatest, which, most)
+        return {"doc_id": rows.column("doc_id").take(pa.array(kinds // 4)), "key_bytes": kinds % 4, "runs": np.bincount(which, minlength=len(kinds)), "most": greatest}
+
+    each = arrays.map_bytes(arrays.documents(spark, sf_dir), work, "doc_id bigint, key_bytes bigint, runs bigint, most bigint", "doc_id")
+    return each.groupBy("doc_id", "key_bytes").agg(F.sum("runs").alias("runs"), F.max("most").alias("most"))
+
+
