@@ -143,6 +143,10 @@ sql(
     "previous_words",
     "X11 X19 M9 J2 L2",
     "SELECT w2, w1, lw, count(*) AS n FROM (SELECT lw, lag(lw, 1) OVER w AS w1, lag(lw, 2) OVER w AS w2 FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) AS t WHERE w2 IS NOT NULL GROUP BY w2, w1, lw",
+    spark_text=# the array of words beside itself: no window over a document's words, and one string to group by; two letters whose lower case here would be more than that letter's alone
+    r"""WITH w AS (SELECT regexp_extract_all(lower(translate(text, 'İΣ', 'iσ')), "[A-Za-z'\\u0080-\\uffff-]+", 0) AS l FROM documents),
+    t AS (SELECT inline(arrays_zip(slice(l, 1, greatest(size(l) - 2, 0)), slice(l, 2, greatest(size(l) - 2, 0)), slice(l, 3, greatest(size(l) - 2, 0)))) AS (w2, w1, lw) FROM w)
+    SELECT split_part(gram, ' ', 1) AS w2, split_part(gram, ' ', 2) AS w1, split_part(gram, ' ', 3) AS lw, n FROM (SELECT gram, count(*) AS n FROM (SELECT w2 || ' ' || w1 || ' ' || lw AS gram FROM t) AS g GROUP BY gram) AS c""",
 )
 
 
