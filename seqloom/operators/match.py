@@ -105,5 +105,12 @@ sql(
     """WITH t AS (SELECT doc_id, pos, lag(lw, 4) OVER w || ' ' || lag(lw, 3) OVER w || ' ' || lag(lw, 2) OVER w || ' ' || lag(lw, 1) OVER w || ' ' || lw AS gram FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
     d AS (SELECT gram, count(DISTINCT doc_id) AS docs, count(*) AS n FROM t WHERE gram IS NOT NULL GROUP BY gram)
     SELECT t.doc_id, count(*) AS grams, count(CASE WHEN docs > 1 THEN 1 END) AS elsewhere, round(avg(CASE WHEN docs > 1 THEN 1.0e0 ELSE 0.0e0 END), 6) AS redundancy FROM t JOIN d ON t.gram = d.gram GROUP BY t.doc_id""",
+    spark_text=# a gram is met once, with the least and greatest of its documents: those equal, it stands in no other; for translate see previous_words
+    r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(translate(text, 'İΣ', 'iσ')), "[A-Za-z'\\u0080-\\uffff-]+", 0) AS l FROM documents),
+    g AS (SELECT doc_id, explode(CASE WHEN size(l) >= 5 THEN transform(sequence(1, size(l) - 4), i -> array_join(slice(l, i, 5), ' ')) END) AS gram FROM w),
+    d AS (SELECT gram, min(doc_id) AS lo, max(doc_id) AS hi, count(*) AS n, count(doc_id) AS keyed FROM g GROUP BY gram),
+    a AS (SELECT doc_id, sum(n) AS alone FROM (SELECT inline(array(struct(lo AS doc_id, keyed AS n), struct(cast(NULL AS bigint) AS doc_id, n - keyed AS n))) FROM d WHERE lo <=> hi) AS x WHERE n > 0 GROUP BY doc_id),
+    t AS (SELECT doc_id, sum(cast(size(l) - 4 AS bigint)) AS grams FROM w WHERE size(l) >= 5 GROUP BY doc_id)
+    SELECT t.doc_id, grams, grams - coalesce(alone, 0) AS elsewhere, round((grams - coalesce(alone, 0)) / grams, 6) AS redundancy FROM t LEFT JOIN a ON t.doc_id <=> a.doc_id""",
 )
 sql("event_match", "J1 L3", "WITH t AS (SELECT user_id, pos, event_type, lag(event_type, 1) OVER w || lag(event_type, 2) OVER w AS ctx FROM series WINDOW w AS (PARTITION BY user_id ORDER BY pos)), m AS (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id, ctx ORDER BY pos) AS guess FROM t WHERE ctx IS NOT NULL) SELECT user_id, count(*) AS n, count(guess) AS known, count(CASE WHEN guess = event_type THEN 1 END) AS hits FROM m GROUP BY user_id")
